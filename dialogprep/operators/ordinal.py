@@ -110,3 +110,16 @@ def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
     d = d.join(F.broadcast(files), on="_f", how="inner")
     out = ordered_index(d, ["_fo", "_m"], F.col("_fo").cast("int"), rank_col=rank_col)
     return out.drop("_f", "_m", "_fo")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has too few partitions.
+
+    A large input arrives in many splits and is returned unchanged (no
+    shuffle); a small table stored as one row group would otherwise run all of
+    its CPU-heavy per-row work (tokenising, rendering) in one task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

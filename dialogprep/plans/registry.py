@@ -24,6 +24,7 @@ from dialogprep.operators.examples import (
     preview,
     to_training_table,
 )
+from dialogprep.operators.ordinal import spread
 from dialogprep.operators.generate import (
     decode_prediction,
     echo_line_generator,
@@ -64,6 +65,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, spread over the cores when stored in too few splits."""
+    return spread(_t(spark, d, "documents").select("doc_id", "text"))
+
+
 def examples(spark: SparkSession, d: str) -> DataFrame:
     return examples_from_turns(_t(spark, d, "conversations"))
 
@@ -197,12 +203,12 @@ def q_dynamic_few_shot(spark, d):
 
 # -- tokens and training rows ---------------------------------------------------
 def q_tokenize(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", TOK.encode(F.col("text"), add_special=True).alias("ids"))
+    docs = _docs(spark, d).select("doc_id", TOK.encode(F.col("text"), add_special=True).alias("ids"))
     return docs.select("doc_id", _big(F.size("ids"), "n_tokens"), I.checksum(F.col("ids")).alias("checksum"))
 
 
 def q_detokenize(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = _docs(spark, d)
     back = TOK.decode(TOK.encode(F.col("text"), add_special=True), skip_special=True)
     return docs.select("doc_id", F.md5(back).alias("text_md5"))
 

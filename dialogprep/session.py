@@ -13,11 +13,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings we prefer; applied only where the cluster has not set them.
+# Settings we prefer for sessions we create; ``extra`` overrides them.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Text stages are CPU-bound: keep AQE from merging small shuffles into a
+    # handful of tasks (large inputs are far above this size anyway).
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
