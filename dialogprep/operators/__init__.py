@@ -25,6 +25,9 @@ from dialogprep.operators.generate import (  # noqa: F401
 )
 from dialogprep.operators.ordinal import (  # noqa: F401
     bucket_from_bounds,
+    default_buckets,
+    order_rank,
+    spread,
     file_order_index,
     hash_prefix_bucket,
     ordered_index,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogprep.operators.ordinal import ordered_index, quantile_bounds
+from dialogprep.operators.ordinal import order_rank
 
 KEYWORD_PATTERN = "[a-z]{4,}"
 
@@ -103,15 +103,12 @@ def examples_from_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def pool_from_table(df: DataFrame, order_col: str = "item_id", text_col: str = "text",
-                    n_buckets: int = 64) -> DataFrame:
+def pool_from_table(df: DataFrame, order_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Few-shot pool (pos, text): ``pos`` = 0-based rank of ``order_col``.
 
     Numbered with quantile buckets (no single-task window).
     """
-    base = df.select(order_col, text_col)
-    ranked = ordered_index(base, [order_col], (quantile_bounds(base, order_col, n_buckets), F.col(order_col)),
-                           rank_col="pos")
+    ranked = order_rank(df.select(order_col, text_col), order_col, "pos")
     return ranked.select(F.col("pos").cast("int").alias("pos"), F.col(text_col).alias("text"))
 
 

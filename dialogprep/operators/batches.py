@@ -1,9 +1,11 @@
 """Batch collation (K1) and sequence packing (L1).
 
-Both work per *shard*: a caller-chosen hash bucket of the key
-(``pmod(key, n_shards)``), the Spark counterpart of a data-loader worker.  A
-shard is one hash partition, so the numbering windows need one shuffle and
-everything after it (batch max, chunk regrouping) reuses that partitioning.
+Both start from a global order of the rows (a distributed rank, see
+:mod:`dialogprep.operators.ordinal`) and cut it into runs of consecutive rows:
+batches of ``batch_size`` rows for collation, groups of ``group_rows`` rows for
+packing (the reference packs per map batch of consecutive rows).  Every
+window below is partitioned by such a run, so its size is bounded by a
+parameter, never by the data.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogprep.operators.ordinal import order_rank
 from dialogprep.schema import IGNORE_INDEX
 
 
@@ -30,23 +33,40 @@ def collate(
     batch_size: int,
     pad_id: int,
     key: str = "example_id",
-    shard: Column | None = None,
+    n_shards: int = 1,
     ids: str = "input_ids",
     labels: str = "labels",
     mask: str = "by_pad",
+    rank_col: str | None = None,
+    order: str = "shuffle",
+    seed: int = 42,
 ) -> DataFrame:
     """K1 (+ F3, G3): fixed-size batches with right padding to the batch max.
 
-    ``batch_id = (row_number within shard ordered by key - 1) div batch_size``.
-    ids are padded with ``pad_id``, labels with -100.  ``mask="by_pad"``
-    reproduces the reference (``ids != pad``, which also hides a real EOS
-    when pad equals EOS); ``mask="by_length"`` marks the original positions.
+    Rows are taken in a seeded shuffle order (``order="shuffle"``, like the
+    reference's training loader; hash-prefix buckets, no quantile pass), in
+    ``key`` order (``order="key"``, the evaluation loader), or by an existing
+    0-based ``rank_col``.  ``batch_id = rank div batch_size``; batches go
+    round-robin to ``n_shards`` devices (``shard = batch_id mod n_shards``).  ids are
+    padded with ``pad_id``, labels with -100.  ``mask="by_pad"`` reproduces the
+    reference (``ids != pad``, which also hides a real EOS when pad equals
+    EOS); ``mask="by_length"`` marks the original positions.
     """
-    shard = shard if shard is not None else F.lit(0)
-    d = df.withColumn("shard", shard)
-    w = Window.partitionBy("shard").orderBy(key)
-    d = d.withColumn("batch_id", ((F.row_number().over(w) - 1) / F.lit(batch_size)).cast("long"))
-    d = d.withColumn("pad_to", F.max(F.size(ids)).over(Window.partitionBy("shard", "batch_id")))
+    if rank_col:
+        d = df
+    elif order == "shuffle":
+        from dialogprep.operators.preferences import shuffle
+
+        d = shuffle(df, key, seed, rank_col="_rank")
+    elif order == "key":
+        d = order_rank(df, key, "_rank")
+    else:
+        raise ValueError(f"unknown order {order!r}")
+    r = F.col(rank_col or "_rank")
+    d = d.withColumn("batch_id", F.floor(r / F.lit(batch_size)).cast("long"))
+    d = d.withColumn("shard", F.pmod(F.col("batch_id"), F.lit(n_shards)).cast("int"))
+    # Window of one batch: at most batch_size rows.
+    d = d.withColumn("pad_to", F.max(F.size(ids)).over(Window.partitionBy("batch_id")))
     n_pad = F.col("pad_to") - F.size(ids)
     d = d.withColumn("ids", F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), n_pad)))
     d = d.withColumn("labels_padded",
@@ -59,44 +79,47 @@ def collate(
     else:
         raise ValueError(f"unknown mask rule {mask!r}")
     d = d.withColumn("mask", m)
-    return d.drop(ids, labels).withColumnRenamed("labels_padded", "labels")
+    out = d.drop(ids, labels).withColumnRenamed("labels_padded", "labels")
+    return out.drop("_rank") if not rank_col else out
 
 
 def pack(
     df: DataFrame,
     block_size: int,
     key: str = "example_id",
-    shard: Column | None = None,
+    group_rows: int = 1000,
     cols: tuple[str, ...] = ("input_ids", "labels", "attention_mask"),
 ) -> DataFrame:
-    """L1 (+ F4, G4): concatenate each shard's arrays and cut ``block_size`` chunks.
+    """L1 (+ F4, G4): concatenate each group's arrays and cut ``block_size`` chunks.
 
-    The remainder past the last full chunk is dropped; a shard with fewer than
-    ``block_size`` tokens yields one short chunk; an all-empty shard yields
-    nothing.  Offsets come from the first column; all columns must have equal
-    per-row sizes (true for training rows).  Chunks hold at most ``block_size``
-    tokens, so the regrouping never builds an unbounded group.
+    A group is ``group_rows`` consecutive rows in ``key`` order (the
+    reference's map batch).  The remainder past the last full chunk of a group
+    is dropped; a group with fewer than ``block_size`` tokens yields one short
+    chunk; an all-empty group yields nothing.  Offsets come from the first
+    column; all columns must have equal per-row sizes (true for training rows).
+    Windows span one group and chunks hold at most ``block_size`` tokens.
     """
     B = block_size
     first = cols[0]
-    shard = shard if shard is not None else F.lit(0)
-    d = df.select(key, shard.alias("shard"), *cols).withColumn("_len", F.size(first))
-    w = Window.partitionBy("shard").orderBy(key)
+    d = order_rank(df.select(key, *cols), key, "_rank")
+    d = d.withColumn("group", F.floor(F.col("_rank") / F.lit(group_rows)).cast("long"))
+    d = d.withColumn("_len", F.size(first))
+    w = Window.partitionBy("group").orderBy("_rank")
     d = d.withColumn("_start", F.coalesce(
         F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    d = d.withColumn("_total", F.sum("_len").over(Window.partitionBy("shard")).cast("long"))
-    limit = F.when(F.col("_total") >= B, (F.col("_total") / B).cast("long") * B).otherwise(F.col("_total"))
+    d = d.withColumn("_total", F.sum("_len").over(Window.partitionBy("group")).cast("long"))
+    limit = F.when(F.col("_total") >= B, F.floor(F.col("_total") / B).cast("long") * B).otherwise(F.col("_total"))
     d = d.withColumn("_end", F.least(F.col("_start") + F.col("_len"), limit))
     d = d.filter(F.col("_start") < F.col("_end"))
-    d = d.withColumn("chunk", F.explode(F.sequence((F.col("_start") / B).cast("long"),
-                                                   ((F.col("_end") - 1) / B).cast("long"))))
+    d = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_start") / B).cast("long"),
+                                                   F.floor((F.col("_end") - 1) / B).cast("long"))))
     lo = F.greatest(F.col("_start"), F.col("chunk") * B)
     hi = F.least(F.col("_end"), (F.col("chunk") + 1) * B)
     pieces = [F.slice(F.col(c), (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias(c)
               for c in cols]
-    parts = d.select("shard", "chunk", F.struct(F.col("_start").alias("start"), *pieces).alias("p"))
-    grouped = parts.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    parts = d.select("group", "chunk", F.struct(F.col("_start").alias("start"), *pieces).alias("p"))
+    grouped = parts.groupBy("group", "chunk").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return grouped.select(
-        "shard", "chunk",
+        "group", "chunk",
         *[F.flatten(F.transform(F.col("ps"), _field(c))).alias(c) for c in cols],
     )

@@ -13,8 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound of the bucket count of hash-prefix buckets (3 hex digits).
-HASH_BUCKET_DIGITS = 3
+# Hash-prefix buckets use 4 hex digits: 65,536 buckets, so the broadcast
+# offset table stays near 1.5 MB while a bucket holds ~1/65,536 of the rows.
+HASH_BUCKET_DIGITS = 4
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Quantile-bucket count: four per shuffle partition (at least 16)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(16, 4 * n)
 
 
 def hash_prefix_bucket(hex_col: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -22,7 +29,7 @@ def hash_prefix_bucket(hex_col: Column, digits: int = HASH_BUCKET_DIGITS) -> Col
 
     Monotone in the digest's string order; uniform because the digest is a hash.
     """
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
+    return F.coalesce(F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int"), F.lit(-1))
 
 
 def quantile_bounds(df: DataFrame, key: str, n_buckets: int) -> Column:
@@ -36,8 +43,9 @@ def quantile_bounds(df: DataFrame, key: str, n_buckets: int) -> Column:
 
 
 def bucket_from_bounds(bounds: Column, key: Column) -> Column:
-    """Number of bounds below ``key`` (monotone in the key)."""
-    return F.size(F.filter(bounds, lambda b: b < key)).cast("int")
+    """Number of bounds below ``key`` (monotone in the key; never null, so
+    Spark infers no ``isnotnull`` filter that would copy the subquery)."""
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b < key)).cast("int"), F.lit(0))
 
 
 def ordered_index(
@@ -48,12 +56,23 @@ def ordered_index(
     value: Column | None = None,
     running_col: str | None = None,
     partition_cols: tuple[str, ...] = (),
+    total_col: str | None = None,
 ) -> DataFrame:
     """Add a 0-based dense rank and/or an inclusive running total.
 
+    ``total_col`` also adds the row count of the (partition of the) table,
+    taken from the same per-bucket totals - no extra pass.
+
     ``bucket`` (a Column, or a ``(bounds, key)`` pair from
     :func:`quantile_bounds`) must be non-decreasing in ``order_cols`` (within
     ``partition_cols``); ``order_cols`` must be unique within a partition.
+
+    Plan: one hash exchange on the bucket feeds the numbering window; the
+    per-bucket totals are aggregated from the same numbered rows (so the
+    exchange is reused) and joined back on the bucket.  The numbered side is
+    already partitioned and sorted by the bucket, so that join shuffles only
+    the small totals side; AQE turns it into a broadcast when the measured
+    totals are small.
     """
     pcols = list(partition_cols)
     if not isinstance(bucket, tuple):
@@ -64,35 +83,43 @@ def ordered_index(
         bounds, key = bucket
         b = df.withColumn("_bounds", bounds)
         b = b.withColumn("_bkt", bucket_from_bounds(F.col("_bounds"), key)).drop("_bounds")
-    w = Window.partitionBy(*pcols, "_bkt").orderBy(*order_cols)
-    sizes_aggs = [F.count(F.lit(1)).alias("_n")]
     if value is not None:
         b = b.withColumn("_val", value)
-        sizes_aggs.append(F.sum("_val").alias("_v"))
-    local = []
-    if rank_col is not None:
-        local.append((F.row_number().over(w) - 1).alias("_rank_local"))
+    w = Window.partitionBy(*pcols, "_bkt").orderBy(*order_cols)
+    local = [(F.row_number().over(w) - 1).alias("_rank_local")]
     if value is not None:
         local.append(F.sum("_val").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_run_local"))
     numbered = b.select("*", *local)
 
-    sizes = b.groupBy(*pcols, "_bkt").agg(*sizes_aggs)
+    sizes_aggs = [F.count(F.lit(1)).alias("_n")]
+    if value is not None:
+        sizes_aggs.append(F.sum("_val").alias("_v"))
+    sizes = numbered.groupBy(*pcols, "_bkt").agg(*sizes_aggs)
+    # One row per (partition, bucket): the window below is bounded by the
+    # bucket count, which the caller fixes.
     prev = Window.partitionBy(*pcols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     off_cols = [F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_n_off")]
     if value is not None:
         off_cols.append(F.coalesce(F.sum("_v").over(prev), F.lit(0)).alias("_v_off"))
+    if total_col is not None:
+        off_cols.append(F.sum("_n").over(Window.partitionBy(*pcols)).alias("_n_total"))
     offsets = sizes.select(*pcols, "_bkt", *off_cols)
 
-    # One row per (partition, bucket): bounded by the bucket count times the
-    # partition count, which the caller chooses; safe to broadcast.
-    out = numbered.join(F.broadcast(offsets), on=[*pcols, "_bkt"], how="inner")
+    out = numbered.join(offsets, on=[*pcols, "_bkt"], how="inner")
     adds = []
     if rank_col is not None:
         adds.append((F.col("_n_off") + F.col("_rank_local")).cast("long").alias(rank_col))
     if value is not None:
         adds.append((F.col("_v_off") + F.col("_run_local")).alias(running_col or "running"))
-    keep = [c for c in df.columns]
-    return out.select(*keep, *adds)
+    if total_col is not None:
+        adds.append(F.col("_n_total").cast("long").alias(total_col))
+    return out.select(*df.columns, *adds)
+
+
+def order_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int | None = None) -> DataFrame:
+    """0-based rank of a unique numeric ``key`` without a single-task window."""
+    n = n_buckets or default_buckets(df)
+    return ordered_index(df, [key], (quantile_bounds(df, key, n), F.col(key)), rank_col=rank_col)
 
 
 def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
@@ -106,8 +133,8 @@ def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
     d = df.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_m"))
     files = d.groupBy("_f").agg(F.count(F.lit(1)).alias("_fn"))
     files = files.select("_f", (F.row_number().over(Window.orderBy("_f")) - 1).alias("_fo"))
-    # One row per input file: bounded by the file count, safe to broadcast.
-    d = d.join(F.broadcast(files), on="_f", how="inner")
+    # One row per input file; AQE broadcasts it when small.
+    d = d.join(files, on="_f", how="inner")
     out = ordered_index(d, ["_fo", "_m"], F.col("_fo").cast("int"), rank_col=rank_col)
     return out.drop("_f", "_m", "_fo")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogprep.operators.ordinal import hash_prefix_bucket, ordered_index
@@ -50,34 +50,30 @@ def split_exact(df: DataFrame, key: str, test_size: float, seed: int = 42,
                 split_col: str = "split") -> DataFrame:
     """H3 (exact): the first ``ceil(test_size * n)`` rows in hash order are test.
 
-    Rank by (hash, key) with hash-prefix buckets (no single-task sort); ``n``
-    is a scalar subquery, so no driver round trip.  A test size >= 1 is a
-    row count, as in the reference's splitter.
+    Rank by (hash, key) with hash-prefix buckets (no single-task sort); the
+    row count comes from the same bucket totals (no second pass, no driver
+    round trip).  A test size >= 1 is a row count, as in the reference's
+    splitter.
     """
     h = hash_key(F.col(key), seed)
     ranked = ordered_index(df.withColumn("_h", h), ["_h", key], hash_prefix_bucket(F.col("_h")),
-                           rank_col="_rank")
+                           rank_col="_rank", total_col="_n")
     if test_size >= 1:
         n_test = F.lit(int(test_size))
     else:
-        n = df.agg(F.count(F.lit(1))).scalar()
-        n_test = F.ceil(n.cast("double") * F.lit(float(test_size)))
+        n_test = F.ceil(F.col("_n").cast("double") * F.lit(float(test_size)))
     return ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train")
-                             ).drop("_h", "_rank")
+                             ).drop("_h", "_rank", "_n")
 
 
-def shuffle(df: DataFrame, key: str, seed: int = 42, shard: Column | None = None,
-            rank_col: str = "shuffle_rank") -> DataFrame:
-    """H1: deterministic shuffle - a rank in (hash, key) order, per shard.
+def shuffle(df: DataFrame, key: str, seed: int = 42, rank_col: str = "shuffle_rank") -> DataFrame:
+    """H1: deterministic shuffle - a global 0-based rank in (hash, key) order.
 
-    Without a shard the rank is global (hash-prefix buckets, no single task).
+    Numbered with hash-prefix buckets: no single task sees all rows.  Use the
+    rank to order, batch (``collate(..., rank_col=...)``) or sample.
     """
     d = df.withColumn("_h", hash_key(F.col(key), seed))
-    if shard is None:
-        return ordered_index(d, ["_h", key], hash_prefix_bucket(F.col("_h")), rank_col=rank_col).drop("_h")
-    d = d.withColumn("shard", shard)
-    w = Window.partitionBy("shard").orderBy("_h", key)
-    return d.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long")).drop("_h")
+    return ordered_index(d, ["_h", key], hash_prefix_bucket(F.col("_h")), rank_col=rank_col).drop("_h")
 
 
 def truncate_preferences(df: DataFrame, tokenizer, max_length: int = 4096,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogprep.functions import prompts as P
-from dialogprep.operators.ordinal import ordered_index, quantile_bounds
+from dialogprep.operators.ordinal import ordered_index
 from dialogprep.schema import PromptConfig, PromptText
 
 
@@ -26,17 +26,23 @@ def _kw() -> Column:
 
 
 # -- few-shot pool -----------------------------------------------------------
-def few_shot_budget(pool: DataFrame, tokenizer, specials_per_encode: int = 1,
-                    n_buckets: int = 64) -> DataFrame:
+# Rows per bucket of the pool's running total (``pos`` is unique, so a bucket
+# ``pos div POOL_BUCKET_ROWS`` never holds more rows than this).
+POOL_BUCKET_ROWS = 4096
+
+
+def few_shot_budget(pool: DataFrame, tokenizer, specials_per_encode: int = 1) -> DataFrame:
     """G1: (pos, text, n_tokens, cum_tokens) - running token total in pool order.
 
     Each text costs its token count plus ``specials_per_encode``.  Costs are
     non-negative, so ``cum_tokens`` is monotone (the few-shot rule relies on it).
+    ``pos`` is the pool's unique position, so arithmetic buckets bound every
+    window without a quantile pass.
     """
     costed = pool.select("pos", "text",
                          (tokenizer.n_tokens(F.col("text")) + F.lit(specials_per_encode))
                          .cast("long").alias("n_tokens"))
-    return ordered_index(costed, ["pos"], (quantile_bounds(costed, "pos", n_buckets), F.col("pos")),
+    return ordered_index(costed, ["pos"], F.floor(F.col("pos") / POOL_BUCKET_ROWS).cast("long"),
                          rank_col=None, value=F.col("n_tokens"), running_col="cum_tokens")
 
 

@@ -215,16 +215,16 @@ def _generated_predict(src: str) -> str:
 
 
 def _pack() -> str:
-    B = R.PACK_BLOCK
+    B, G = R.PACK_BLOCK, R.PACK_GROUP_ROWS
     return f"""
-rows AS (SELECT conv_id, (conv_id % {R.N_SHARDS}) AS shard, list_concat(s, g) AS ids,
+rows AS (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // {G} AS grp, list_concat(s, g) AS ids,
                 list_concat({repeat(-100, 'len(s)')}, g) AS lab FROM sft_ids),
-off AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY shard ORDER BY conv_id
+off AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY grp ORDER BY conv_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-               sum(len(ids)) OVER (PARTITION BY shard) AS total FROM rows),
-tokens AS (SELECT shard, start + i - 1 AS gpos, ids[i] AS id, lab[i] AS lb, total
+               sum(len(ids)) OVER (PARTITION BY grp) AS total FROM rows),
+tokens AS (SELECT grp, start + i - 1 AS gpos, ids[i] AS id, lab[i] AS lb, total
            FROM off, range(1, len(ids) + 1) AS r(i)),
-kept_tokens AS (SELECT shard, gpos // {B} AS chunk, gpos, id, lb FROM tokens
+kept_tokens AS (SELECT grp, gpos // {B} AS chunk, gpos, id, lb FROM tokens
                 WHERE gpos < CASE WHEN total >= {B} THEN (total // {B}) * {B} ELSE total END)
 """
 
@@ -295,18 +295,19 @@ def build() -> dict[str, str]:
     q["dataset_stats"] = with_(EXAMPLES, SFT, _train_dev()) + f"""SELECT split, count(*)::BIGINT AS n_rows,
         sum(n_tokens)::BIGINT AS n_tokens, max(n_tokens)::BIGINT AS max_tokens,
         sum(CASE WHEN n_tokens > {R.ROW_TOKEN_LIMIT} THEN 1 ELSE 0 END)::BIGINT AS n_over_limit FROM td GROUP BY split"""
-    q["collate_pad"] = with_(EXAMPLES, SFT) + f""", b AS (SELECT conv_id, (conv_id % {R.N_SHARDS}) AS shard,
-            (row_number() OVER (PARTITION BY conv_id % {R.N_SHARDS} ORDER BY conv_id) - 1) // {R.BATCH_SIZE} AS batch_id,
+    q["collate_pad"] = with_(EXAMPLES, SFT) + f""", b0 AS (SELECT conv_id,
+            (row_number() OVER (ORDER BY md5('{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1) // {R.BATCH_SIZE} AS batch_id,
             list_concat(s, g) AS ids, list_concat({repeat(-100, 'len(s)')}, g) AS lab FROM sft_ids),
-        p AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch_id) AS pad_to FROM b),
+        b AS (SELECT *, batch_id % {R.N_SHARDS} AS shard FROM b0),
+        p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS pad_to FROM b),
         q AS (SELECT *, list_concat(ids, {repeat(pad, 'pad_to - len(ids)')}) AS pids,
                  list_concat(lab, {repeat(-100, 'pad_to - len(lab)')}) AS plab FROM p)
         SELECT shard::BIGINT AS shard, batch_id::BIGINT AS batch_id, conv_id, pad_to::BIGINT AS pad_to,
             (pad_to - len(ids))::BIGINT AS n_pad, len(list_filter(pids, lambda x: x <> {pad}))::BIGINT AS n_attended,
             {checksum('pids')} AS ids_checksum, {checksum('plab')} AS labels_checksum FROM q"""
-    q["pack_tokens"] = with_(EXAMPLES, SFT, _pack()) + f"""SELECT shard::BIGINT AS shard, chunk::BIGINT AS chunk,
+    q["pack_tokens"] = with_(EXAMPLES, SFT, _pack()) + f"""SELECT grp::BIGINT AS "group", chunk::BIGINT AS chunk,
         count(*)::BIGINT AS n_tokens, {checksum('list(id ORDER BY gpos)')} AS ids_checksum,
-        {checksum('list(lb ORDER BY gpos)')} AS labels_checksum FROM kept_tokens GROUP BY shard, chunk"""
+        {checksum('list(lb ORDER BY gpos)')} AS labels_checksum FROM kept_tokens GROUP BY grp, chunk"""
     q["preference_filter"] = with_(PREFS, _split_exact("prefs")) + f"""SELECT conv_id, split,
         length(prompt)::BIGINT AS prompt_chars, length(chosen)::BIGINT AS chosen_chars, length(rejected)::BIGINT AS rejected_chars
         FROM splitx WHERE length(prompt) + length(chosen) <= {R.PREFERENCE_CUTOFF}
@@ -316,8 +317,8 @@ def build() -> dict[str, str]:
         {checksum('c')} AS chosen_checksum, {checksum('r')} AS rejected_checksum FROM t2"""
     q["split_exact"] = with_(EXAMPLES, _split_exact("ex")) + "SELECT conv_id, split FROM splitx"
     q["split_hash"] = ex + f"SELECT conv_id, {_split_hash('conv_id')} AS split FROM ex"
-    q["shuffle_order"] = ex + f"""SELECT conv_id, (conv_id % {R.N_SHARDS})::BIGINT AS shard,
-        (row_number() OVER (PARTITION BY conv_id % {R.N_SHARDS} ORDER BY md5('{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1)::BIGINT AS rank FROM ex"""
+    q["shuffle_order"] = ex + f"""SELECT conv_id,
+        (row_number() OVER (ORDER BY md5('{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1)::BIGINT AS rank FROM ex"""
     q["continuation"] = sft + "SELECT conv_id, len(g)::BIGINT AS n_out, output AS text FROM sft_ids JOIN ex USING (conv_id)"
     inf_src = ms["one_shot"]
     q["generate_join"] = ex + f"SELECT conv_id, output, {_generated_predict(inf_src)} AS predict FROM ex"

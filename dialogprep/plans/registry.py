@@ -16,7 +16,7 @@ from dialogprep.functions import ids as I
 from dialogprep.functions import prompts as P
 from dialogprep.functions.tokens import CodepointTokenizer
 from dialogprep.operators.assemble import examples_from_turns, pool_from_table, preferences_from_turns
-from dialogprep.operators.batches import _field, collate, pack, shard_of
+from dialogprep.operators.batches import collate, pack
 from dialogprep.operators.examples import (
     concat_splits,
     dataset_stats,
@@ -42,6 +42,7 @@ from dialogprep.operators.preferences import (
 from dialogprep.operators.prompting import build_prompts, few_shot_budget, one_shot_example
 from dialogprep.schema import PromptConfig
 from dialogprep.session import scratch_path
+from dialogprep.sources.writers import materialize
 
 # Query parameters (FIXTURES.md section 2).
 SEED = 42
@@ -51,6 +52,8 @@ PREFERENCE_CUTOFF = 1024
 TRUNC_MAX_LENGTH = 1024
 TRUNC_MAX_PROMPT = 864
 N_SHARDS = 4
+PACK_GROUP_ROWS = 32
+PREF_OBJECT_ROWS = 16
 BATCH_SIZE = 2
 PACK_BLOCK = 2048
 ROW_TOKEN_LIMIT = 4096
@@ -275,7 +278,7 @@ def q_dataset_stats(spark, d):
 
 def q_collate_pad(spark, d):
     e = _encoded(spark, d)
-    c = collate(e, BATCH_SIZE, TOK.pad_token_id, key="example_id", shard=shard_of(F.col("example_id"), N_SHARDS))
+    c = collate(e, BATCH_SIZE, TOK.pad_token_id, key="example_id", n_shards=N_SHARDS)
     return c.select(
         _big(F.col("shard"), "shard"), _big(F.col("batch_id"), "batch_id"), _cid(),
         _big(F.col("pad_to"), "pad_to"), _big(F.col("pad_to") - F.size(F.col("source_ids")) - F.size(F.col("target_ids")), "n_pad"),
@@ -285,9 +288,11 @@ def q_collate_pad(spark, d):
 
 
 def q_pack_tokens(spark, d):
-    e = _encoded(spark, d)
-    pk = pack(e, PACK_BLOCK, key="example_id", shard=shard_of(F.col("example_id"), N_SHARDS))
-    return pk.select(_big(F.col("shard"), "shard"), _big(F.col("chunk"), "chunk"),
+    # Packing is a second job over the written training table (as a large run
+    # would do): its key-order pass then reads one Parquet column.
+    e = materialize(to_training_table(_encoded(spark, d)), "sft_training_rows", spark, (d, CFG, "codepoint"))
+    pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS)
+    return pk.select(_big(F.col("group"), "group"), _big(F.col("chunk"), "chunk"),
                      _big(F.size("input_ids"), "n_tokens"),
                      I.checksum(F.col("input_ids")).alias("ids_checksum"),
                      I.checksum(F.col("labels")).alias("labels_checksum"))
@@ -323,8 +328,8 @@ def q_split_hash(spark, d):
 
 
 def q_shuffle_order(spark, d):
-    s = shuffle(examples(spark, d), "example_id", SEED, shard=shard_of(F.col("example_id"), N_SHARDS))
-    return s.select(_cid(), _big(F.col("shard"), "shard"), _big(F.col("shuffle_rank"), "rank"))
+    s = shuffle(examples(spark, d), "example_id", SEED)
+    return s.select(_cid(), _big(F.col("shuffle_rank"), "rank"))
 
 
 # -- generation and sinks -----------------------------------------------------------
@@ -388,12 +393,10 @@ def q_read_few_shot_csv(spark, d):
 
 def q_read_preferences_json(spark, d):
     from dialogprep.sources.readers import read_preferences
+    from dialogprep.sources.writers import write_preferences
 
     path = scratch_path(spark, "preferences_json")
-    prefs = _prefs(spark, d).withColumn("shard", shard_of(F.col("example_id"), N_SHARDS))
-    cols = prefs.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("example_id", "prompt", "chosen", "rejected"))).alias("r"))
-    cols.select(*[F.transform("r", _field(c)).alias(c) for c in ("prompt", "chosen", "rejected")]) \
-        .write.mode("overwrite").json(path)
+    write_preferences(_prefs(spark, d), path, rows_per_object=PREF_OBJECT_ROWS)
     back = read_preferences(spark, path, multi_line=False)
     return back.select(F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"),
                        F.md5("rejected").alias("rejected_md5"))

@@ -10,5 +10,6 @@ from dialogprep.sources.writers import (  # noqa: F401
     materialize,
     record_json,
     write_predictions,
+    write_preferences,
     write_submission,
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,19 +36,47 @@ def write_submission(df: DataFrame, path: str, order_col: str = "pos", mode: str
 
 
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None,
-                config: object = None) -> DataFrame:
+                config: object = None, reuse: bool = False) -> DataFrame:
     """Write to Parquet under the shared checkpoint folder and read back.
 
-    The folder is keyed by ``name`` and a hash of ``config``; an existing result
-    is reused (the reference's cache-file behaviour).  Reading back cuts the
-    lineage, so a lost executor never recomputes the upstream plan.
+    Reading back cuts the lineage, so a lost executor never recomputes the
+    upstream plan, and later jobs read only the columns they need.  With
+    ``reuse=True`` the folder is keyed by ``name`` and a hash of ``config`` and
+    a complete earlier result is reused (the reference's cache-file
+    behaviour); otherwise every call writes a fresh folder.
     """
     spark = spark or df.sparkSession
     root = ensure_checkpoint_dir(spark)
-    key = hashlib.sha1(repr(config).encode()).hexdigest()[:12]
-    path = f"{root}/dialogprep-cache/{name}-{key}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        df.write.mode("overwrite").parquet(path)
+    if reuse:
+        key = hashlib.sha1(repr(config).encode()).hexdigest()[:12]
+        path = f"{root}/dialogprep-cache/{name}-{key}"
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(jvm_path):
+            return spark.read.parquet(path)
+    else:
+        path = f"{root}/dialogprep-cache/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_preferences(df: DataFrame, path: str, key: str = "example_id", rows_per_object: int = 10000,
+                      mode: str = "overwrite") -> None:
+    """The reference's column-oriented preference format, written in pieces.
+
+    Rows are taken in ``key`` order and cut into objects of at most
+    ``rows_per_object`` rows; each object ``{prompt: [...], chosen: [...],
+    rejected: [...]}`` is one JSON line, so no object (and no task) grows with
+    the table.  :func:`~dialogprep.sources.readers.read_preferences` with
+    ``multi_line=False`` reads the folder back.
+    """
+    from dialogprep.operators.ordinal import order_rank
+
+    ranked = order_rank(df.select(key, "prompt", "chosen", "rejected"), key, "_rank")
+    objs = ranked.groupBy(F.floor(F.col("_rank") / rows_per_object).alias("_obj")).agg(
+        F.array_sort(F.collect_list(F.struct("_rank", "prompt", "chosen", "rejected"))).alias("_r"))
+    objs.select(
+        F.transform("_r", lambda x: x["prompt"]).alias("prompt"),
+        F.transform("_r", lambda x: x["chosen"]).alias("chosen"),
+        F.transform("_r", lambda x: x["rejected"]).alias("rejected"),
+    ).write.mode(mode).json(path)

@@ -1,9 +1,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from dialogprep.operators import collate, pack, shard_of
+from dialogprep.operators import collate, pack
 
 
 def collate_ref(rows, bs, pad):
@@ -41,13 +40,13 @@ def test_collate_matches_restatement(spark, n, bs):
         ids = [rng.choice([2, 5, 6, 7]) for _ in range(rng.randint(1, 6))]  # pad id inside ids too
         rows.append((k, ids, [-100] + ids[1:]))
     got = {r["example_id"]: (r["batch_id"], r["ids"], r["labels"], r["mask"])
-           for r in collate(_df(spark, rows), bs, pad).collect()}
+           for r in collate(_df(spark, rows), bs, pad, order="key").collect()}
     assert got == collate_ref(rows, bs, pad)
 
 
 def test_collate_mask_by_length(spark):
     rows = [(0, [5, 2], [5, 2]), (1, [5, 6, 7], [5, 6, 7])]
-    got = {r["example_id"]: r["mask"] for r in collate(_df(spark, rows), 2, 2, mask="by_length").collect()}
+    got = {r["example_id"]: r["mask"] for r in collate(_df(spark, rows), 2, 2, mask="by_length", order="key").collect()}
     assert got == {0: [1, 1, 0], 1: [1, 1, 1]}
 
 
@@ -66,14 +65,25 @@ def test_pack_matches_restatement(spark, sizes, block):
     assert [r["labels"] for r in got] == [[-x for x in c] for c in want]
 
 
-def test_pack_per_shard_random(spark):
+def test_pack_per_group_random(spark):
     rng = random.Random(3)
-    rows = [(k, [rng.randint(16, 99) for _ in range(rng.randint(0, 30))], None) for k in range(60)]
-    rows = [(k, ids, ids) for k, ids, _ in rows]
-    got = pack(_df(spark, rows), 16, shard=shard_of(F.col("example_id"), 3), cols=("input_ids", "labels"))
-    got = sorted(((r["shard"], r["chunk"]), r["input_ids"]) for r in got.collect())
+    rows = [(k, [rng.randint(16, 99) for _ in range(rng.randint(0, 30))]) for k in range(60)]
+    rows = [(k, ids, ids) for k, ids in rows]
+    got = pack(_df(spark, rows), 16, group_rows=7, cols=("input_ids", "labels"))
+    got = sorted(((r["group"], r["chunk"]), r["input_ids"]) for r in got.collect())
     want = []
-    for s in range(3):
-        for c, chunk in enumerate(pack_ref([ids for k, ids, _ in rows if k % 3 == s], 16)):
-            want.append(((s, c), chunk))
+    for g in range(0, 60, 7):
+        for c, chunk in enumerate(pack_ref([ids for k, ids, _ in rows[g:g + 7]], 16)):
+            want.append(((g // 7, c), chunk))
     assert got == sorted(want)
+
+
+def test_collate_with_shuffle_rank(spark):
+    from dialogprep.operators import shuffle
+
+    rows = [(k, [5] * (k % 4 + 1), [5] * (k % 4 + 1)) for k in range(9)]
+    ranked = shuffle(_df(spark, rows), "example_id", seed=3)
+    got = collate(ranked, 4, 2, rank_col="shuffle_rank", n_shards=2).collect()
+    order = sorted(got, key=lambda r: r["shuffle_rank"])
+    assert [r["batch_id"] for r in order] == [0, 0, 0, 0, 1, 1, 1, 1, 2]
+    assert [r["shard"] for r in order] == [0, 0, 0, 0, 1, 1, 1, 1, 0]
