@@ -111,10 +111,12 @@ class PieceTokenizer:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_str(spec)
+            # Offsets are not needed: use the fast batch path when available.
+            encode_batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
             head = [bos] if add_special else []
             for s in batches:
                 texts = s.fillna("").tolist()
-                encs = tok.encode_batch(texts, add_special_tokens=False)
+                encs = encode_batch(texts, add_special_tokens=False)
                 yield pd.Series(
                     [np.asarray(head + (e.ids if t else []), dtype=np.int32)
                      for e, t in zip(encs, texts)]
@@ -143,3 +145,32 @@ class PieceTokenizer:
                 )
 
         return decode_batches(ids)
+
+
+def byte_level_tokenizer_json(specials: tuple[str, ...] = ("<pad>", "<bos>", "<eos>")) -> str:
+    """A byte-level BPE without merges: one token per UTF-8 byte.
+
+    The vocabulary is built by rule - specials first, then byte ``b`` as id
+    ``len(specials) + b``, spelled with the usual printable byte-to-character
+    mapping of byte-level BPE - so no data or download is needed.  Useful as a
+    subword-path stand-in whose counts are checkable (bytes + specials).
+    """
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    printable = (list(range(ord("!"), ord("~") + 1)) + list(range(ord("¡"), ord("¬") + 1))
+                 + list(range(ord("®"), ord("ÿ") + 1)))
+    spelled, extra = {}, 0
+    for b in range(256):
+        if b in printable:
+            spelled[b] = chr(b)
+        else:
+            spelled[b] = chr(256 + extra)
+            extra += 1
+    vocab = {s: i for i, s in enumerate(specials)}
+    for b in range(256):
+        vocab[spelled[b]] = len(specials) + b
+    tok = Tokenizer(models.BPE(vocab=vocab, merges=[]))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tok.decoder = decoders.ByteLevel()
+    tok.add_special_tokens(list(specials))
+    return tok.to_str()

@@ -268,6 +268,10 @@ def build() -> dict[str, str]:
     q["tokenize"] = f"""SELECT doc_id, (length(text) + 1)::BIGINT AS n_tokens,
         {checksum(f"list_prepend(1, {enc('text')})")} AS checksum FROM documents"""
     q["detokenize"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
+    byte_ids = ("list_transform(range(0, octet_length(encode(text))), "
+                "lambda i: (('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INTEGER + 3))")
+    q["tokenize_pieces"] = f"""SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS n_tokens,
+        {checksum(f"list_prepend(1, {byte_ids})")} AS checksum, md5(text) AS text_md5 FROM documents"""
     sft = with_(EXAMPLES, SFT)
     q["sft_examples"] = sft + f"""SELECT conv_id, len(s)::BIGINT AS n_source, len(g)::BIGINT AS n_target,
         len(s)::BIGINT AS n_masked, (len(s) + len(g))::BIGINT AS n_attended,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dialogprep.functions import ids as I
 from dialogprep.functions import prompts as P
-from dialogprep.functions.tokens import CodepointTokenizer
+from dialogprep.functions.tokens import CodepointTokenizer, PieceTokenizer, byte_level_tokenizer_json
 from dialogprep.operators.assemble import examples_from_turns, pool_from_table, preferences_from_turns
 from dialogprep.operators.batches import collate, pack
 from dialogprep.operators.examples import (
@@ -210,6 +210,14 @@ def q_tokenize(spark, d):
     return docs.select("doc_id", _big(F.size("ids"), "n_tokens"), I.checksum(F.col("ids")).alias("checksum"))
 
 
+def q_tokenize_pieces(spark, d):
+    """The subword path: a byte-level tokenizer in an Arrow-batched iterator UDF."""
+    pt = PieceTokenizer(byte_level_tokenizer_json())
+    docs = _docs(spark, d).select("doc_id", "text", pt.encode(F.col("text"), add_special=True).alias("ids"))
+    return docs.select("doc_id", _big(F.size("ids"), "n_tokens"), I.checksum(F.col("ids")).alias("checksum"),
+                       F.md5(pt.decode(F.col("ids"))).alias("text_md5"))
+
+
 def q_detokenize(spark, d):
     docs = _docs(spark, d)
     back = TOK.decode(TOK.encode(F.col("text"), add_special=True), skip_special=True)
@@ -454,6 +462,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dynamic_few_shot": q_dynamic_few_shot,
     "tokenize": q_tokenize,
     "detokenize": q_detokenize,
+    "tokenize_pieces": q_tokenize_pieces,
     "sft_examples": q_sft_examples,
     "tapt_examples": q_tapt_examples,
     "training_table": q_training_table,

@@ -57,3 +57,17 @@ def test_piece_tokenizer_round_trip(spark):
         assert r["ids"][0] == pt.bos_token_id
         assert r["back"] == r["t"]
     assert tokenizers is not None
+
+
+def test_byte_level_piece_tokenizer(spark):
+    from dialogprep.functions import PieceTokenizer
+    from dialogprep.functions.tokens import byte_level_tokenizer_json
+
+    pt = PieceTokenizer(byte_level_tokenizer_json())
+    texts = ["", "abc", "é한😀\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", pt.encode(F.col("t"), add_special=True).alias("ids")).select(
+        "t", "ids", pt.decode(F.col("ids")).alias("back")).collect()
+    for r in rows:
+        assert r["ids"] == [pt.bos_token_id] + [b + 3 for b in r["t"].encode()]
+        assert r["back"] == r["t"]
