@@ -4,12 +4,14 @@ Spark's ``row_number().over(Window.orderBy(k))`` moves every row into one
 task.  Here the order key is first mapped to a *bucket* that is monotone in the
 key; rows are numbered (and summed) inside their bucket with a window
 partitioned by the bucket, and the per-bucket totals - one row per bucket, so
-bounded by the bucket count - are turned into offsets and broadcast back.
-Cost: one shuffle of the data plus a tiny aggregate.
+bounded by the bucket count - are turned into offsets and joined back.
+Cost: one shuffle of the data plus a key-only aggregate.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,10 @@ HASH_BUCKET_DIGITS = 4
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Quantile-bucket count: four per shuffle partition (at least 16)."""
+    """Quantile-bucket count: one per shuffle partition (at least 16), so a
+    bucket - one window partition - is about one task's share of the rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 4 * n)
+    return max(16, n)
 
 
 def hash_prefix_bucket(hex_col: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -32,26 +35,51 @@ def hash_prefix_bucket(hex_col: Column, digits: int = HASH_BUCKET_DIGITS) -> Col
     return F.coalesce(F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int"), F.lit(-1))
 
 
+def _stride(n_bounds: int) -> int:
+    return max(1, math.isqrt(max(n_bounds - 1, 0)) + 1)
+
+
 def quantile_bounds(df: DataFrame, key: str, n_buckets: int) -> Column:
-    """Approximate quantile bounds of a numeric key (a scalar subquery).
+    """Approximate quantile bounds of a numeric key (one scalar subquery).
 
-    The bound array has ``n_buckets - 1`` entries, so it is bounded by the
-    parameter, not by the data.
+    Returns ``struct(b, c)``: the ``n_buckets - 1`` sorted bounds ``b`` and the
+    coarse array ``c`` of every ``stride``-th bound (``stride ~ sqrt(n)``),
+    used by :func:`bucket_from_bounds` for a two-level lookup.  Both are
+    bounded by the parameter, not by the data.
     """
     probs = [i / n_buckets for i in range(1, max(n_buckets, 2))]
-    return df.select(F.percentile_approx(F.col(key), probs, 10000).alias("b")).scalar()
-
-
-def bucket_from_bounds(bounds: Column, key: Column) -> Column:
-    """Number of bounds below ``key`` (monotone in the key; never null, so
-    Spark infers no ``isnotnull`` filter that would copy the subquery)."""
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b < key)).cast("int"), F.lit(0))
+    stride = _stride(len(probs))
+    b = df.select(F.percentile_approx(F.col(key), probs, 10000).alias("b"))
+    return b.select(F.struct(
+        F.col("b").alias("b"),
+        F.filter("b", lambda x, i: i % stride == 0).alias("c"),
+    ).alias("q")).scalar()
+
+
+def bucket_from_bounds(bounds: Column, key: Column, n_bounds: int) -> Column:
+    """Number of bounds below ``key``: monotone in the key, O(2 sqrt(n)) per row.
+
+    ``bounds`` is the struct from :func:`quantile_bounds`.  With ``c`` coarse
+    bounds below the key, the first ``(c - 1) * stride + 1`` bounds are all
+    below it and none from index ``c * stride`` on, so only the ``stride - 1``
+    bounds in between need a look.  Never null, so Spark infers no
+    ``isnotnull`` filter that would copy the subquery.
+    """
+    s = _stride(n_bounds)
+    c = F.size(F.filter(bounds["c"], lambda x: x < key))
+    if s > 1:
+        middle = F.slice(bounds["b"], (c - 1) * s + 2, F.lit(s - 1))
+        fine = F.size(F.filter(middle, lambda x: x < key))
+    else:
+        fine = F.lit(0)
+    bucket = F.when(c == 0, F.lit(0)).otherwise((c - 1) * s + 1 + fine)
+    return F.coalesce(bucket.cast("int"), F.lit(0))
 
 
 def ordered_index(
     df: DataFrame,
     order_cols: list[str],
-    bucket: Column | tuple[Column, Column],
+    bucket: Column | tuple[Column, Column, int],
     rank_col: str | None = "rank",
     value: Column | None = None,
     running_col: str | None = None,
@@ -63,7 +91,7 @@ def ordered_index(
     ``total_col`` also adds the row count of the (partition of the) table,
     taken from the same per-bucket totals - no extra pass.
 
-    ``bucket`` (a Column, or a ``(bounds, key)`` pair from
+    ``bucket`` (a Column, or a ``(bounds, key, n_buckets)`` triple from
     :func:`quantile_bounds`) must be non-decreasing in ``order_cols`` (within
     ``partition_cols``); ``order_cols`` must be unique within a partition.
 
@@ -80,9 +108,9 @@ def ordered_index(
     else:
         # (bounds subquery, key): project the subquery first - Spark does not
         # allow a subquery as a higher-order function argument.
-        bounds, key = bucket
+        bounds, key, n = bucket
         b = df.withColumn("_bounds", bounds)
-        b = b.withColumn("_bkt", bucket_from_bounds(F.col("_bounds"), key)).drop("_bounds")
+        b = b.withColumn("_bkt", bucket_from_bounds(F.col("_bounds"), key, max(n, 2) - 1)).drop("_bounds")
     if value is not None:
         b = b.withColumn("_val", value)
     w = Window.partitionBy(*pcols, "_bkt").orderBy(*order_cols)
@@ -119,7 +147,7 @@ def ordered_index(
 def order_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int | None = None) -> DataFrame:
     """0-based rank of a unique numeric ``key`` without a single-task window."""
     n = n_buckets or default_buckets(df)
-    return ordered_index(df, [key], (quantile_bounds(df, key, n), F.col(key)), rank_col=rank_col)
+    return ordered_index(df, [key], (quantile_bounds(df, key, n), F.col(key), n), rank_col=rank_col)
 
 
 def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
