@@ -15,8 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Hash-prefix buckets use 4 hex digits: 65,536 buckets, so the broadcast
-# offset table stays near 1.5 MB while a bucket holds ~1/65,536 of the rows.
+# Hash-prefix buckets use 4 hex digits: 65,536 buckets, so the offset table
+# stays near 1.5 MB while a bucket holds ~1/65,536 of the rows.
 HASH_BUCKET_DIGITS = 4
 
 
@@ -168,11 +168,13 @@ def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has too few partitions.
+    """Round-robin repartition only when a *source scan* has too few splits.
 
     A large input arrives in many splits and is returned unchanged (no
     shuffle); a small table stored as one row group would otherwise run all of
-    its CPU-heavy per-row work (tokenising, rendering) in one task.
+    its CPU-heavy per-row work (tokenising, rendering) in one task.  Apply it
+    directly after a read: counting partitions is then file listing only
+    (after a shuffle, AQE already sizes the partitions).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:

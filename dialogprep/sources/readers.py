@@ -19,8 +19,9 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json", multi_line:
     survive to the output.  Malformed JSON rows are kept in ``_corrupt_record``
     (PERMISSIVE) - route them with :func:`split_corrupt`.  A file holding one
     JSON array yields one row per element (``multi_line=True``); JSON Lines
-    and Parquet stay splittable.  Records without ``id_col`` get a position
-    key (increasing in file order).
+    and Parquet stay splittable.  Records without ``id_col`` get a unique key
+    that increases in file order within each split (for a JSON array document,
+    which is read whole, that is its position order).
     """
     if fmt == "parquet":
         df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
