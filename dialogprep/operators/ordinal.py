@@ -144,10 +144,12 @@ def ordered_index(
     return out.select(*df.columns, *adds)
 
 
-def order_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int | None = None) -> DataFrame:
+def order_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int | None = None,
+               total_col: str | None = None) -> DataFrame:
     """0-based rank of a unique numeric ``key`` without a single-task window."""
     n = n_buckets or default_buckets(df)
-    return ordered_index(df, [key], (quantile_bounds(df, key, n), F.col(key), n), rank_col=rank_col)
+    return ordered_index(df, [key], (quantile_bounds(df, key, n), F.col(key), n), rank_col=rank_col,
+                         total_col=total_col)
 
 
 def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:

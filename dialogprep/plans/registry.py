@@ -24,6 +24,7 @@ from dialogprep.operators.examples import (
     preview,
     to_training_table,
 )
+from dialogprep.operators.ordinal import order_rank as order_rank_by
 from dialogprep.operators.ordinal import spread
 from dialogprep.operators.generate import (
     decode_prediction,
@@ -427,9 +428,13 @@ def q_submission_records(spark, d):
 
     path = scratch_path(spark, "submission")
     sub = _generated(spark, d).select(F.col("example_id").alias("pos"), "example_id", F.col("predict").alias("output"))
-    write_submission(sub, path, order_col="pos")
-    back = spark.read.schema("pos bigint, example_id bigint, output string").json(path)
-    ranked = file_order_index(back, rank_col="file_rank")
+    write_submission(sub, path, order_col="pos", as_json_array=True)
+    # Read the array back line by line: drop the brackets, strip separators.
+    lines = spark.read.text(path)
+    lines = file_order_index(lines, rank_col="line_rank").filter(~F.trim("value").isin("[", "]"))
+    body = F.regexp_replace(F.trim("value"), r",$", "")
+    rec = lines.select("line_rank", F.from_json(body, "pos bigint, example_id bigint, output string").alias("r"))
+    ranked = order_rank_by(rec.select("line_rank", "r.*"), "line_rank", "file_rank")
     return ranked.select(_cid(), _big(F.col("file_rank"), "file_rank"), F.md5("output").alias("output_md5"))
 
 

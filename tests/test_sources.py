@@ -58,3 +58,18 @@ def test_preferences_unequal_arrays_fail(spark):
     p = _tmpfile("bad.json", json.dumps({"prompt": ["p1", "p2"], "chosen": ["c1"], "rejected": ["r1", "r2"]}))
     with pytest.raises(Exception):
         read_preferences(spark, p).collect()
+
+
+def test_submission_as_one_json_array(spark):
+    from dialogprep.sources import write_submission
+
+    df = spark.createDataFrame([(i, f"out {i}", None if i % 3 else "x") for i in range(50)],
+                               "pos long, output string, note string").repartition(5)
+    out = scratch_path(spark, "test_sub")
+    write_submission(df, out, order_col="pos", as_json_array=True)
+    files = sorted(r["f"] for r in spark.read.text(out).select(F.input_file_name().alias("f")).distinct().collect())
+    text = "".join(r["value"] + "\n" for f in files
+                   for r in spark.read.text(f).collect())  # test: concatenate the parts in name order
+    recs = json.loads(text)
+    assert [r["pos"] for r in recs] == list(range(50))
+    assert recs[1]["note"] is None and recs[0]["note"] == "x"
