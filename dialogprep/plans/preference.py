@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogprep.operators.preferences import filter_by_length, shuffle, split_exact, truncate_preferences
 from dialogprep.sources.readers import read_preferences
+from dialogprep.sources.writers import materialize
 
 
 def preference_rows(prefs: DataFrame, tokenizer, key: str = "pair_id", cutoff: int = 4096,
@@ -24,10 +25,16 @@ def preference_rows(prefs: DataFrame, tokenizer, key: str = "pair_id", cutoff: i
 
 def build_preference_set(spark: SparkSession, path: str, out_path: str, tokenizer,
                          multi_line: bool = True, **kw) -> DataFrame:
-    """Read column-oriented preference files and write the prepared pairs by split."""
+    """Read column-oriented preference files and write the prepared pairs by split.
+
+    The parsed rows are written once under the checkpoint folder: the exact
+    split reads its input twice (numbering and bucket totals), and a JSON
+    document should be parsed only once.
+    """
     raw = read_preferences(spark, path, multi_line=multi_line)
     keyed = raw.withColumn("pair_id", F.concat_ws("#", F.col("part"), F.col("_obj").cast("string"),
                                                   F.col("pos").cast("string")))
-    out = preference_rows(keyed.drop("_obj"), tokenizer, key="pair_id", **kw)
+    rows = materialize(keyed.drop("_obj"), "preference_rows", spark)
+    out = preference_rows(rows, tokenizer, key="pair_id", **kw)
     out.write.mode("overwrite").partitionBy("split").parquet(out_path)
     return spark.read.parquet(out_path)
