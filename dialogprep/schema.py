@@ -127,9 +127,9 @@ class ChatTemplate:
     Special tokens are not part of the text: the tokenizer adds their ids.
     """
 
-    turn_start: str = "<start_of_turn>{role}\n"
-    turn_end: str = "<end_of_turn>\n"
-    generation_prompt: str = "<start_of_turn>assistant\n"
+    turn_start: str = "<|{role}|>\n"
+    turn_end: str = "<|end|>\n"
+    generation_prompt: str = "<|assistant|>\n"
     system_policy: str = "native"
     merge_separator: str = "\n\n"
     role_names: tuple[tuple[str, str], ...] = field(default_factory=tuple)

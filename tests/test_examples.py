@@ -28,7 +28,7 @@ def test_tapt_labels_copy_ids(spark, tok):
     rows = _rows(spark, tok, PromptConfig(do_tapt=True), [(1, [("A", "hi")], ["k"], "ans")])
     r = rows[(1, "summary")]
     assert r["labels"] == r["input_ids"] and r["target_ids"] == []
-    assert not r["source_text"].endswith("<start_of_turn>assistant\n")
+    assert not r["source_text"].endswith("<|assistant|>\n")
 
 
 def test_multitask_adds_topic_row(spark, tok):
@@ -41,7 +41,7 @@ def test_multitask_adds_topic_row(spark, tok):
 def test_instruction_mode_bypasses_template(spark, tok):
     rows = _rows(spark, tok, PromptConfig(use_custom_prompt=True), [(1, [("A", "hi")], ["k"], "ans")])
     r = rows[(1, "summary")]
-    assert r["source_text"].startswith("### Instruction") and "<start_of_turn>" not in r["source_text"]
+    assert r["source_text"].startswith("### Instruction") and "<|system|>" not in r["source_text"]
     assert r["messages"][0]["role"] == "user" and r["messages"][0]["content"] == r["source_text"]
 
 
@@ -65,4 +65,4 @@ def test_preview_unmasks_with_pad(spark, tok):
     e = encode_examples(build_prompts(make_examples(spark, [(1, [], [], "ok")]), PromptConfig(), None, tok), tok)
     r = preview(e, tok).collect()[0]
     assert r["label_text"].startswith("<eos>") and r["label_text"].endswith("ok<eos>")
-    assert r["input_text"].startswith("<bos><start_of_turn>system")
+    assert r["input_text"].startswith("<bos><|system|>")

@@ -52,11 +52,10 @@ def test_render_chat_native_and_merge(spark):
     df = spark.range(1)
     msgs = P.messages(F.lit("S"), F.lit("U"))
     native = _one(df, P.render_chat(msgs, ChatTemplate(), True))
-    assert native == ("<start_of_turn>system\nS<end_of_turn>\n<start_of_turn>user\nU<end_of_turn>\n"
-                      "<start_of_turn>assistant\n")
+    assert native == "<|system|>\nS<|end|>\n<|user|>\nU<|end|>\n<|assistant|>\n"
     merged = _one(df, P.render_chat(msgs, ChatTemplate(system_policy="merge",
                                                        role_names=(("user", "human"),)), False))
-    assert merged == "<start_of_turn>human\nS\n\nU<end_of_turn>\n"
+    assert merged == "<|human|>\nS\n\nU<|end|>\n"
 
 
 def test_one_shot_system_separator(spark):
