@@ -24,8 +24,6 @@ from dialogprep.operators.examples import (
     preview,
     to_training_table,
 )
-from dialogprep.operators.ordinal import order_rank as order_rank_by
-from dialogprep.operators.ordinal import spread
 from dialogprep.operators.generate import (
     decode_prediction,
     echo_line_generator,
@@ -33,6 +31,7 @@ from dialogprep.operators.generate import (
     join_predictions,
     map_batches,
 )
+from dialogprep.operators.ordinal import file_order_index, order_rank, spread
 from dialogprep.operators.preferences import (
     filter_by_length,
     shuffle,
@@ -43,7 +42,9 @@ from dialogprep.operators.preferences import (
 from dialogprep.operators.prompting import build_prompts, few_shot_budget, one_shot_example
 from dialogprep.schema import PromptConfig
 from dialogprep.session import scratch_path
-from dialogprep.sources.writers import materialize
+from dialogprep.sources.readers import read_examples, read_few_shot_pool, read_preferences
+from dialogprep.sources.writers import materialize, write_predictions, write_preferences, write_submission
+from dialogprep.streaming.prompts import stream_training_rows
 
 # Query parameters (FIXTURES.md section 2).
 SEED = 42
@@ -381,8 +382,6 @@ def q_batched_map(spark, d):
 
 
 def q_read_examples_json(spark, d):
-    from dialogprep.sources.readers import read_examples
-
     path = scratch_path(spark, "examples_json")
     examples(spark, d).withColumn("source", F.lit("conversations")).write.mode("overwrite").json(path)
     back = read_examples(spark, path)
@@ -391,8 +390,6 @@ def q_read_examples_json(spark, d):
 
 
 def q_read_few_shot_csv(spark, d):
-    from dialogprep.sources.readers import read_few_shot_pool
-
     path = scratch_path(spark, "pool_csv")
     pool(spark, d).orderBy("pos").select("text").write.mode("overwrite").option("header", True) \
         .option("escape", '"').option("quoteAll", True).csv(path)
@@ -401,9 +398,6 @@ def q_read_few_shot_csv(spark, d):
 
 
 def q_read_preferences_json(spark, d):
-    from dialogprep.sources.readers import read_preferences
-    from dialogprep.sources.writers import write_preferences
-
     path = scratch_path(spark, "preferences_json")
     write_preferences(_prefs(spark, d), path, rows_per_object=PREF_OBJECT_ROWS)
     back = read_preferences(spark, path, multi_line=False)
@@ -412,8 +406,6 @@ def q_read_preferences_json(spark, d):
 
 
 def q_predictions_jsonl(spark, d):
-    from dialogprep.sources.writers import write_predictions
-
     path = scratch_path(spark, "predictions_jsonl")
     preds = _generated(spark, d).select("example_id", "predict")
     write_predictions(preds, path)
@@ -423,9 +415,6 @@ def q_predictions_jsonl(spark, d):
 
 
 def q_submission_records(spark, d):
-    from dialogprep.operators.ordinal import file_order_index
-    from dialogprep.sources.writers import write_submission
-
     path = scratch_path(spark, "submission")
     sub = _generated(spark, d).select(F.col("example_id").alias("pos"), "example_id", F.col("predict").alias("output"))
     write_submission(sub, path, order_col="pos", as_json_array=True)
@@ -434,13 +423,11 @@ def q_submission_records(spark, d):
     lines = file_order_index(lines, rank_col="line_rank").filter(~F.trim("value").isin("[", "]"))
     body = F.regexp_replace(F.trim("value"), r",$", "")
     rec = lines.select("line_rank", F.from_json(body, "pos bigint, example_id bigint, output string").alias("r"))
-    ranked = order_rank_by(rec.select("line_rank", "r.*"), "line_rank", "file_rank")
+    ranked = order_rank(rec.select("line_rank", "r.*"), "line_rank", "file_rank")
     return ranked.select(_cid(), _big(F.col("file_rank"), "file_rank"), F.md5("output").alias("output_md5"))
 
 
 def q_stream_prompts(spark, d):
-    from dialogprep.streaming.prompts import stream_training_rows
-
     src = scratch_path(spark, "stream_src")
     examples(spark, d).write.mode("overwrite").parquet(src)
     out = stream_training_rows(spark, src, scratch_path(spark, "stream_out"), CFG, TOK,

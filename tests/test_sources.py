@@ -5,6 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from dialogprep.schema import EXAMPLE_SCHEMA
 from dialogprep.session import scratch_path
 from dialogprep.sources import read_examples, read_few_shot_pool, read_preferences, split_corrupt, write_predictions
 
@@ -38,7 +39,7 @@ def test_json_array_document_with_extra_and_null_fields(spark):
 
 def test_corrupt_rows_are_routed(spark):
     p = _tmpfile("c.jsonl", '{"output": "a"}\n{broken\n')
-    good, bad = split_corrupt(read_examples(spark, p, schema=__import__("dialogprep").EXAMPLE_SCHEMA))
+    good, bad = split_corrupt(read_examples(spark, p, schema=EXAMPLE_SCHEMA))
     assert len(good.collect()) == 1 and len(bad.collect()) == 1
 
 
