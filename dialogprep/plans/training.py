@@ -8,7 +8,7 @@ from a flat turn table it has exactly one shuffle (the assembly).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.operators.batches import collate, pack
@@ -35,11 +35,17 @@ def build_training_set(
     fmt: str = "json",
     multi_line: bool = True,
     key: str = "example_id",
+    row_token_limit: int = 4096,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Write ``(key, split, task, task_order, input_ids, labels, attention_mask)``.
 
     ``split`` is ``train`` and, with a dev file, ``eval``; ``with_train_dev``
-    also adds the dev rows to ``train`` (they stay the eval set too).
+    also adds the dev rows to ``train`` (they stay the eval set too).  If an
+    ``Observation`` is given it receives, from the write itself (no extra
+    pass), the row count, the rows whose target was null (treated as '') and
+    the rows longer than ``row_token_limit`` (kept, as the reference never
+    truncates).
     """
     pool = read_few_shot_pool(spark, pool_path) if pool_path else None
 
@@ -54,6 +60,13 @@ def build_training_set(
     else:
         table = train.withColumn("split", F.lit("train")).unionByName(
             prepared(dev_path).withColumn("split", F.lit("eval")))
+    if observation is not None:
+        table = table.observe(
+            observation,
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.when(F.col("output").isNull(), 1).otherwise(0)).alias("n_null_target"),
+            F.sum(F.when(F.size("input_ids") > row_token_limit, 1).otherwise(0)).alias("n_over_limit"),
+        )
     out = to_training_table(table, key, extra=("split", "task", "task_order"))
     out.write.mode("overwrite").partitionBy("split").parquet(out_path)
     return spark.read.parquet(out_path)

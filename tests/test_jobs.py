@@ -30,8 +30,14 @@ def test_training_set_invariants(spark, tok):
     ex = R.examples(spark, SF)
     train = _json_array(spark, ex.filter("example_id % 4 != 0"))
     dev = _json_array(spark, ex.filter("example_id % 4 = 0"))
+    from pyspark.sql import Observation
+
+    obs = Observation("train_build")
     out = build_training_set(spark, train, scratch_path(spark, "job_train"), PromptConfig(multitask=True), tok,
-                             dev_path=dev, with_train_dev=True)
+                             dev_path=dev, with_train_dev=True, observation=obs)
+    m = obs.get
+    assert m["n_rows"] == 2 * ex.count() + 2 * ex.filter("example_id % 4 = 0").count()
+    assert m["n_null_target"] == 0 and m["n_over_limit"] >= 0
     n = ex.count()
     counts = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     n_dev = ex.filter("example_id % 4 = 0").count()
