@@ -178,7 +178,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     directly after a read: counting partitions is then file listing only
     (after a shuffle, AQE already sizes the partitions).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, keep the plan as is
         return df
-    return df.repartition(target)
+    return df if current >= target else df.repartition(target)

@@ -45,14 +45,17 @@ def get_spark(master: str | None = None, app: str = "dialogprep",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set one only if the session has none."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session conf is visible
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="dialogprep-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    return (sc.getCheckpointDir() if sc else None) or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
