@@ -52,7 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="dialogprep-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # not a runtime-settable conf here; the context setting below suffices
+            pass
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return (sc.getCheckpointDir() if sc else None) or current

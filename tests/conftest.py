@@ -20,7 +20,7 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not (s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dialogprep-test-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dialogprep-test-"))
     ensure_checkpoint_dir(s)
     yield s
 
