@@ -309,6 +309,21 @@ def build() -> dict[str, str]:
         SELECT shard::BIGINT AS shard, batch_id::BIGINT AS batch_id, conv_id, pad_to::BIGINT AS pad_to,
             (pad_to - len(ids))::BIGINT AS n_pad, len(list_filter(pids, lambda x: x <> {pad}))::BIGINT AS n_attended,
             {checksum('pids')} AS ids_checksum, {checksum('plab')} AS labels_checksum FROM q"""
+    q["collate_eval"] = with_(EXAMPLES, SFT) + f""", b AS (SELECT conv_id,
+            (row_number() OVER (ORDER BY conv_id) - 1) // {R.EVAL_BATCH_SIZE} AS batch_id,
+            list_concat(s, g) AS ids, list_concat({repeat(-100, 'len(s)')}, g) AS lab FROM sft_ids),
+        p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS pad_to FROM b)
+        SELECT batch_id::BIGINT AS batch_id, conv_id, pad_to::BIGINT AS pad_to, len(ids)::BIGINT AS n_attended,
+            {checksum(f"list_concat(ids, {repeat(pad, 'pad_to - len(ids)')})")} AS ids_checksum,
+            {checksum(f"list_concat(lab, {repeat(-100, 'pad_to - len(lab)')})")} AS labels_checksum FROM p"""
+    tapt_ids = f"list_prepend(1, {enc(tapt_src)})"
+    topic_ids = f"list_prepend(1, {enc(topic_src)})"
+    kw_ids = f"CASE WHEN {kw_text('kws')} = '' THEN []::INT[] ELSE list_append({enc(kw_text('kws'))}, 2) END"
+    q["tapt_multitask"] = ex + f"""SELECT conv_id, 'summary' AS task, (length({tapt_src}) + 1)::BIGINT AS n_tokens,
+            0::BIGINT AS n_masked, {checksum(tapt_ids)} AS labels_checksum FROM ex
+        UNION ALL SELECT conv_id, 'topic' AS task, (len({topic_ids}) + len({kw_ids}))::BIGINT AS n_tokens,
+            len({topic_ids})::BIGINT AS n_masked,
+            {checksum(f"list_concat({repeat(-100, f'len({topic_ids})')}, {kw_ids})")} AS labels_checksum FROM ex"""
     q["pack_tokens"] = with_(EXAMPLES, SFT, _pack()) + f"""SELECT grp::BIGINT AS "group", chunk::BIGINT AS chunk,
         count(*)::BIGINT AS n_tokens, {checksum('list(id ORDER BY gpos)')} AS ids_checksum,
         {checksum('list(lb ORDER BY gpos)')} AS labels_checksum FROM kept_tokens GROUP BY grp, chunk"""

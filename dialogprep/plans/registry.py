@@ -57,6 +57,7 @@ N_SHARDS = 4
 PACK_GROUP_ROWS = 32
 PREF_OBJECT_ROWS = 16
 BATCH_SIZE = 2
+EVAL_BATCH_SIZE = 4
 PACK_BLOCK = 2048
 ROW_TOKEN_LIMIT = 4096
 ONE_SHOT_INDEXES = (0, 3, -1)
@@ -297,6 +298,25 @@ def q_collate_pad(spark, d):
     )
 
 
+def q_collate_eval(spark, d):
+    """Evaluation loader: key order, batches of 4, mask by original length."""
+    e = _encoded(spark, d)
+    c = collate(e, EVAL_BATCH_SIZE, TOK.pad_token_id, key="example_id", order="key", mask="by_length")
+    return c.select(
+        _big(F.col("batch_id"), "batch_id"), _cid(), _big(F.col("pad_to"), "pad_to"),
+        _big(F.aggregate("mask", F.lit(0), lambda z, x: z + x), "n_attended"),
+        I.checksum(F.col("ids")).alias("ids_checksum"), I.checksum(F.col("labels")).alias("labels_checksum"),
+    )
+
+
+def q_tapt_multitask(spark, d):
+    """Domain-adaptation rows plus topic rows (labels copied vs masked)."""
+    e = _encoded(spark, d, PromptConfig(do_tapt=True, multitask=True))
+    return e.select(_cid(), "task", _big(F.size("input_ids"), "n_tokens"),
+                    _big(F.size(F.filter("labels", lambda x: x == -100)), "n_masked"),
+                    I.checksum(F.col("labels")).alias("labels_checksum"))
+
+
 def q_pack_tokens(spark, d):
     # Packing is a second job over the written training table (as a large run
     # would do): its key-order pass then reads one Parquet column.
@@ -464,6 +484,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_stats": q_dataset_stats,
     "collate_pad": q_collate_pad,
     "pack_tokens": q_pack_tokens,
+    "collate_eval": q_collate_eval,
+    "tapt_multitask": q_tapt_multitask,
     "preference_filter": q_preference_filter,
     "preference_truncate": q_preference_truncate,
     "split_exact": q_split_exact,
