@@ -77,6 +77,12 @@ def enc(x: str) -> str:
             f"list_transform(string_split({x}, ''), lambda c: (unicode(c) + 16)::INT) END)")
 
 
+def byte_enc(x: str) -> str:
+    """Byte-level ids (UTF-8 byte + 3) of a string (INT list)."""
+    return (f"list_transform(range(0, octet_length(encode({x}))), "
+            f"lambda i: (('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::INTEGER + 3))")
+
+
 def checksum(lst: str) -> str:
     return (f"list_reduce(list_prepend(0::BIGINT, ({lst})::BIGINT[]), "
             f"lambda z, x: (z * {CHECKSUM_BASE} + x) % {CHECKSUM_MOD})")
@@ -268,8 +274,7 @@ def build() -> dict[str, str]:
     q["tokenize"] = f"""SELECT doc_id, (length(text) + 1)::BIGINT AS n_tokens,
         {checksum(f"list_prepend(1, {enc('text')})")} AS checksum FROM documents"""
     q["detokenize"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
-    byte_ids = ("list_transform(range(0, octet_length(encode(text))), "
-                "lambda i: (('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INTEGER + 3))")
+    byte_ids = byte_enc("text")
     q["tokenize_pieces"] = f"""SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS n_tokens,
         {checksum(f"list_prepend(1, {byte_ids})")} AS checksum, md5(text) AS text_md5 FROM documents"""
     sft = with_(EXAMPLES, SFT)
@@ -277,6 +282,12 @@ def build() -> dict[str, str]:
         len(s)::BIGINT AS n_masked, (len(s) + len(g))::BIGINT AS n_attended,
         {checksum('list_concat(s, g)')} AS ids_checksum,
         {checksum(f"list_concat({repeat(-100, 'len(s)')}, g)")} AS labels_checksum FROM sft_ids"""
+    q["sft_examples_pieces"] = with_(EXAMPLES) + f""", bsrc AS (SELECT conv_id, output, {chat_source('lines', 'kws')} AS src FROM ex),
+        b AS (SELECT conv_id, list_prepend(1, {byte_enc('src')}) AS s,
+                     CASE WHEN output = '' THEN []::INT[] ELSE list_append({byte_enc('output')}, 2) END AS g FROM bsrc)
+        SELECT conv_id, len(s)::BIGINT AS n_source, len(g)::BIGINT AS n_target,
+            {checksum('list_concat(s, g)')} AS ids_checksum,
+            {checksum(f"list_concat({repeat(-100, 'len(s)')}, g)")} AS labels_checksum FROM b"""
     tapt_src = ms["tapt"]
     q["tapt_examples"] = ex + f"""SELECT conv_id, (length({tapt_src}) + 1)::BIGINT AS n_tokens,
         {checksum(f"list_prepend(1, {enc(tapt_src)})")} AS labels_checksum FROM ex"""

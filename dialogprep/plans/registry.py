@@ -244,6 +244,15 @@ def q_sft_examples(spark, d):
     )
 
 
+def q_sft_examples_pieces(spark, d):
+    """The flagship through the subword path (byte-level tokenizer, Arrow-batched UDF)."""
+    pt = PieceTokenizer(byte_level_tokenizer_json())
+    e = encode_examples(build_prompts(examples(spark, d), CFG, None, pt), pt)
+    return e.select(_cid(), _big(F.size("source_ids"), "n_source"), _big(F.size("target_ids"), "n_target"),
+                    I.checksum(F.col("input_ids")).alias("ids_checksum"),
+                    I.checksum(F.col("labels")).alias("labels_checksum"))
+
+
 def q_tapt_examples(spark, d):
     e = _encoded(spark, d, PromptConfig(do_tapt=True))
     return e.select(_cid(), _big(F.size("input_ids"), "n_tokens"), I.checksum(F.col("labels")).alias("labels_checksum"))
@@ -476,6 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detokenize": q_detokenize,
     "tokenize_pieces": q_tokenize_pieces,
     "sft_examples": q_sft_examples,
+    "sft_examples_pieces": q_sft_examples_pieces,
     "tapt_examples": q_tapt_examples,
     "training_table": q_training_table,
     "preview": q_preview,

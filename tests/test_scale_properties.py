@@ -67,3 +67,23 @@ def test_few_shot_pool_is_a_subquery_not_a_join(spark):
     plan = _plan(R.q_dynamic_few_shot(spark, SF))
     assert "Subquery" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def _collect_sorted(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_ranked_operators_partition_independent(spark):
+    from dialogprep.operators import collate, pack, shuffle, split_exact
+
+    e = R._encoded(spark, SF).select("example_id", "input_ids", "labels", "attention_mask").cache()
+    outs = []
+    for n in (1, 5, 16):
+        d = e.repartition(n)
+        outs.append((
+            _collect_sorted(collate(d, 3, R.TOK.pad_token_id).select("example_id", "batch_id", "ids", "mask")),
+            _collect_sorted(pack(d, 300, group_rows=4).select("group", "chunk", "input_ids")),
+            _collect_sorted(split_exact(d, "example_id", 0.2).select("example_id", "split")),
+            _collect_sorted(shuffle(d, "example_id", 5).select("example_id", "shuffle_rank")),
+        ))
+    assert outs[0] == outs[1] == outs[2]
