@@ -66,3 +66,18 @@ def test_shuffle_is_a_permutation_and_deterministic(spark):
     assert r1 == r2 and sorted(r1) == list(range(200)) and r1 != list(range(200))
     ranks = sorted(r["shuffle_rank"] for r in shuffle(df, "k", 1).collect())
     assert ranks == list(range(200))
+
+
+def test_rank_with_shared_hash_prefixes(spark):
+    """Many keys in one hash-prefix bucket: ranks still follow (hash, key) order."""
+    import hashlib
+
+    from dialogprep.operators import hash_prefix_bucket, ordered_index
+    from dialogprep.operators.preferences import hash_key
+
+    df = spark.range(300).withColumnRenamed("id", "k").withColumn("_h", hash_key(F.col("k"), 7))
+    ranked = ordered_index(df, ["_h", "k"], hash_prefix_bucket(F.col("_h"), digits=1), rank_col="r")
+    got = [r["k"] for r in ranked.orderBy("r").collect()]
+    want = sorted(range(300), key=lambda k: (hashlib.md5(f"7|{k}".encode()).hexdigest(), k))
+    assert got == want
+    assert sorted(r["r"] for r in ranked.collect()) == list(range(300))
