@@ -4,8 +4,9 @@ Both start from a global order of the rows (a distributed rank, see
 :mod:`dialogprep.operators.ordinal`) and cut it into runs of consecutive rows:
 batches of ``batch_size`` rows for collation, groups of ``group_rows`` rows for
 packing (the reference packs per map batch of consecutive rows).  Every
-window below is partitioned by such a run, so its size is bounded by a
-parameter, never by the data.
+window runs on a narrow (key, length) table and is partitioned by such a run,
+so its size is bounded by a parameter, never by the data, and it never
+buffers token arrays; the results are attached to the rows by key.
 """
 
 from __future__ import annotations
@@ -13,7 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogprep.operators.ordinal import order_rank
+from dialogprep.operators.ordinal import (
+    attach,
+    default_buckets,
+    hash_prefix_bucket,
+    ordered_index,
+    quantile_bounds,
+)
+from dialogprep.operators.preferences import hash_key, key_list
 from dialogprep.schema import IGNORE_INDEX
 
 
@@ -32,7 +40,7 @@ def collate(
     df: DataFrame,
     batch_size: int,
     pad_id: int,
-    key: str = "example_id",
+    key: str | list[str] = "example_id",
     n_shards: int = 1,
     ids: str = "input_ids",
     labels: str = "labels",
@@ -45,28 +53,36 @@ def collate(
 
     Rows are taken in a seeded shuffle order (``order="shuffle"``, like the
     reference's training loader; hash-prefix buckets, no quantile pass), in
-    ``key`` order (``order="key"``, the evaluation loader), or by an existing
+    ``key`` order (``order="key"``, the evaluation loader; ``key`` is one or
+    more columns, unique together), or by an existing
     0-based ``rank_col``.  ``batch_id = rank div batch_size``; batches go
-    round-robin to ``n_shards`` devices (``shard = batch_id mod n_shards``).  ids are
-    padded with ``pad_id``, labels with -100.  ``mask="by_pad"`` reproduces the
-    reference (``ids != pad``, which also hides a real EOS when pad equals
-    EOS); ``mask="by_length"`` marks the original positions.
+    round-robin to ``n_shards`` devices (``shard = batch_id mod n_shards``).
+    ids are padded with ``pad_id``, labels with -100.  ``mask="by_pad"``
+    reproduces the reference (``ids != pad``, which also hides a real EOS when
+    pad equals EOS); ``mask="by_length"`` marks the original positions.
+
+    Ranks and batch maxima are computed on (key, length) only and attached
+    by key, so no window ever holds token arrays.
     """
+    keys = key_list(key)
+    n_ids = F.size(ids).alias("_n")
     if rank_col:
-        d = df
+        narrow = df.select(*keys, rank_col, n_ids).withColumnRenamed(rank_col, "_rank")
     elif order == "shuffle":
-        from dialogprep.operators.preferences import shuffle
-
-        d = shuffle(df, key, seed, rank_col="_rank")
+        narrow = df.select(*keys, n_ids, hash_key(keys, seed).alias("_h"))
+        narrow = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")), rank_col="_rank")
     elif order == "key":
-        d = order_rank(df, key, "_rank")
+        narrow = df.select(*keys, n_ids)
+        nb = default_buckets(narrow)
+        narrow = ordered_index(narrow, keys, (quantile_bounds(narrow, keys[0], nb), F.col(keys[0]), nb),
+                               rank_col="_rank")
     else:
         raise ValueError(f"unknown order {order!r}")
-    r = F.col(rank_col or "_rank")
-    d = d.withColumn("batch_id", F.floor(r / F.lit(batch_size)).cast("long"))
-    d = d.withColumn("shard", F.pmod(F.col("batch_id"), F.lit(n_shards)).cast("int"))
-    # Window of one batch: at most batch_size rows.
-    d = d.withColumn("pad_to", F.max(F.size(ids)).over(Window.partitionBy("batch_id")))
+    narrow = narrow.withColumn("batch_id", F.floor(F.col("_rank") / F.lit(batch_size)).cast("long"))
+    narrow = narrow.withColumn("shard", F.pmod(F.col("batch_id"), F.lit(n_shards)).cast("int"))
+    # Window of one batch: at most batch_size narrow rows.
+    narrow = narrow.withColumn("pad_to", F.max("_n").over(Window.partitionBy("batch_id")))
+    d = attach(df, narrow.select(*keys, "batch_id", "shard", "pad_to"), keys)
     n_pad = F.col("pad_to") - F.size(ids)
     d = d.withColumn("ids", F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), n_pad)))
     d = d.withColumn("labels_padded",
@@ -79,38 +95,44 @@ def collate(
     else:
         raise ValueError(f"unknown mask rule {mask!r}")
     d = d.withColumn("mask", m)
-    out = d.drop(ids, labels).withColumnRenamed("labels_padded", "labels")
-    return out.drop("_rank") if not rank_col else out
+    return d.drop(ids, labels).withColumnRenamed("labels_padded", "labels")
 
 
 def pack(
     df: DataFrame,
     block_size: int,
-    key: str = "example_id",
+    key: str | list[str] = "example_id",
     group_rows: int = 1000,
     cols: tuple[str, ...] = ("input_ids", "labels", "attention_mask"),
 ) -> DataFrame:
     """L1 (+ F4, G4): concatenate each group's arrays and cut ``block_size`` chunks.
 
-    A group is ``group_rows`` consecutive rows in ``key`` order (the
+    A group is ``group_rows`` consecutive rows in ``key`` order (one or more
+    columns, unique together; quantile buckets use the first) (the
     reference's map batch).  The remainder past the last full chunk of a group
     is dropped; a group with fewer than ``block_size`` tokens yields one short
     chunk; an all-empty group yields nothing.  Offsets come from the first
     column; all columns must have equal per-row sizes (true for training rows).
-    Windows span one group and chunks hold at most ``block_size`` tokens.
+    Ranks and offsets are computed on (key, length) only - windows span one
+    group of narrow rows - and attached by key; chunks hold at most
+    ``block_size`` tokens, so the regrouping never builds an unbounded group.
     """
     B = block_size
     first = cols[0]
-    d = order_rank(df.select(key, *cols), key, "_rank")
-    d = d.withColumn("group", F.floor(F.col("_rank") / F.lit(group_rows)).cast("long"))
-    d = d.withColumn("_len", F.size(first))
+    keys = key_list(key)
+    narrow = df.select(*keys, F.size(first).alias("_len"))
+    nb = default_buckets(narrow)
+    narrow = ordered_index(narrow, keys, (quantile_bounds(narrow, keys[0], nb), F.col(keys[0]), nb),
+                           rank_col="_rank")
+    narrow = narrow.withColumn("group", F.floor(F.col("_rank") / F.lit(group_rows)).cast("long"))
     w = Window.partitionBy("group").orderBy("_rank")
-    d = d.withColumn("_start", F.coalesce(
+    narrow = narrow.withColumn("_start", F.coalesce(
         F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    d = d.withColumn("_total", F.sum("_len").over(Window.partitionBy("group")).cast("long"))
+    narrow = narrow.withColumn("_total", F.sum("_len").over(Window.partitionBy("group")).cast("long"))
     limit = F.when(F.col("_total") >= B, F.floor(F.col("_total") / B).cast("long") * B).otherwise(F.col("_total"))
-    d = d.withColumn("_end", F.least(F.col("_start") + F.col("_len"), limit))
-    d = d.filter(F.col("_start") < F.col("_end"))
+    narrow = narrow.withColumn("_end", F.least(F.col("_start") + F.col("_len"), limit))
+    narrow = narrow.filter(F.col("_start") < F.col("_end")).select(*keys, "group", "_start", "_end")
+    d = attach(df.select(*keys, *cols), narrow, keys)
     d = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_start") / B).cast("long"),
                                                    F.floor((F.col("_end") - 1) / B).cast("long"))))
     lo = F.greatest(F.col("_start"), F.col("chunk") * B)

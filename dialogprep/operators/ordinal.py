@@ -88,7 +88,8 @@ def ordered_index(
 ) -> DataFrame:
     """Add a 0-based dense rank and/or an inclusive running total.
 
-    ``total_col`` also adds the row count of the (partition of the) table,
+    Works in place on ``df``: pass a narrow projection (keys and values) and
+    :func:`attach` the result to wide rows.  ``total_col`` also adds the row count of the (partition of the) table,
     taken from the same per-bucket totals - no extra pass.
 
     ``bucket`` (a Column, or a ``(bounds, key, n_buckets)`` triple from
@@ -144,12 +145,30 @@ def ordered_index(
     return out.select(*df.columns, *adds)
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Join results computed on a narrow per-key projection back to the full rows.
+
+    Windows then never buffer wide rows (a window holds a whole partition
+    group in memory before it spills, counted in rows, not bytes); when ``df``
+    is already partitioned by the key - as assembled records are - the wide
+    side of this join does not move at all.
+    """
+    if set(df.columns) <= set(per_key.columns):
+        return per_key.select(*df.columns, *[c for c in per_key.columns if c not in df.columns])
+    return df.join(per_key, on=keys, how="inner")
+
+
 def order_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int | None = None,
                total_col: str | None = None) -> DataFrame:
-    """0-based rank of a unique numeric ``key`` without a single-task window."""
-    n = n_buckets or default_buckets(df)
-    return ordered_index(df, [key], (quantile_bounds(df, key, n), F.col(key), n), rank_col=rank_col,
-                         total_col=total_col)
+    """0-based rank of a unique numeric ``key`` without a single-task window.
+
+    Computed on the key column alone and attached to the rows by key.
+    """
+    narrow = df.select(key)
+    n = n_buckets or default_buckets(narrow)
+    ranked = ordered_index(narrow, [key], (quantile_bounds(narrow, key, n), F.col(key), n), rank_col=rank_col,
+                           total_col=total_col)
+    return attach(df, ranked, [key])
 
 
 def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:

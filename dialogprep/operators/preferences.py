@@ -12,14 +12,22 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogprep.operators.ordinal import hash_prefix_bucket, ordered_index
+from dialogprep.operators.ordinal import attach, hash_prefix_bucket, ordered_index
 
 
-def hash_key(key: Column, seed: int | str) -> Column:
-    """md5 of ``seed|key`` as lowercase hex."""
+def hash_key(key: Column | list[str], seed: int | str) -> Column:
+    """md5 of ``seed|key`` (``seed|k1|k2...`` for several key columns) as lowercase hex."""
+    if isinstance(key, list):
+        parts = [F.col(k).cast("string") for k in key]
+        key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def key_list(key: str | list[str] | tuple[str, ...]) -> list[str]:
+    """A key given as one column name or several, as a list."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def filter_by_length(df: DataFrame, cutoff: int = 4096, prompt: str = "prompt",
                      chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Keep pairs with ``len(prompt) + len(answer) <= cutoff`` for both answers.
@@ -46,34 +54,37 @@ def split_hash(df: DataFrame, key: str, test_size: float, seed: int = 42,
     return df.withColumn(split_col, F.when(h8 < F.lit(threshold), "test").otherwise("train"))
 
 
-def split_exact(df: DataFrame, key: str, test_size: float, seed: int = 42,
+def split_exact(df: DataFrame, key: str | list[str], test_size: float, seed: int = 42,
                 split_col: str = "split") -> DataFrame:
     """H3 (exact): the first ``ceil(test_size * n)`` rows in hash order are test.
 
-    Rank by (hash, key) with hash-prefix buckets (no single-task sort); the
-    row count comes from the same bucket totals (no second pass, no driver
-    round trip).  A test size >= 1 is a row count, as in the reference's
+    Rank the keys by (hash, key) with hash-prefix buckets (no single-task
+    sort) and attach the split by key; the row count comes from the same
+    bucket totals (no second pass, no driver round trip).  A test size >= 1 is a row count, as in the reference's
     splitter.
     """
-    h = hash_key(F.col(key), seed)
-    ranked = ordered_index(df.withColumn("_h", h), ["_h", key], hash_prefix_bucket(F.col("_h")),
+    keys = key_list(key)
+    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed))
+    ranked = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")),
                            rank_col="_rank", total_col="_n")
     if test_size >= 1:
         n_test = F.lit(int(test_size))
     else:
         n_test = F.ceil(F.col("_n").cast("double") * F.lit(float(test_size)))
-    return ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train")
-                             ).drop("_h", "_rank", "_n")
+    split = ranked.select(*keys, F.when(F.col("_rank") < n_test, "test").otherwise("train").alias(split_col))
+    return attach(df, split, keys)
 
 
-def shuffle(df: DataFrame, key: str, seed: int = 42, rank_col: str = "shuffle_rank") -> DataFrame:
+def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, rank_col: str = "shuffle_rank") -> DataFrame:
     """H1: deterministic shuffle - a global 0-based rank in (hash, key) order.
 
     Numbered with hash-prefix buckets: no single task sees all rows.  Use the
     rank to order, batch (``collate(..., rank_col=...)``) or sample.
     """
-    d = df.withColumn("_h", hash_key(F.col(key), seed))
-    return ordered_index(d, ["_h", key], hash_prefix_bucket(F.col("_h")), rank_col=rank_col).drop("_h")
+    keys = key_list(key)
+    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed))
+    ranked = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")), rank_col=rank_col)
+    return attach(df, ranked.drop("_h"), keys)
 
 
 def truncate_preferences(df: DataFrame, tokenizer, max_length: int = 4096,

@@ -77,10 +77,11 @@ def training_batches(table: DataFrame, batch_size: int, pad_id: int, split: str
     """Padded batches of one split of a written training table (train: shuffled)."""
     rows = table.filter(F.col("split") == split)
     order = "shuffle" if split == "train" else "key"
-    return collate(rows, batch_size, pad_id, key=key, n_shards=n_shards, order=order, seed=seed)
+    # With the topic task a record has two rows: (key, task_order) is the row key.
+    return collate(rows, batch_size, pad_id, key=[key, "task_order"], n_shards=n_shards, order=order, seed=seed)
 
 
 def packed_blocks(table: DataFrame, block_size: int, split: str = "train", group_rows: int = 1000,
                   key: str = "example_id") -> DataFrame:
     """Fixed-length blocks of one split of a written training table."""
-    return pack(table.filter(F.col("split") == split), block_size, key=key, group_rows=group_rows)
+    return pack(table.filter(F.col("split") == split), block_size, key=[key, "task_order"], group_rows=group_rows)

@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     # Text stages are CPU-bound: keep AQE from merging small shuffles into a
     # handful of tasks (large inputs are far above this size anyway).
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # Training rows hold long token arrays: a vectorized Parquet batch holds
+    # this many rows at once per task, so keep it well below the 4096 default.
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
