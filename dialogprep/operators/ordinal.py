@@ -188,18 +188,28 @@ def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
     return out.drop("_f", "_m", "_fo")
 
 
+# Inputs up to this size are always spread over the cores: reshuffling them is
+# cheap, and a file's byte-range splits can be empty (a row group belongs to
+# the split holding its middle), so the split count alone can overstate the
+# parallelism of a small table.
+SMALL_INPUT_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a *source scan* has too few splits.
+    """Round-robin repartition a *source scan* that would run in too few tasks.
 
-    A large input arrives in many splits and is returned unchanged (no
-    shuffle); a small table stored as one row group would otherwise run all of
-    its CPU-heavy per-row work (tokenising, rendering) in one task.  Apply it
-    directly after a read: counting partitions is then file listing only
-    (after a shuffle, AQE already sizes the partitions).
+    Applies when the scan has fewer splits than cores, or when it is small
+    (at most ``SMALL_INPUT_BYTES`` by the optimizer's size estimate), since
+    its splits may hold no rows.  A large input is returned unchanged (no
+    shuffle).  Apply it directly after a read: counting partitions is then
+    file listing only (after a shuffle, AQE already sizes the partitions).
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # e.g. a Spark Connect session: no RDD view, keep the plan as is
         return df
-    return df if current >= target else df.repartition(target)
+    if target > 1 and (current < target or size <= SMALL_INPUT_BYTES):
+        return df.repartition(target)
+    return df
