@@ -207,7 +207,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # e.g. a Spark Connect session: no RDD view, keep the plan as is
         return df
     if target > 1 and (current < target or size <= SMALL_INPUT_BYTES):
