@@ -87,3 +87,14 @@ def test_ranked_operators_partition_independent(spark):
             _collect_sorted(shuffle(d, "example_id", 5).select("example_id", "shuffle_rank")),
         ))
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_spread_small_scan(spark):
+    from dialogprep.operators import spread
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    target = spark.sparkContext.defaultParallelism
+    spread_plan = spread(docs)._jdf.queryExecution().optimizedPlan().toString()
+    if target > 1:
+        assert "Repartition" in spread_plan
+    assert spread(docs, min_partitions=1).count() == docs.count()
