@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import exact_dedup, mixing, quality_rules, secret_scan, url_filter
+from dialogprep.llm import bpe, classifier, exact_dedup, license_scan, lm_score, mixing, quality_rules, secret_scan, url_filter
 from dialogprep.llm.common import table
 
+# The vocabulary files of the tokenizers package, read by the driver.
+BPE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BPE_PATTERN = public_tokenizers.PATTERN
+LM_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
 # The url rules (host, path, verdict).
 URL_RULES = (
     ("org", "/", "allow"),
@@ -28,11 +34,36 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return classifier.classify(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), LM_VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = bpe.decode(bpe.encode(docs, BPE_VOCABULARY, BPE_PATTERN), BPE_VOCABULARY, BPE_PATTERN)
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate_documents(table(spark, sf_dir, "documents"))
     return rated.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,7 +79,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op5_exact_dedup, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_mix_sources, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_lm_score, op8_byte_bpe,
+    op9_quality_rules, op10_secret_scan)}
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -71,9 +104,9 @@ WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3) + 1] AS w,
-             row_number() OVER (ORDER BY encode(source) NULLS LAST) AS at FROM s),
+             row_number() OVER (ORDER BY encode(source) NULLS LAST) AS pos FROM s),
 b AS (SELECT *, coalesce(sum(source_size) OVER o, 0) AS s0, coalesce(sum(w) OVER o, 0) AS w0 FROM w
-      WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / w, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT max(CAST((SELECT sum(source_size) FROM w) - 3 * s0 AS DOUBLE) / CAST((SELECT sum(w) FROM w) - w0 AS DOUBLE)) AS level FROM b),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * w) AS target FROM w, l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
