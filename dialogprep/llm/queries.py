@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import bpe, classifier, exact_dedup, license_scan, lm_score, mixing, quality_rules, secret_scan, url_filter
+from dialogprep.llm import bpe, classifier, exact_dedup, license_scan, lm_score, mixing, near_dedup, quality_rules, secret_scan, url_filter
 from dialogprep.llm.common import table
 
 # The vocabulary files of the tokenizers package, read by the driver.
@@ -34,6 +34,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("class_size").cast("long").alias("class_size"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -80,7 +85,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_mix_sources, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_lm_score, op8_byte_bpe,
+    op1_url_filter, op2_mix_sources, op3_near_dedup, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_lm_score, op8_byte_bpe,
     op9_quality_rules, op10_secret_scan)}
 
 _SPACE = r"\x20\x09-\x0D"
