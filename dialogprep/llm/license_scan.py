@@ -58,11 +58,12 @@ def tokens_of(text: str) -> list[str]:
     return [w for w in re.split(NOT_WORD, low) if w]
 
 
-def compile_template(template: str) -> str:
-    """The automaton of a template, over tokens that each end with a blank."""
+def compile_template(template: str, lead: str = "") -> str:
+    """The automaton of a template, over tokens that each end with a blank
+    (and begin with ``lead``)."""
     out, at, depth = [], 0, 0
     for m in [*_MARK.finditer(template), None]:
-        out += [re.escape(t) + " " for t in tokens_of(template[at:m.start() if m else len(template)])]
+        out += [lead + re.escape(t) + " " for t in tokens_of(template[at:m.start() if m else len(template)])]
         if m is None:
             break
         at = m.end()
@@ -76,10 +77,10 @@ def compile_template(template: str) -> str:
             out.append(")?")
         else:
             _, _, most = m[0][2:-2].rpartition(":")
-            out.append(f"(?:[^ ]+ ){{1,{int(most) if most.isdigit() else 8}}}?")
+            out.append(f"(?:{lead}[^ ]+ ){{1,{int(most) if most.isdigit() else 8}}}?")
     if depth:
         raise ValueError(f"optional region without end: {template}")
-    return "(?<= )" + "".join(out)
+    return "".join(out)
 
 
 def _spaces(c: Column) -> Column:
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.array_max(F.array(*[x for _, _, _, x in found], null)).alias("last_word"),
         F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for label, n, _, _ in found], F.lit(None).cast("string"))).alias("base"),
     )
-    automata = {label: "|".join(f"(?:{compile_template(t)})" for t in ts) for label, ts in templates.items()}
+    automata = {label: "|".join(f"(?<= )(?:{compile_template(t)})" for t in ts) for label, ts in templates.items()}
     hit = F.array_compact(F.array(*[F.when(F.col("norm").rlike(a), F.lit(label)) for label, a in automata.items()], F.lit(None).cast("string")))
     # Words that stay when the accepted passages are taken out.
     rest = F.regexp_replace("norm", "|".join(automata.values()) or "(?!)", "")

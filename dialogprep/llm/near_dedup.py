@@ -203,7 +203,7 @@ def _similar(threshold: float):
                 wa = np.frombuffer(ca, np.int32) if ca is not None else np.ones(len(ea), np.int32)
                 wb = np.frombuffer(cb, np.int32) if cb is not None else np.ones(len(eb), np.int32)
                 both = int(np.minimum(wa[ia], wb[ib]).sum())
-                good.append(both >= threshold * (int(wa.sum()) + int(wb.sum()) - both))
+                good.append(both + 1e-9 >= threshold * (int(wa.sum()) + int(wb.sum()) - both))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 

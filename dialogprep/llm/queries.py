@@ -87,40 +87,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_near_dedup, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_lm_score, op8_byte_bpe,
     op9_quality_rules, op10_secret_scan)}
-
-_SPACE = r"\x20\x09-\x0D"
-
-ORACLE = {
-    "op1_url_filter": """
-WITH r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
-                                       ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-p AS (
-  SELECT row_number() OVER () AS n, page_id,
-         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages),
-m AS (
-  SELECT p.n, max(struct_pack(len := length(r.host || r.path), host_len := length(r.host), rule := r.host || r.path, verdict := r.verdict)) AS v
-  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
-  GROUP BY p.n)
-SELECT page_id, host, path, v.rule AS rule, coalesce(v.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)""",
-    "op2_mix_sources": rf"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3) + 1] AS w,
-             row_number() OVER (ORDER BY encode(source) NULLS LAST) AS pos FROM s),
-b AS (SELECT *, coalesce(sum(source_size) OVER o, 0) AS s0, coalesce(sum(w) OVER o, 0) AS w0 FROM w
-      WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT max(CAST((SELECT sum(source_size) FROM w) - 3 * s0 AS DOUBLE) / CAST((SELECT sum(w) FROM w) - w0 AS DOUBLE)) AS level FROM b),
-t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * w) AS target FROM w, l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
-c AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
-             CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
-    "op5_exact_dedup": """
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
-g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
-}
