@@ -41,7 +41,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w["n"]).alias("group_size"), F.explode("ws").alias("w"),
     ).select("d", "keep_id", "group_size", F.col("w.rep").alias("r"), F.col("w.salt").alias("s"))
     left = salted.select("digest", "salt", "rep", "ids")
-    both = left.join(combined, (left["digest"] == combined["d"]) & (left["salt"] == combined["s"]) & left["rep"].eqNullSafe(combined["r"]))
+    # Null-safe on all keys: a plain equality would add not-null filters to one
+    # branch, and the two branches would no longer share one exchange.
+    same = [left[a].eqNullSafe(combined[b]) for a, b in (("digest", "d"), ("salt", "s"), ("rep", "r"))]
+    both = left.join(combined, same[0] & same[1] & same[2])
     each = both.select("digest", "keep_id", "group_size", F.posexplode(F.sort_array("ids", asc=False)).alias("i", "e"))
     return each.select(
         F.col("e.id").alias("id"), "keep_id", "group_size",
@@ -58,6 +61,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("kid"), F.col("digest").alias("kd"))
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
                     F.sha2(ascii_lower(text_of(docs[text_col])).cast("binary"), 256).alias("digest"))
-    d = d.join(kept, d["id"].eqNullSafe(kept["kid"]) & (d["digest"] == kept["kd"]), "left_semi")
+    d = d.join(kept, d["id"].eqNullSafe(kept["kid"]) & d["digest"].eqNullSafe(kept["kd"]), "left_semi")
     same = Window.partitionBy("id", "digest").orderBy("row")
     return d.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
