@@ -7,11 +7,12 @@ them, and their lengths the offsets in code points.
 The method adds spans of kind ``markov``: tokens of ``[A-Za-z0-9+/_=-]`` of 20
 or more characters that hold a digit and a letter, overlap no pattern span, and
 whose log-likelihood ratio per character, random string against ordinary text,
-is above a limit.  The two first-order Markov models count character pairs of
-labelled samples: random strings (hex and base64 of hashes of the sampled ids,
-random by construction) and the words of the sampled documents.  The sample is
-the ``TRAIN_DOCS`` documents of lowest hashed id; the model has at most 67 * 67
-pairs, whatever the input.
+is above a limit.  First-order Markov models count character pairs of labelled
+samples: random strings of three alphabets (hex, base64 and upper case with
+digits, all written from hashes of the sampled ids, so random by construction;
+the best of the three counts) and the words of the sampled documents.  The
+sample is the ``TRAIN_DOCS`` documents of lowest hashed id; a model has at most
+68 * 68 pairs, whatever the input.
 
 Defined results: null text is empty; an empty text has no spans; repeated rows
 give repeated rows; an empty table gives no rows and trains nothing; without
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ QUICK = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"
 LISTED = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]{32,}+"}
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
 TRAIN_DOCS = 2000
-MIN_RATIO = 0.35
+MIN_RATIO = 1.2
 SMOOTH = 0.5
+BACK_OFF = 10.0
 OTHER = "~"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" + OTHER
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -79,51 +82,60 @@ def _pairs(strings: DataFrame, label: str) -> DataFrame:
     return strings.select(pair.alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(label))
 
 
-def train_markov(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> dict[str, float]:
-    """Pair -> log(P(next | char, random) / P(next | char, ordinary)); at most 68 * 68 entries."""
+def train_markov(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> list[dict[str, float]]:
+    """For each kind of random string: pair -> log(P(next | char, random) / P(next | char, ordinary))."""
     d = docs.select(docs[id_col].cast("string").alias("id"), text_of(docs[text_col]).alias("t"))
     chosen = d.select(F.xxhash64("id").alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
     if chosen is None:
-        return {}
+        return []
     sample = d.filter(F.xxhash64("id") <= chosen)
     word = sample.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("s"))
     word = word.filter((F.length("s") < 20) | ~F.col("s").rlike("[0-9]"))
-    d1 = F.sha2(F.concat(F.lit("a"), F.coalesce("id", F.lit(""))), 256)
-    d2 = F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.coalesce("id", F.lit(""))), 256)))
-    rand = sample.select(F.explode(F.array(d1, F.translate(d2, "+/=", "xyz"), d2, F.upper(F.translate(d2, "+/=", "xyz")))).alias("s"))
-    counts = {(r["label"], r["pair"]): r["n"] for r in _pairs(word, "word").unionByName(_pairs(rand, "random")).collect()}
-    if not any(k[0] == "word" for k in counts):
-        return {}
-    out = {}
-    for a in ALPHABET:
-        logs = {}
-        for label in ("random", "word"):
-            total = sum(counts.get((label, a + b), 0) for b in ALPHABET) + SMOOTH * len(ALPHABET)
-            logs[label] = {b: math.log((counts.get((label, a + b), 0) + SMOOTH) / total) for b in ALPHABET}
-        out |= {a + b: logs["random"][b] - logs["word"][b] for b in ALPHABET}
-    return out
-
-
-def log_ratio(token: Column, model: dict[str, float]) -> Column:
-    """Mean log-likelihood ratio per character pair of a token of the alphabet.
-
-    The model is one array literal, indexed by the two characters' codes.
+    seed = lambda tag: F.sha2(F.concat(F.lit(tag), F.coalesce("id", F.lit(""))), 256)
+    b64 = lambda tag: F.base64(F.unhex(seed(tag)))
+    made = {"hex": seed("a"), "base64": F.array_join(F.array(F.translate(b64("b"), "+/=", "xyz"), b64("c")), ""), "upper": F.upper(F.translate(b64("d"), "+/=", "xyz"))}
+    samples = _pairs(word, "word")
+    for label, text in made.items():
+        samples = samples.unionByName(_pairs(sample.select(text.alias("s")), label))
+    counts = {(r["label"], r["pair"]): r["n"] for r in samples.collect()}  # at most 4 * 68 * 68 rows
+    if not any(label == "word" for label, _ in counts):
+        return []
+
+    def logs(label: str) -> dict[str, float]:
+        """Pairs back off to how common the second character is."""
+        single = {b: SMOOTH + sum(counts.get((label, a + b), 0) for a in ALPHABET) for b in ALPHABET}
+        every, out = sum(single.values()), {}
+        for a in ALPHABET:
+            total = sum(counts.get((label, a + b), 0) for b in ALPHABET) + BACK_OFF
+            out |= {a + b: math.log((counts.get((label, a + b), 0) + BACK_OFF * single[b] / every) / total) for b in ALPHABET}
+        return out
+
+    ordinary = logs("word")
+    return [{pair: v - ordinary[pair] for pair, v in logs(label).items()} for label in made]
+
+
+def log_ratio(token: Column, models: list[dict[str, float]]) -> Column:
+    """Mean log-likelihood ratio per character pair, by the best of the models.
+
+    A model is one array, indexed by the two characters' places in the alphabet.
     """
-    table = [0.0] * (128 * 128)
-    for pair, v in model.items():
-        table[ord(pair[0]) * 128 + ord(pair[1])] = v
-    codes = F.transform(F.split(F.concat(F.lit(OTHER), token, F.lit(OTHER)), ""), lambda c: F.ascii(c))
-    lit = F.from_json(F.lit(str([round(x, 4) for x in table])), "array<double>")
-    first = F.struct(F.lit(126).alias("last"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(F.slice(codes, F.lit(2), F.length(token) + 1), first, lambda a, c: F.struct(
-        c.alias("last"), (a["sum"] + F.get(lit, a["last"] * 128 + c)).alias("sum")), lambda a: a["sum"])
-    return total / (F.length(token) + 1)
-
-
-def markov_spans(text: Column, base: Column, model: dict[str, float], min_ratio: float = MIN_RATIO) -> Column:
+    n = len(ALPHABET)
+    tables = [F.lit(np.array([m[a + b] for a in ALPHABET for b in ALPHABET])) for m in models]
+    chars = F.split(F.concat(token, F.lit(OTHER)), "")
+    start = F.struct(F.lit(n - 1).alias("last"), *[F.lit(0.0).alias(f"s{k}") for k in range(len(tables))])
+
+    def step(a, c):
+        at = F.instr(F.lit(ALPHABET), c) - 1
+        return F.struct(at.alias("last"), *[(a[f"s{k}"] + F.get(t, a["last"] * n + at)).alias(f"s{k}") for k, t in enumerate(tables)])
+
+    best = F.aggregate(F.filter(chars, lambda c: c != ""), start, step, lambda a: F.greatest(*[a[f"s{k}"] for k in range(len(tables))]) if len(tables) > 1 else a["s0"])
+    return best / (F.length(token) + 1)
+
+
+def markov_spans(text: Column, base: Column, models: list[dict[str, float]], min_ratio: float = MIN_RATIO) -> Column:
     """Spans of tokens that look random and overlap no base span."""
     none = F.array().cast(SPAN)
-    if not model:
+    if not models:
         return none
     found = spans(text, TOKEN, "markov", len(KINDS))
     # The span's text, to score it: a token of 20 or more characters.
@@ -131,7 +143,7 @@ def markov_spans(text: Column, base: Column, model: dict[str, float], min_ratio:
 
     def random(s):
         tok = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        return tok.rlike("[0-9]") & tok.rlike("[A-Za-z]") & (log_ratio(tok, model) > min_ratio)
+        return tok.rlike("[0-9]") & tok.rlike("[A-Za-z]") & (log_ratio(tok, models) > min_ratio)
 
     return F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), F.filter(judged, random)).otherwise(none)
 
@@ -139,10 +151,10 @@ def markov_spans(text: Column, base: Column, model: dict[str, float], min_ratio:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """One row per document: ``id, text, base, spans``; both arrays of
     (start, rank, end, kind) in order, offsets in code points, end exclusive."""
-    model = train_markov(docs, id_col, text_col)
+    models = train_markov(docs, id_col, text_col)
     d = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
     d = d.withColumn("base", base_spans(F.col("text")))
-    return d.withColumn("spans", F.sort_array(F.concat("base", markov_spans(F.col("text"), F.col("base"), model, min_ratio))))
+    return d.withColumn("spans", F.sort_array(F.concat("base", markov_spans(F.col("text"), F.col("base"), models, min_ratio))))
 
 
 def span_list(col: Column) -> Column:
