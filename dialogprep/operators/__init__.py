@@ -12,29 +12,30 @@ from dialogprep.operators.examples import (  # noqa: F401
     concat_splits,
     dataset_stats,
     encode_examples,
+    mark_dev_rows,
     preview,
     to_training_table,
 )
 from dialogprep.operators.generate import (  # noqa: F401
     decode_prediction,
-    echo_line_generator,
     generate_column,
     join_predictions,
     map_batches,
     with_prediction,
 )
 from dialogprep.operators.ordinal import (  # noqa: F401
-    bucket_from_bounds,
-    default_buckets,
     order_rank,
     spread,
     file_order_index,
     hash_prefix_bucket,
     ordered_index,
-    quantile_bounds,
+    by_range,
+    add_position,
+    position_columns,
 )
 from dialogprep.operators.preferences import (  # noqa: F401
     filter_by_length,
+    preview_preferences,
     shuffle,
     split_exact,
     split_hash,

@@ -11,15 +11,16 @@ buffers token arrays; the results are attached to the rows by key.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogprep.operators.ordinal import (
     attach,
-    default_buckets,
+    by_range,
     hash_prefix_bucket,
     ordered_index,
-    quantile_bounds,
 )
 from dialogprep.operators.preferences import hash_key, key_list
 from dialogprep.schema import IGNORE_INDEX
@@ -69,13 +70,10 @@ def collate(
     if rank_col:
         narrow = df.select(*keys, rank_col, n_ids).withColumnRenamed(rank_col, "_rank")
     elif order == "shuffle":
-        narrow = df.select(*keys, n_ids, hash_key(keys, seed).alias("_h"))
+        narrow = df.select(*keys, n_ids, hash_key(keys, seed, "shuffle").alias("_h"))
         narrow = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")), rank_col="_rank")
     elif order == "key":
-        narrow = df.select(*keys, n_ids)
-        nb = default_buckets(narrow)
-        narrow = ordered_index(narrow, keys, (quantile_bounds(narrow, keys[0], nb), F.col(keys[0]), nb),
-                               rank_col="_rank")
+        narrow = ordered_index(by_range(df.select(*keys, n_ids), keys), keys, F.col("_range"), rank_col="_rank")
     else:
         raise ValueError(f"unknown order {order!r}")
     narrow = narrow.withColumn("batch_id", F.floor(F.col("_rank") / F.lit(batch_size)).cast("long"))
@@ -108,8 +106,8 @@ def pack(
     """L1 (+ F4, G4): concatenate each group's arrays and cut ``block_size`` chunks.
 
     A group is ``group_rows`` consecutive rows in ``key`` order (one or more
-    columns, unique together; quantile buckets use the first) (the
-    reference's map batch).  The remainder past the last full chunk of a group
+    columns of any orderable type, unique together) (the reference's
+    map batch).  The remainder past the last full chunk of a group
     is dropped; a group with fewer than ``block_size`` tokens yields one short
     chunk; an all-empty group yields nothing.  Offsets come from the first
     column; all columns must have equal per-row sizes (true for training rows).
@@ -120,10 +118,10 @@ def pack(
     B = block_size
     first = cols[0]
     keys = key_list(key)
-    narrow = df.select(*keys, F.size(first).alias("_len"))
-    nb = default_buckets(narrow)
-    narrow = ordered_index(narrow, keys, (quantile_bounds(narrow, keys[0], nb), F.col(keys[0]), nb),
-                           rank_col="_rank")
+    differ = F.raise_error(F.lit(f"columns {list(cols)} differ in length"))
+    equal = functools.reduce(lambda x, y: x & y, [F.size(c) == F.size(first) for c in cols], F.lit(True))
+    narrow = df.select(*keys, F.when(equal, F.size(first)).otherwise(differ).alias("_len"))
+    narrow = ordered_index(by_range(narrow, keys), keys, F.col("_range"), rank_col="_rank")
     narrow = narrow.withColumn("group", F.floor(F.col("_rank") / F.lit(group_rows)).cast("long"))
     w = Window.partitionBy("group").orderBy("_rank")
     narrow = narrow.withColumn("_start", F.coalesce(
@@ -131,8 +129,8 @@ def pack(
     narrow = narrow.withColumn("_total", F.sum("_len").over(Window.partitionBy("group")).cast("long"))
     limit = F.when(F.col("_total") >= B, F.floor(F.col("_total") / B).cast("long") * B).otherwise(F.col("_total"))
     narrow = narrow.withColumn("_end", F.least(F.col("_start") + F.col("_len"), limit))
-    narrow = narrow.filter(F.col("_start") < F.col("_end")).select(*keys, "group", "_start", "_end")
-    d = attach(df.select(*keys, *cols), narrow, keys)
+    d = attach(df.select(*keys, *cols), narrow.select(*keys, "group", "_start", "_end"), keys)
+    d = d.filter(F.col("_start") < F.col("_end"))
     d = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_start") / B).cast("long"),
                                                    F.floor((F.col("_end") - 1) / B).cast("long"))))
     lo = F.greatest(F.col("_start"), F.col("chunk") * B)

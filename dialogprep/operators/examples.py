@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogprep.functions import ids as I
@@ -45,9 +45,14 @@ def concat_splits(train: DataFrame, dev: DataFrame, split_col: str = "split") ->
     Bag union (no dedup); the result carries a ``split`` column with values
     ``train`` (train and dev rows) and ``eval`` (dev rows).
     """
-    return (train.withColumn(split_col, F.lit("train"))
-            .unionByName(dev.withColumn(split_col, F.lit("train")))
-            .unionByName(dev.withColumn(split_col, F.lit("eval"))))
+    twice = F.explode(F.array(F.lit("train"), F.lit("eval")))  # one pass over dev
+    return train.withColumn(split_col, F.lit("train")).unionByName(dev.withColumn(split_col, twice))
+
+
+def mark_dev_rows(df: DataFrame, is_dev: Column, split_col: str = "split") -> DataFrame:
+    """I1 from one table: rows where ``is_dev`` holds appear as ``train`` and as ``eval``."""
+    names = F.when(is_dev, F.array(F.lit("train"), F.lit("eval"))).otherwise(F.array(F.lit("train")))
+    return df.withColumn(split_col, F.explode(names))
 
 
 def dataset_stats(df: DataFrame, group_cols: tuple[str, ...] = ("split",),

@@ -44,12 +44,10 @@ def generate_column(df: DataFrame, fn_factory: Callable[[], Callable[[list], lis
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = fn_factory()
         for pdf in batches:
-            outs: list = []
-            prompts = pdf[prompt_col].tolist()
-            for i in range(0, len(prompts), batch_size):
-                outs.extend(fn([list(p) for p in prompts[i:i + batch_size]]))
-            pdf[out_col] = [np.asarray(o, dtype=np.int32) for o in outs]
-            yield pdf
+            for i in range(0, len(pdf), batch_size):
+                part = pdf.iloc[i:i + batch_size].copy()
+                part[out_col] = [np.asarray(o, dtype=np.int32) for o in fn([list(p) for p in part[prompt_col]])]
+                yield part  # a batch's outputs leave before the next is generated
 
     return df.mapInPandas(run, schema)
 
@@ -71,37 +69,3 @@ def with_prediction(df: DataFrame, predict_col: str = "predict", replace_output:
     if replace_output:
         return df.withColumn("output", F.col(predict_col)).drop(predict_col)
     return df
-
-
-def echo_line_generator(marker_ids: list[int], stop_id: int, eos_id: int,
-                        max_new_tokens: int = 1024) -> Callable[[], Callable[[list], list]]:
-    """A deterministic *stand-in* for a language model, for tests and checks.
-
-    It "generates" the ids that follow the last occurrence of ``marker_ids``
-    in the prompt, up to the next ``stop_id`` and at most ``max_new_tokens``,
-    then EOS.  A real model is supplied by the user in the same shape.
-    """
-    marker = np.asarray(marker_ids, dtype=np.int64)
-
-    def factory() -> Callable[[list], list]:
-        m = len(marker)
-
-        def gen(prompts: list) -> list:
-            outs = []
-            for p in prompts:
-                a = np.asarray(p, dtype=np.int64)
-                cont: list[int] = []
-                if m and len(a) >= m:
-                    win = np.lib.stride_tricks.sliding_window_view(a, m)
-                    hits = np.flatnonzero((win == marker).all(axis=1))
-                    if len(hits):
-                        rest = a[hits[-1] + m:]
-                        stops = np.flatnonzero(rest == stop_id)
-                        cut = stops[0] if len(stops) else len(rest)
-                        cont = rest[:min(cut, max_new_tokens)].tolist()
-                outs.append(list(p) + cont + [eos_id])
-            return outs
-
-        return gen
-
-    return factory

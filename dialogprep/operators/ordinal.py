@@ -10,23 +10,19 @@ Cost: one shuffle of the data plus a key-only aggregate.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogprep.session import ensure_checkpoint_dir
+
 # Hash-prefix buckets use 4 hex digits: 65,536 buckets, so the offset table
 # stays near 1.5 MB while a bucket holds ~1/65,536 of the rows.
 HASH_BUCKET_DIGITS = 4
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Quantile-bucket count: one per shuffle partition (at least 16), so a
-    bucket - one window partition - is about one task's share of the rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, n)
-
-
 def hash_prefix_bucket(hex_col: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
     """Bucket of a lowercase hex digest: its first ``digits`` hex digits as int.
 
@@ -35,51 +31,28 @@ def hash_prefix_bucket(hex_col: Column, digits: int = HASH_BUCKET_DIGITS) -> Col
     return F.coalesce(F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int"), F.lit(-1))
 
 
-def _stride(n_bounds: int) -> int:
-    return max(1, math.isqrt(max(n_bounds - 1, 0)) + 1)
+# Rows of one range of :func:`by_range`: a window holds about this many narrow rows.
+ROWS_PER_RANGE = 200_000
 
 
-def quantile_bounds(df: DataFrame, key: str, n_buckets: int) -> Column:
-    """Approximate quantile bounds of a numeric key (one scalar subquery).
+def by_range(df: DataFrame, order_cols: list[str], rows_per_range: int = ROWS_PER_RANGE, col: str = "_range") -> DataFrame:
+    """``df`` (a narrow projection) with an ordinal of its range in ``order_cols`` order.
 
-    Returns ``struct(b, c)``: the ``n_buckets - 1`` sorted bounds ``b`` and the
-    coarse array ``c`` of every ``stride``-th bound (``stride ~ sqrt(n)``),
-    used by :func:`bucket_from_bounds` for a two-level lookup.  Both are
-    bounded by the parameter, not by the data.
-    """
-    probs = [i / n_buckets for i in range(1, max(n_buckets, 2))]
-    stride = _stride(len(probs))
-    b = df.select(F.percentile_approx(F.col(key), probs, 10000).alias("b"))
-    return b.select(F.struct(
-        F.col("b").alias("b"),
-        F.filter("b", lambda x, i: i % stride == 0).alias("c"),
-    ).alias("q")).scalar()
-
-
-def bucket_from_bounds(bounds: Column, key: Column, n_bounds: int) -> Column:
-    """Number of bounds below ``key``: monotone in the key, O(2 sqrt(n)) per row.
-
-    ``bounds`` is the struct from :func:`quantile_bounds`.  With ``c`` coarse
-    bounds below the key, the first ``(c - 1) * stride + 1`` bounds are all
-    below it and none from index ``c * stride`` on, so only the ``stride - 1``
-    bounds in between need a look.  Never null, so Spark infers no
-    ``isnotnull`` filter that would copy the subquery.
+    Works for any orderable type.  Ranges come from Spark's range partitioning
+    and their number from the row count, so a range does not grow with the
+    table.  The rows are written first (they are counted and sampled), and the
+    ranges too, because a second evaluation could draw other bounds.
     """
-    s = _stride(n_bounds)
-    c = F.size(F.filter(bounds["c"], lambda x: x < key))
-    if s > 1:
-        middle = F.slice(bounds["b"], (c - 1) * s + 2, F.lit(s - 1))
-        fine = F.size(F.filter(middle, lambda x: x < key))
-    else:
-        fine = F.lit(0)
-    bucket = F.when(c == 0, F.lit(0)).otherwise((c - 1) * s + 1 + fine)
-    return F.coalesce(bucket.cast("int"), F.lit(0))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint()
+    n = max(1, math.ceil(rows.count() / rows_per_range))
+    return rows.repartitionByRange(n, *order_cols).withColumn(col, F.spark_partition_id()).checkpoint()
 
 
 def ordered_index(
     df: DataFrame,
     order_cols: list[str],
-    bucket: Column | tuple[Column, Column, int],
+    bucket: Column,
     rank_col: str | None = "rank",
     value: Column | None = None,
     running_col: str | None = None,
@@ -92,8 +65,7 @@ def ordered_index(
     :func:`attach` the result to wide rows.  ``total_col`` also adds the row count of the (partition of the) table,
     taken from the same per-bucket totals - no extra pass.
 
-    ``bucket`` (a Column, or a ``(bounds, key, n_buckets)`` triple from
-    :func:`quantile_bounds`) must be non-decreasing in ``order_cols`` (within
+    ``bucket`` must be non-decreasing in ``order_cols`` (within
     ``partition_cols``); ``order_cols`` must be unique within a partition.
 
     Plan: one hash exchange on the bucket feeds the numbering window; the
@@ -104,14 +76,7 @@ def ordered_index(
     totals are small.
     """
     pcols = list(partition_cols)
-    if not isinstance(bucket, tuple):
-        b = df.withColumn("_bkt", bucket)
-    else:
-        # (bounds subquery, key): project the subquery first - Spark does not
-        # allow a subquery as a higher-order function argument.
-        bounds, key, n = bucket
-        b = df.withColumn("_bounds", bounds)
-        b = b.withColumn("_bkt", bucket_from_bounds(F.col("_bounds"), key, max(n, 2) - 1)).drop("_bounds")
+    b = df.withColumn("_bkt", bucket)
     if value is not None:
         b = b.withColumn("_val", value)
     w = Window.partitionBy(*pcols, "_bkt").orderBy(*order_cols)
@@ -149,67 +114,72 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Join results computed on a narrow per-key projection back to the full rows.
 
     Windows then never buffer wide rows (a window holds a whole partition
-    group in memory before it spills, counted in rows, not bytes); when ``df``
+    group in memory before it spills, counted in rows, not bytes).  When ``df``
     is already partitioned by the key - as assembled records are - the wide
-    side of this join does not move at all.
+    side of this join does not move; a table read from files moves once.
+    A null or repeated key fails the job.
     """
+    # A null key would vanish in the join and a repeated one would multiply its
+    # rows, so both fail the job.  The left join keeps the wide side's
+    # partitioning; the check rides on the attached columns.
+    adds = [c for c in per_key.columns if c not in keys]
+    per = per_key.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    is_null = functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    per = per.withColumn("_ok", F.when(F.col("_same") > 1, F.raise_error(F.lit(f"repeated row key {keys}"))).otherwise(~is_null))
     if set(df.columns) <= set(per_key.columns):
-        return per_key.select(*df.columns, *[c for c in per_key.columns if c not in df.columns])
-    return df.join(per_key, on=keys, how="inner")
+        joined, adds = per, [c for c in adds if c not in df.columns]
+    else:
+        joined = df.join(per.select(*keys, "_ok", *adds), on=keys, how="left")
+    lost = F.raise_error(F.lit(f"null in the row key {keys}"))
+    return joined.select(*df.columns, *[F.when(F.coalesce("_ok", F.lit(False)), F.col(c)).otherwise(lost).alias(c) for c in adds])
 
 
-def order_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int | None = None,
-               total_col: str | None = None) -> DataFrame:
-    """0-based rank of a unique numeric ``key`` without a single-task window.
+def order_rank(df: DataFrame, key: str, rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
+    """0-based rank of a unique ``key`` of any orderable type, without a single-task window.
 
     Computed on the key column alone and attached to the rows by key.
     """
-    narrow = df.select(key)
-    n = n_buckets or default_buckets(narrow)
-    ranked = ordered_index(narrow, [key], (quantile_bounds(narrow, key, n), F.col(key), n), rank_col=rank_col,
-                           total_col=total_col)
-    return attach(df, ranked, [key])
+    ranked = ordered_index(by_range(df.select(key), [key]), [key], F.col("_range"), rank_col=rank_col, total_col=total_col)
+    return attach(df, ranked.drop("_range"), [key])
 
 
-def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
-    """0-based rank of rows in (file name, position in file) order.
+def position_columns() -> list[Column]:
+    """What tells a record's place in its source: file, begin of the split, row in the task."""
+    return [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m")]
 
-    For sources that read each file in one task (multi-line JSON/CSV), the
-    row's position in its file is its order in the task
-    (``monotonically_increasing_id``).  The file ordinal comes from the file
-    table - one row per file, so its window is bounded by the file count.
+
+def add_position(placed: DataFrame, file_col: str | None = None, pos_col: str | None = None, rank_col: str | None = None) -> DataFrame:
+    """Ordinal of the file (by name), 0-based position in it, 0-based rank over all files.
+
+    ``placed`` carries :func:`position_columns` of its scan.  A task reads a
+    split's records one after the other, so a record's position is its row
+    number in the split plus the counts of the splits before: one row per
+    split, and no window over records at all.
     """
-    d = df.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_m"))
-    files = d.groupBy("_f").agg(F.count(F.lit(1)).alias("_fn"))
-    files = files.select("_f", (F.row_number().over(Window.orderBy("_f")) - 1).alias("_fo"))
-    # One row per input file; AQE broadcasts it when small.
-    d = d.join(files, on="_f", how="inner")
-    out = ordered_index(d, ["_fo", "_m"], F.col("_fo").cast("int"), rank_col=rank_col)
-    return out.drop("_f", "_m", "_fo")
-
-
-# Inputs up to this size are always spread over the cores: reshuffling them is
-# cheap, and a file's byte-range splits can be empty (a row group belongs to
-# the split holding its middle), so the split count alone can overstate the
-# parallelism of a small table.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition a *source scan* that would run in too few tasks.
-
-    Applies when the scan has fewer splits than cores, or when it is small
-    (at most ``SMALL_INPUT_BYTES`` by the optimizer's size estimate), since
-    its splits may hold no rows.  A large input is returned unchanged (no
-    shuffle).  Apply it directly after a read: counting partitions is then
-    file listing only (after a shuffle, AQE already sizes the partitions).
+    splits = placed.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    prior = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    in_file = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        F.col("_f").alias("_sf"), F.col("_b").alias("_sb"), "_m0", (F.dense_rank().over(Window.orderBy("_f")) - 1).alias("_sfile"),
+        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_r0"))
+    d = placed.join(splits, (placed["_f"] == splits["_sf"]) & (placed["_b"] == splits["_sb"]))
+    row = F.col("_m") - F.col("_m0")
+    out = [c for c in ((file_col, F.col("_sfile").cast("int")), (pos_col, (F.col("_p0") + row).cast("long")), (rank_col, (F.col("_r0") + row).cast("long"))) if c[0]]
+    return d.withColumns(dict(out)).drop("_f", "_b", "_m", "_sf", "_sb", "_m0", "_sfile", "_p0", "_r0")
+
+
+def file_order_index(df: DataFrame, rank_col: str = "rank") -> DataFrame:
+    """0-based rank of a scan's rows in (file name, position in file) order."""
+    return add_position(df.select("*", *position_columns()), rank_col=rank_col)
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition of a source scan, if the caller asks for it.
+
+    For inputs stored in fewer splits than the cluster has cores (one row group
+    per file, say): ``partitions``, or the session's
+    ``spark.dialogprep.spreadPartitions``.  Without either the scan stays as it
+    is, whatever its size; large inputs are better written in smaller row groups.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. a Spark Connect session: no RDD view, keep the plan as is
-        return df
-    if target > 1 and (current < target or size <= SMALL_INPUT_BYTES):
-        return df.repartition(target)
-    return df
+    n = partitions or int(df.sparkSession.conf.get("spark.dialogprep.spreadPartitions", "0"))
+    return df.repartition(n) if n > 0 else df

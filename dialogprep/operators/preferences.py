@@ -1,7 +1,7 @@
 """Preference data: deterministic splits and shuffles, length filter, truncation.
 
 The reference splits and shuffles without a seed.  Here both are keyed:
-``md5(seed || '|' || key)`` orders the rows, which is reproducible, independent
+``md5(purpose || '|' || seed || '|' || key)`` orders the rows, which is reproducible, independent
 of partitioning, and computes the same in DuckDB.
 """
 
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from dialogprep.operators.ordinal import attach, hash_prefix_bucket, ordered_index
 
 
-def hash_key(key: Column | list[str], seed: int | str) -> Column:
-    """md5 of ``seed|key`` (``seed|k1|k2...`` for several key columns) as lowercase hex."""
+def hash_key(key: Column | list[str], seed: int | str, purpose: str) -> Column:
+    """md5 of ``purpose|seed|key`` (``...|k1|k2...`` for several key columns) as lowercase hex.
+
+    The purpose keeps a split and a shuffle of the same seed independent.
+    """
     if isinstance(key, list):
         parts = [F.col(k).cast("string") for k in key]
         key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{purpose}|{seed}|"), key.cast("string")))
 
 
 def key_list(key: str | list[str] | tuple[str, ...]) -> list[str]:
@@ -50,7 +53,7 @@ def split_hash(df: DataFrame, key: str, test_size: float, seed: int = 42,
     Approximate test size, stable as the table grows; no shuffle at all.
     """
     threshold = format(min(int(math.floor(test_size * 2 ** 32)), 2 ** 32 - 1), "08x")
-    h8 = F.substring(hash_key(F.col(key), seed), 1, 8)
+    h8 = F.substring(hash_key(F.col(key), seed, "split"), 1, 8)
     return df.withColumn(split_col, F.when(h8 < F.lit(threshold), "test").otherwise("train"))
 
 
@@ -64,7 +67,7 @@ def split_exact(df: DataFrame, key: str | list[str], test_size: float, seed: int
     splitter.
     """
     keys = key_list(key)
-    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed))
+    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed, "split"))
     ranked = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")),
                            rank_col="_rank", total_col="_n")
     if test_size >= 1:
@@ -82,7 +85,7 @@ def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, rank_col: str =
     rank to order, batch (``collate(..., rank_col=...)``) or sample.
     """
     keys = key_list(key)
-    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed))
+    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed, "shuffle"))
     ranked = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")), rank_col=rank_col)
     return attach(df, ranked.drop("_h"), keys)
 
@@ -111,3 +114,8 @@ def truncate_preferences(df: DataFrame, tokenizer, max_length: int = 4096,
     for c in ("chosen_ids", "rejected_ids"):
         d = d.withColumn(c, F.when(F.col("_still"), F.slice(F.col(c), 1, keep)).otherwise(F.col(c)))
     return d.drop("_still")
+
+
+def preview_preferences(df: DataFrame, key: str | list[str], n: int = 1) -> DataFrame:
+    """H2: the first ``n`` pairs of the training split by key.  ``n`` is the feature, not a row cap."""
+    return df.filter(F.col("split") == "train").orderBy(*key_list(key)).limit(n)

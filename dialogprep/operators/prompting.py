@@ -55,8 +55,12 @@ def few_shot_prefix(pool: DataFrame, tokenizer, block_size: int, specials_per_en
     Each entry carries its wrapped text ``[Example i]\\n{text}{separator}``; the
     example number is ``pos + 1`` because the kept rows are always a prefix.
     """
+    if specials_per_encode < 1:
+        raise ValueError("specials_per_encode must be at least 1: entries without cost would not bound the prefix")
     head, _, tail = text.example_header.partition("{i}")
-    budget = few_shot_budget(pool, tokenizer, specials_per_encode).filter(F.col("cum_tokens") <= block_size)
+    # Every entry costs a token or more, so positions from block_size on cannot fit.
+    reachable = pool.filter(F.col("pos") < block_size)
+    budget = few_shot_budget(reachable, tokenizer, specials_per_encode).filter(F.col("cum_tokens") <= block_size)
     piece = F.concat(F.lit(head), (F.col("pos") + 1).cast("string"), F.lit(tail),
                      F.coalesce(F.col("text"), F.lit("")), F.lit(text.example_separator))
     arr = budget.select(

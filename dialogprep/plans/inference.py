@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialogprep.operators.generate import decode_prediction, generate_column, with_prediction
 from dialogprep.operators.prompting import build_prompts
 from dialogprep.schema import PromptConfig
-from dialogprep.sources.readers import read_examples
-from dialogprep.sources.writers import write_predictions, write_submission
+from dialogprep.sources.readers import load_examples
+from dialogprep.sources.writers import materialize, write_predictions, write_submission
 
 INFERENCE_CONFIG = PromptConfig(one_shot=True, oneshot_idx=0)
 
@@ -31,15 +32,20 @@ def predict(records: DataFrame, fn_factory, tokenizer, cfg: PromptConfig = INFER
 
 def run_inference(spark: SparkSession, data_path: str, output_path: str, fn_factory, tokenizer,
                   do_submit: bool = False, key: str = "example_id", fmt: str = "json",
-                  multi_line: bool = True, batch_size: int = 8) -> DataFrame:
-    """Write predictions (JSON Lines with ``predict``) or a submission.
+                  multi_line: bool = True, batch_size: int = 8, schema: T.StructType | None = None,
+                  max_rejects: int = 0, reject_path: str | None = None, as_json_array: bool = True) -> DataFrame:
+    """Write predictions (JSON Lines with ``predict``) or a submission; return the records written.
 
-    A submission replaces ``output`` and keeps the records in key order.
+    A submission replaces ``output`` and keeps the records in source order, as
+    one JSON array over ordered parts (``as_json_array``) or JSON Lines.  A key
+    that the records did not have orders them and is not written.
     """
-    records = read_examples(spark, data_path, fmt=fmt, multi_line=multi_line, id_col=key)
-    pred = predict(records, fn_factory, tokenizer, batch_size=batch_size)
+    records, own_key = load_examples(spark, data_path, fmt, multi_line, schema, key, max_rejects, reject_path)
+    pred = materialize(predict(records, fn_factory, tokenizer, batch_size=batch_size), "predictions", spark)
+    out = with_prediction(pred, replace_output=do_submit)
+    helper = () if own_key else (key,)
     if do_submit:
-        write_submission(with_prediction(pred, replace_output=True), output_path, order_col=key)
+        write_submission(out, output_path, order_col=key, as_json_array=as_json_array, materialized=True, drop=helper)
     else:
-        write_predictions(pred, output_path)
-    return spark.read.json(output_path)
+        write_predictions(out.drop(*helper), output_path)
+    return out.drop(*helper)

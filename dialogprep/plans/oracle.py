@@ -169,7 +169,7 @@ def mode_sources() -> dict[str, str]:
 
 def _split_hash(key: str) -> str:
     threshold = format(min(int(math.floor(R.TEST_FRACTION * 2 ** 32)), 2 ** 32 - 1), "08x")
-    return (f"CASE WHEN substr(md5('{R.SEED}|' || {key}::VARCHAR), 1, 8) < '{threshold}' "
+    return (f"CASE WHEN substr(md5('split|{R.SEED}|' || {key}::VARCHAR), 1, 8) < '{threshold}' "
             f"THEN 'test' ELSE 'train' END")
 
 
@@ -185,7 +185,7 @@ prefs AS (SELECT conv_id,
 
 def _split_exact(table: str) -> str:
     return f"""
-ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1 AS rk,
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('split|{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1 AS rk,
                   count(*) OVER () AS n FROM {table}),
 splitx AS (SELECT *, CASE WHEN rk < ceil(n * {float(R.TEST_FRACTION)}::DOUBLE) THEN 'test' ELSE 'train' END AS split
            FROM ranked)
@@ -311,7 +311,7 @@ def build() -> dict[str, str]:
         sum(n_tokens)::BIGINT AS n_tokens, max(n_tokens)::BIGINT AS max_tokens,
         sum(CASE WHEN n_tokens > {R.ROW_TOKEN_LIMIT} THEN 1 ELSE 0 END)::BIGINT AS n_over_limit FROM td GROUP BY split"""
     q["collate_pad"] = with_(EXAMPLES, SFT) + f""", b0 AS (SELECT conv_id,
-            (row_number() OVER (ORDER BY md5('{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1) // {R.BATCH_SIZE} AS batch_id,
+            (row_number() OVER (ORDER BY md5('shuffle|{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1) // {R.BATCH_SIZE} AS batch_id,
             list_concat(s, g) AS ids, list_concat({repeat(-100, 'len(s)')}, g) AS lab FROM sft_ids),
         b AS (SELECT *, batch_id % {R.N_SHARDS} AS shard FROM b0),
         p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS pad_to FROM b),
@@ -348,7 +348,7 @@ def build() -> dict[str, str]:
     q["split_exact"] = with_(EXAMPLES, _split_exact("ex")) + "SELECT conv_id, split FROM splitx"
     q["split_hash"] = ex + f"SELECT conv_id, {_split_hash('conv_id')} AS split FROM ex"
     q["shuffle_order"] = ex + f"""SELECT conv_id,
-        (row_number() OVER (ORDER BY md5('{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1)::BIGINT AS rank FROM ex"""
+        (row_number() OVER (ORDER BY md5('shuffle|{R.SEED}|' || conv_id::VARCHAR), conv_id) - 1)::BIGINT AS rank FROM ex"""
     q["continuation"] = sft + "SELECT conv_id, len(g)::BIGINT AS n_out, output AS text FROM sft_ids JOIN ex USING (conv_id)"
     inf_src = ms["one_shot"]
     q["generate_join"] = ex + f"SELECT conv_id, output, {_generated_predict(inf_src)} AS predict FROM ex"
@@ -358,6 +358,14 @@ def build() -> dict[str, str]:
         {kw_text('kws')} AS keywords, md5(output) AS output_md5, 'conversations' AS source FROM ex"""
     q["read_few_shot_csv"] = with_(POOL) + "SELECT pos::BIGINT AS pos, md5(text) AS text_md5 FROM pool"
     q["read_preferences_json"] = with_(PREFS) + "SELECT md5(prompt) AS prompt_md5, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5 FROM prefs"
+    q["collate_eval_string_key"], q["pack_string_key"] = q["collate_eval"], q["pack_tokens"]
+    q["read_examples_rejects"] = f"SELECT DISTINCT conv_id, conv_id % {R.BAD_EVERY} = 0 AS rejected FROM conversations"
+    q["read_preferences_rejects"] = with_(PREFS) + f"""SELECT obj, 'missing array' AS why FROM
+        (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS obj FROM prefs) WHERE conv_id % {R.BAD_EVERY} = 0"""
+    q["preference_preview"] = with_(PREFS, _split_exact("prefs")) + f"""SELECT conv_id, prompt, chosen, rejected FROM splitx
+        WHERE split = 'train' AND length(prompt) + length(chosen) <= {R.PREFERENCE_CUTOFF}
+          AND length(prompt) + length(rejected) <= {R.PREFERENCE_CUTOFF} ORDER BY conv_id LIMIT 3"""
+    q["cached_result"] = ex + "SELECT conv_id, md5(output) AS output_md5, true AS reused FROM ex"
     q["predictions_jsonl"] = ex + f"SELECT conv_id, md5(output) AS output_md5, {_generated_predict(inf_src)} AS predict FROM ex"
     q["submission_records"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_rank,
         md5({_generated_predict(inf_src)}) AS output_md5 FROM ex"""

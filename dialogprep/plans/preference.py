@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.operators.preferences import filter_by_length, shuffle, split_exact, truncate_preferences
-from dialogprep.sources.readers import read_preferences
+from dialogprep.sources.readers import position_key, read_preferences
 from dialogprep.sources.writers import materialize
 
 
 def preference_rows(prefs: DataFrame, tokenizer, key: str = "pair_id", cutoff: int = 4096,
                     test_size: float = 0.01, seed: int = 42, max_length: int = 4096,
                     max_prompt_length: int = 3450) -> DataFrame:
-    """Split (exact, keyed), filter by characters, truncate by tokens, shuffle rank.
+    """Split (exact, keyed), filter by characters, truncate by tokens, shuffle the training split.
 
-    The filter runs after the split, on both splits, as in the reference.
+    The filter runs after the split, on both splits, as in the reference;
+    ``shuffle_rank`` is null on the test split, which is not shuffled.
     """
     s = split_exact(prefs, key, test_size, seed)
     f = filter_by_length(s, cutoff)
     t = truncate_preferences(f, tokenizer, max_length, max_prompt_length)
-    return shuffle(t, key, seed)
+    train = shuffle(t.filter(F.col("split") == "train"), key, seed)
+    return train.unionByName(t.filter(F.col("split") != "train"), allowMissingColumns=True)
 
 
 def build_preference_set(spark: SparkSession, path: str, out_path: str, tokenizer,
@@ -32,9 +34,7 @@ def build_preference_set(spark: SparkSession, path: str, out_path: str, tokenize
     document should be parsed only once.
     """
     raw = read_preferences(spark, path, multi_line=multi_line)
-    keyed = raw.withColumn("pair_id", F.concat_ws("#", F.col("part"), F.col("_obj").cast("string"),
-                                                  F.col("pos").cast("string")))
-    rows = materialize(keyed.drop("_obj"), "preference_rows", spark)
+    rows = materialize(raw.withColumn("pair_id", position_key("obj", "pos")), "preference_rows", spark)
     out = preference_rows(rows, tokenizer, key="pair_id", **kw)
     out.write.mode("overwrite").partitionBy("split").parquet(out_path)
     return spark.read.parquet(out_path)

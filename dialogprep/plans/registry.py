@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +19,14 @@ from dialogprep.functions.tokens import CodepointTokenizer, PieceTokenizer, byte
 from dialogprep.operators.assemble import examples_from_turns, pool_from_table, preferences_from_turns
 from dialogprep.operators.batches import collate, pack
 from dialogprep.operators.examples import (
-    concat_splits,
     dataset_stats,
     encode_examples,
+    mark_dev_rows,
     preview,
     to_training_table,
 )
 from dialogprep.operators.generate import (
     decode_prediction,
-    echo_line_generator,
     generate_column,
     join_predictions,
     map_batches,
@@ -34,6 +34,7 @@ from dialogprep.operators.generate import (
 from dialogprep.operators.ordinal import file_order_index, order_rank, spread
 from dialogprep.operators.preferences import (
     filter_by_length,
+    preview_preferences,
     shuffle,
     split_exact,
     split_hash,
@@ -42,7 +43,13 @@ from dialogprep.operators.preferences import (
 from dialogprep.operators.prompting import build_prompts, few_shot_budget, one_shot_example
 from dialogprep.schema import PromptConfig
 from dialogprep.session import scratch_path
-from dialogprep.sources.readers import read_examples, read_few_shot_pool, read_preferences
+from dialogprep.sources.readers import (
+    read_examples,
+    read_few_shot_pool,
+    read_preference_rejects,
+    read_preferences,
+    split_corrupt,
+)
 from dialogprep.sources.writers import materialize, write_predictions, write_preferences, write_submission
 from dialogprep.streaming.prompts import stream_training_rows
 
@@ -173,7 +180,7 @@ def _mode_configs() -> dict[str, PromptConfig]:
 
 
 def q_prompt_modes(spark, d):
-    ex = examples(spark, d)
+    ex = materialize(examples(spark, d), "examples", spark)  # assembled once for all modes
     pl = pool(spark, d)
     out = None
     for cfg in _mode_configs().values():
@@ -283,9 +290,7 @@ def q_multitask_union(spark, d):
 
 def _train_dev(spark, d) -> DataFrame:
     e = split_hash(_encoded(spark, d), "example_id", TEST_FRACTION, SEED)
-    train = e.filter(F.col("split") == "train").drop("split")
-    dev = e.filter(F.col("split") == "test").drop("split")
-    return concat_splits(train, dev)
+    return mark_dev_rows(e.withColumnRenamed("split", "_part"), F.col("_part") == "test")
 
 
 def q_train_plus_dev(spark, d):
@@ -296,8 +301,14 @@ def q_dataset_stats(spark, d):
     return dataset_stats(_train_dev(spark, d), ("split",), limit=ROW_TOKEN_LIMIT)
 
 
-def q_collate_pad(spark, d):
+def _written(spark, d) -> DataFrame:
+    """Encoded rows, written once: batching and packing are later jobs over that table."""
     e = _encoded(spark, d)
+    return materialize(e.select("example_id", "source_ids", "target_ids", "input_ids", "labels"), "sft_rows", spark)
+
+
+def q_collate_pad(spark, d):
+    e = _written(spark, d)
     c = collate(e, BATCH_SIZE, TOK.pad_token_id, key="example_id", n_shards=N_SHARDS)
     return c.select(
         _big(F.col("shard"), "shard"), _big(F.col("batch_id"), "batch_id"), _cid(),
@@ -309,7 +320,17 @@ def q_collate_pad(spark, d):
 
 def q_collate_eval(spark, d):
     """Evaluation loader: key order, batches of 4, mask by original length."""
-    e = _encoded(spark, d)
+    return _collate_eval(_written(spark, d))
+
+
+def q_collate_eval_string_key(spark, d):
+    """The same with keys of text, as records without ids have."""
+    e = _written(spark, d)
+    return _collate_eval(e.withColumn("example_id", F.lpad(F.col("example_id").cast("string"), 12, "0"))).withColumn(
+        "conv_id", F.col("conv_id").cast("bigint"))
+
+
+def _collate_eval(e: DataFrame) -> DataFrame:
     c = collate(e, EVAL_BATCH_SIZE, TOK.pad_token_id, key="example_id", order="key", mask="by_length")
     return c.select(
         _big(F.col("batch_id"), "batch_id"), _cid(), _big(F.col("pad_to"), "pad_to"),
@@ -330,6 +351,16 @@ def q_pack_tokens(spark, d):
     # Packing is a second job over the written training table (as a large run
     # would do): its key-order pass then reads one Parquet column.
     e = materialize(to_training_table(_encoded(spark, d)), "sft_training_rows", spark, (d, CFG, "codepoint"))
+    return _packed(e)
+
+
+def q_pack_string_key(spark, d):
+    """Packing by keys of text, as records without ids have."""
+    e = materialize(to_training_table(_encoded(spark, d)), "sft_training_rows", spark)
+    return _packed(e.withColumn("example_id", F.lpad(F.col("example_id").cast("string"), 12, "0")))
+
+
+def _packed(e: DataFrame) -> DataFrame:
     pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS)
     return pk.select(_big(F.col("group"), "group"), _big(F.col("chunk"), "chunk"),
                      _big(F.size("input_ids"), "n_tokens"),
@@ -384,6 +415,40 @@ def _inference_prompts(spark, d) -> DataFrame:
     return p.withColumn("source_ids", TOK.encode(F.col("source_text"), add_special=True))
 
 
+def echo_line_generator(marker_ids: list[int], stop_id: int, eos_id: int,
+                        max_new_tokens: int = 1024) -> Callable[[], Callable[[list], list]]:
+    """A stand-in for a language model, for checks only.
+
+    It "generates" the ids that follow the last occurrence of ``marker_ids``
+    in the prompt, up to the next ``stop_id`` and at most ``max_new_tokens``,
+    then EOS.  A real model is supplied by the user in the same shape.
+    """
+    marker = np.asarray(marker_ids, dtype=np.int64)
+
+    def factory() -> Callable[[list], list]:
+        m = len(marker)
+
+        def gen(prompts: list) -> list:
+            outs = []
+            for p in prompts:
+                a = np.asarray(p, dtype=np.int64)
+                cont: list[int] = []
+                if m and len(a) >= m:
+                    win = np.lib.stride_tricks.sliding_window_view(a, m)
+                    hits = np.flatnonzero((win == marker).all(axis=1))
+                    if len(hits):
+                        rest = a[hits[-1] + m:]
+                        stops = np.flatnonzero(rest == stop_id)
+                        cut = stops[0] if len(stops) else len(rest)
+                        cont = rest[:min(cut, max_new_tokens)].tolist()
+                outs.append(list(p) + cont + [eos_id])
+            return outs
+
+        return gen
+
+    return factory
+
+
 def _generated(spark, d) -> DataFrame:
     marker = [ord(c) + TOK.offset for c in CFG.text.conversation_header + "\n"]
     factory = echo_line_generator(marker, ord("\n") + TOK.offset, TOK.eos_token_id, MAX_NEW_TOKENS)
@@ -418,6 +483,51 @@ def q_read_examples_json(spark, d):
                        P.keywords_text(_kw()).alias("keywords"), F.md5("output").alias("output_md5"), "source")
 
 
+BAD_EVERY = 7
+
+
+def q_read_examples_rejects(spark, d):
+    """JSON Lines in which every seventh record is cut off: the good rows and the rejects."""
+    path = scratch_path(spark, "examples_broken")
+    ex = examples(spark, d).select("example_id", "input", "output")
+    line = F.to_json(F.struct("example_id", "input", "output"))
+    cut = F.when(F.col("example_id") % BAD_EVERY == 0, F.concat(F.lit('{"example_id": '), F.col("example_id").cast("string"), F.lit(', "input": {'))).otherwise(line)
+    ex.select(cut.alias("value")).write.mode("overwrite").text(path)
+    schema = ex.schema
+    good, bad = split_corrupt(materialize(read_examples(spark, path, schema=schema), "examples_broken_rows", spark))
+    rejected = bad.select(F.regexp_extract("_corrupt_record", r"(\d+)", 1).cast("bigint").alias("conv_id"), F.lit(True).alias("rejected"))
+    return good.select(_cid(), F.lit(False).alias("rejected")).unionByName(rejected)
+
+
+def q_read_preferences_rejects(spark, d):
+    """Preference objects of one pair, every seventh without its ``chosen``: what the reader refuses."""
+    path = scratch_path(spark, "preferences_broken")
+    p = _prefs(spark, d)
+    arrays = [F.array(c).alias(c) for c in ("prompt", "rejected")]
+    chosen = F.when(F.col("example_id") % BAD_EVERY != 0, F.array("chosen")).alias("chosen")
+    # The key orders the lines over the parts, so an object's ordinal is its key's rank.
+    p.orderBy("example_id").select(F.to_json(F.struct(*arrays, chosen)).alias("value")).write.mode("overwrite").text(path)
+    return read_preference_rejects(spark, path, multi_line=False).select(_big(F.col("obj"), "obj"), "why")
+
+
+def q_preference_preview(spark, d):
+    s = filter_by_length(split_exact(_prefs(spark, d), "example_id", TEST_FRACTION, SEED), PREFERENCE_CUTOFF)
+    return preview_preferences(s, "example_id", 3).select(_cid(), "prompt", "chosen", "rejected")
+
+
+def q_cached_result(spark, d):
+    """The second call finds the first one's folder; a changed input does not."""
+    path = scratch_path(spark, "cache_input")
+    ex = examples(spark, d).select("example_id", "output")
+    ex.filter("example_id % 2 = 0").write.parquet(path)
+    first = materialize(spark.read.parquet(path), "outputs", spark, config="v1", reuse=True)
+    again = materialize(spark.read.parquet(path), "outputs", spark, config="v1", reuse=True)
+    ex.filter("example_id % 2 = 1").write.mode("append").parquet(path)
+    changed = materialize(spark.read.parquet(path), "outputs", spark, config="v1", reuse=True)
+    same = {f.rsplit("/", 1)[0] for f in first.inputFiles()} == {f.rsplit("/", 1)[0] for f in again.inputFiles()}
+    return changed.select(_cid(), F.md5("output").alias("output_md5"), F.lit(same).alias("reused"))
+
+
 def q_read_few_shot_csv(spark, d):
     path = scratch_path(spark, "pool_csv")
     pool(spark, d).orderBy("pos").select("text").write.mode("overwrite").option("header", True) \
@@ -495,6 +605,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collate_pad": q_collate_pad,
     "pack_tokens": q_pack_tokens,
     "collate_eval": q_collate_eval,
+    "collate_eval_string_key": q_collate_eval_string_key,
+    "pack_string_key": q_pack_string_key,
+    "read_examples_rejects": q_read_examples_rejects,
+    "read_preferences_rejects": q_read_preferences_rejects,
+    "preference_preview": q_preference_preview,
+    "cached_result": q_cached_result,
     "tapt_multitask": q_tapt_multitask,
     "preference_filter": q_preference_filter,
     "preference_truncate": q_preference_truncate,

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialogprep.operators.batches import collate, pack
 from dialogprep.operators.examples import concat_splits, encode_examples, to_training_table
 from dialogprep.operators.prompting import build_prompts
 from dialogprep.schema import PromptConfig
-from dialogprep.sources.readers import read_examples, read_few_shot_pool
+from dialogprep.sources.readers import load_examples, read_few_shot_pool
 
 
 def training_rows(records: DataFrame, cfg: PromptConfig, tokenizer, pool: DataFrame | None = None) -> DataFrame:
@@ -37,8 +38,16 @@ def build_training_set(
     key: str = "example_id",
     row_token_limit: int = 4096,
     observation: Observation | None = None,
+    schema: T.StructType | None = None,
+    max_rejects: int = 0,
+    reject_path: str | None = None,
 ) -> DataFrame:
-    """Write ``(key, split, task, task_order, input_ids, labels, attention_mask)``.
+    """Write ``(key, origin, split, task, task_order, input_ids, labels, attention_mask)``.
+
+    ``origin`` is 0 for records of the training file and 1 for the dev file;
+    with it keys are unique in a split even if both files number their records
+    alike.  Malformed records beyond ``max_rejects`` fail the build, others go
+    to ``reject_path`` (``.../train`` and ``.../dev``).
 
     ``split`` is ``train`` and, with a dev file, ``eval``; ``with_train_dev``
     also adds the dev rows to ``train`` (they stay the eval set too).  If an
@@ -49,17 +58,18 @@ def build_training_set(
     """
     pool = read_few_shot_pool(spark, pool_path) if pool_path else None
 
-    def prepared(path: str) -> DataFrame:
-        return training_rows(read_examples(spark, path, fmt=fmt, multi_line=multi_line), cfg, tokenizer, pool)
+    def prepared(path: str, origin: int, name: str) -> DataFrame:
+        records, _ = load_examples(spark, path, fmt, multi_line, schema, key, max_rejects, reject_path and f"{reject_path}/{name}")
+        return training_rows(records.withColumn("origin", F.lit(origin)), cfg, tokenizer, pool)
 
-    train = prepared(train_path)
+    train = prepared(train_path, 0, "train")
     if dev_path is None:
         table = train.withColumn("split", F.lit("train"))
     elif with_train_dev:
-        table = concat_splits(train, prepared(dev_path))
+        table = concat_splits(train, prepared(dev_path, 1, "dev"))
     else:
         table = train.withColumn("split", F.lit("train")).unionByName(
-            prepared(dev_path).withColumn("split", F.lit("eval")))
+            prepared(dev_path, 1, "dev").withColumn("split", F.lit("eval")))
     if observation is not None:
         table = table.observe(
             observation,
@@ -67,7 +77,7 @@ def build_training_set(
             F.sum(F.when(F.col("output").isNull(), 1).otherwise(0)).alias("n_null_target"),
             F.sum(F.when(F.size("input_ids") > row_token_limit, 1).otherwise(0)).alias("n_over_limit"),
         )
-    out = to_training_table(table, key, extra=("split", "task", "task_order"))
+    out = to_training_table(table, key, extra=("origin", "split", "task", "task_order"))
     out.write.mode("overwrite").partitionBy("split").parquet(out_path)
     return spark.read.parquet(out_path)
 
@@ -77,11 +87,11 @@ def training_batches(table: DataFrame, batch_size: int, pad_id: int, split: str
     """Padded batches of one split of a written training table (train: shuffled)."""
     rows = table.filter(F.col("split") == split)
     order = "shuffle" if split == "train" else "key"
-    # With the topic task a record has two rows: (key, task_order) is the row key.
-    return collate(rows, batch_size, pad_id, key=[key, "task_order"], n_shards=n_shards, order=order, seed=seed)
+    # A key is unique within its file, and with the topic task a record has two rows.
+    return collate(rows, batch_size, pad_id, key=["origin", key, "task_order"], n_shards=n_shards, order=order, seed=seed)
 
 
 def packed_blocks(table: DataFrame, block_size: int, split: str = "train", group_rows: int = 1000,
                   key: str = "example_id") -> DataFrame:
     """Fixed-length blocks of one split of a written training table."""
-    return pack(table.filter(F.col("split") == split), block_size, key=[key, "task_order"], group_rows=group_rows)
+    return pack(table.filter(F.col("split") == split), block_size, key=["origin", key, "task_order"], group_rows=group_rows)

@@ -45,41 +45,25 @@ MESSAGE_TYPE = T.StructType(
     ]
 )
 
-POOL_SCHEMA = T.StructType(
-    [
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-PREFERENCE_SCHEMA = T.StructType(
-    [
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("prompt", T.StringType()),
-        T.StructField("chosen", T.StringType()),
-        T.StructField("rejected", T.StringType()),
-    ]
-)
-
 
 # The section layout of the prompts.  The headers, separators and
 # slot positions follow the reference's prompt structure; the sentences are our
 # own default wording and every field can be replaced by the caller.
 DEFAULT_SYSTEM = (
-    "You are a careful assistant for dialogue understanding.\n"
-    "Read the conversation and answer the question faithfully."
+    "Your task is to work with a recorded dialogue.\n"
+    "Base every answer on what its speakers say."
 )
 DEFAULT_ONE_SHOT = (
     "[Example 1]\n"
     + DEFAULT_SYSTEM
     + "\n\n[Conversation]\n"
-    "A: I finally visited the old harbour town last weekend.\n"
-    "B: Did you try the fish market there?\n"
-    "A: Yes, and the grilled squid was the best part of the trip.\n"
-    "\n[Question]\nSummarize the conversation above about travel, food.\n"
+    "A: My bicycle chain came off twice on the way here.\n"
+    "B: Is the rear wheel straight? Mine did that after a fall.\n"
+    "A: It leans a little to the left, now that you mention it.\n"
+    "\n[Question]\nGive the gist of this dialogue (bicycle, repair).\n"
     "\n[Answer]\n"
-    "A describes a weekend trip to a harbour town, and B asks about the fish "
-    "market. A says the grilled squid there was the highlight."
+    "A's bicycle chain keeps coming off. B suspects the rear wheel, and A "
+    "notices that it is not straight."
 )
 
 
@@ -89,21 +73,20 @@ class PromptText:
 
     system: str = DEFAULT_SYSTEM
     domain_system: str = (
-        "You are a careful assistant for dialogue understanding.\n"
-        "What follows is a conversation about {keywords}."
+        "Your task is to work with a recorded dialogue.\n"
+        "Its subject: {keywords}."
     )
     conversation_header: str = "[Conversation]"
     question_header: str = "[Question]"
-    summary_question: str = "Summarize the conversation above about {keywords}."
-    topic_question: str = "List the topics of the conversation above."
+    summary_question: str = "Give the gist of this dialogue ({keywords})."
+    topic_question: str = "Which subjects come up in this dialogue?"
     turn_separator: str = ": "
     speaker_label: str = "Speaker "
     instruction: str = (
-        "You are an assistant that writes summaries of conversations.\n"
-        "Cover the main topics and the key statements, leave out minor details,\n"
-        "and keep a friendly, objective and coherent tone."
+        "A dialogue follows, then a request about it.\n"
+        "Reply with one short paragraph in plain words."
     )
-    instruction_user: str = "Write a summary of the conversation above about {keywords}."
+    instruction_user: str = "Put this dialogue in a few sentences; subject: {keywords}."
     instruction_headers: tuple[str, str, str, str] = (
         "### Instruction",
         "### Conversation",
@@ -134,9 +117,6 @@ class ChatTemplate:
     merge_separator: str = "\n\n"
     role_names: tuple[tuple[str, str], ...] = field(default_factory=tuple)
 
-    def role_name(self, role: str) -> str:
-        return dict(self.role_names).get(role, role)
-
 
 @dataclass(frozen=True)
 class PromptConfig:

@@ -2,12 +2,13 @@
 
 Scratch output (materialised tables, written-and-reread checks) goes under the
 folder the cluster names in ``spark.checkpoint.dir``, which is shared by all
-executors.  Only when it is unset (tests, a laptop) do we pick one.
+executors.  Only in local mode (tests, a laptop) do we pick one if it is unset.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master if sc else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="dialogprep-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
@@ -68,3 +72,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "dialogprep", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a finished scratch folder, wherever the cluster keeps it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,8 +1,10 @@
 """Readers and writers."""
 
 from dialogprep.sources.readers import (  # noqa: F401
+    load_examples,
     read_examples,
     read_few_shot_pool,
+    read_preference_rejects,
     read_preferences,
     split_corrupt,
 )

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.session import ensure_checkpoint_dir
+from dialogprep.session import drop_path, ensure_checkpoint_dir
 
 
 def record_json(df: DataFrame) -> Column:
@@ -27,7 +27,8 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "jsonl", mode: str =
 
 
 def write_submission(df: DataFrame, path: str, order_col: str = "pos", mode: str = "overwrite",
-                     as_json_array: bool = False, materialized: bool = False) -> None:
+                     as_json_array: bool = False, materialized: bool = False,
+                     drop: tuple[str, ...] = ()) -> None:
     """Records in original order, written by many tasks.
 
     The input is first written once under the checkpoint folder (unless
@@ -38,22 +39,35 @@ def write_submission(df: DataFrame, path: str, order_col: str = "pos", mode: str
     are JSON Lines.  With ``as_json_array`` each line is one array element (the
     first opens the array, the last closes it), so the parts concatenated in
     name order are one JSON array document, as the reference writes - without
-    funnelling the records through a single writer.  (An empty input writes
-    no parts.)
+    funnelling the records through a single writer.  An empty input writes
+    ``[]``.  ``drop`` names helper columns that order but are not written.
     """
     src = df if materialized else materialize(df, "submission_input")
+    written = src.columns if not drop else [c for c in src.columns if c not in drop]
     if not as_json_array:
-        src.orderBy(order_col).write.mode(mode).option("ignoreNullFields", False).json(path)
+        src.orderBy(order_col).select(*written).write.mode(mode).option("ignoreNullFields", False).json(path)
+        _drop(src, materialized)
+        return
+    if src.isEmpty():
+        src.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode(mode).text(path)
+        _drop(src, materialized)
         return
     key = F.col(order_col)
     lo = src.agg(F.min(order_col)).scalar()
     hi = src.agg(F.max(order_col)).scalar()
     line = F.concat(
         F.when(key == lo, F.lit("[\n")).otherwise(F.lit("")),
-        F.lit("  "), record_json(src),
+        F.lit("  "), record_json(src.select(*written)),
         F.when(key == hi, F.lit("\n]")).otherwise(F.lit(",")),
     )
     src.orderBy(order_col).select(line.alias("value")).write.mode(mode).text(path)
+    _drop(src, materialized)
+
+
+def _drop(src: DataFrame, materialized: bool) -> None:
+    """Delete the written copy of a finished sink."""
+    if not materialized and src.inputFiles():
+        drop_path(src.sparkSession, src.inputFiles()[0].rsplit("/", 1)[0])
 
 
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None,
@@ -62,14 +76,15 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None,
 
     Reading back cuts the lineage, so a lost executor never recomputes the
     upstream plan, and later jobs read only the columns they need.  With
-    ``reuse=True`` the folder is keyed by ``name`` and a hash of ``config`` and
-    a complete earlier result is reused (the reference's cache-file
-    behaviour); otherwise every call writes a fresh folder.
+    ``reuse=True`` the folder is keyed by ``name`` and a hash of ``config``,
+    of the schema and of the input files (path, size, time), and a complete
+    earlier result is reused (the reference's cache-file behaviour); otherwise
+    every call writes a fresh folder.
     """
     spark = spark or df.sparkSession
     root = ensure_checkpoint_dir(spark)
     if reuse:
-        key = hashlib.sha1(repr(config).encode()).hexdigest()[:12]
+        key = hashlib.sha1(repr((config, df.schema.json(), _input_state(df))).encode()).hexdigest()[:12]
         path = f"{root}/dialogprep-cache/{name}-{key}"
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
         fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -81,6 +96,17 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None,
     return spark.read.parquet(path)
 
 
+def _input_state(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of every input file, sorted."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    out = []
+    for f in sorted(df.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        s = p.getFileSystem(conf).getFileStatus(p)
+        out.append((f, s.getLen(), s.getModificationTime()))
+    return out
+
+
 def write_preferences(df: DataFrame, path: str, key: str = "example_id", rows_per_object: int = 10000,
                       mode: str = "overwrite") -> None:
     """The reference's column-oriented preference format, written in pieces.

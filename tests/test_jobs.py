@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from dialogprep.operators import echo_line_generator
+from dialogprep.plans.registry import echo_line_generator
 from dialogprep.plans import registry as R
 from dialogprep.plans.inference import run_inference
 from dialogprep.plans.preference import build_preference_set

@@ -75,9 +75,9 @@ def test_rank_with_shared_hash_prefixes(spark):
     from dialogprep.operators import hash_prefix_bucket, ordered_index
     from dialogprep.operators.preferences import hash_key
 
-    df = spark.range(300).withColumnRenamed("id", "k").withColumn("_h", hash_key(F.col("k"), 7))
+    df = spark.range(300).withColumnRenamed("id", "k").withColumn("_h", hash_key(F.col("k"), 7, "split"))
     ranked = ordered_index(df, ["_h", "k"], hash_prefix_bucket(F.col("_h"), digits=1), rank_col="r")
     got = [r["k"] for r in ranked.orderBy("r").collect()]
-    want = sorted(range(300), key=lambda k: (hashlib.md5(f"7|{k}".encode()).hexdigest(), k))
+    want = sorted(range(300), key=lambda k: (hashlib.md5(f"split|7|{k}".encode()).hexdigest(), k))
     assert got == want
     assert sorted(r["r"] for r in ranked.collect()) == list(range(300))

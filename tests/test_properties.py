@@ -43,17 +43,11 @@ def test_closed_form_equals_greedy(base, costs, block):
     assert closed == greedy_count(base, costs, block)
 
 
-@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(-50, 50), min_size=1, max_size=40).map(sorted), st.lists(st.integers(-60, 60), max_size=15))
-def test_two_level_bucket_equals_count(spark, bounds, keys):
-    from pyspark.sql import functions as F
-
-    from dialogprep.operators.ordinal import _stride, bucket_from_bounds
-
-    s = _stride(len(bounds))
-    coarse = bounds[::s]
-    q = F.struct(F.array(*[F.lit(b) for b in bounds]).alias("b"), F.array(*[F.lit(c) for c in coarse]).alias("c"))
-    df = spark.createDataFrame([(k,) for k in keys] or [(0,)], "k int")
-    got = [r["x"] for r in df.select(bucket_from_bounds(q, F.col("k"), len(bounds)).alias("x")).collect()]
-    want = [sum(b < k for b in bounds) for k in (keys or [0])]
-    assert got == want
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="abé", max_size=4), unique=True, max_size=30), st.integers(1, 10))
+def test_rank_by_ranges_equals_sorting(spark, keys, per_range):
+    from dialogprep.operators.ordinal import by_range, ordered_index
+
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = ordered_index(by_range(df, ["k"], per_range), ["k"], F.col("_range")).collect()
+    assert {r["k"]: r["rank"] for r in got} == {k: i for i, k in enumerate(sorted(keys, key=lambda x: x.encode()))}

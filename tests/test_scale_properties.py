@@ -89,12 +89,15 @@ def test_ranked_operators_partition_independent(spark):
     assert outs[0] == outs[1] == outs[2]
 
 
-def test_spread_small_scan(spark):
+def test_spread_only_when_asked(spark):
     from dialogprep.operators import spread
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    target = spark.sparkContext.defaultParallelism
-    spread_plan = spread(docs)._jdf.queryExecution().optimizedPlan().toString()
-    if target > 1:
-        assert "Repartition" in spread_plan
-    assert spread(docs, min_partitions=1).count() == docs.count()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(spread(docs))
+    assert "Repartition" in plan(spread(docs, 3)) and spread(docs, 3).count() == docs.count()
+    spark.conf.set("spark.dialogprep.spreadPartitions", "4")
+    try:
+        assert "Repartition" in plan(spread(docs))
+    finally:
+        spark.conf.unset("spark.dialogprep.spreadPartitions")
