@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dialogprep.llm import bpe, classifier, exact_dedup, mixing, near_dedup
 from dialogprep.llm.common import table
-from dialogprep.session import scratch_path
+from dialogprep.session import drop_path, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)  # read to the end by the stage just written
+        before = path
     return docs

@@ -36,7 +36,7 @@ def n_words(col: Column) -> Column:
 
 def source_rates(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
     """``source, source_size, target, rate`` from rows of ``source, size``."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = keep(sized.groupBy("source").agg(F.sum("size").alias("source_size")))  # one row per source
     ranked = running(totals, [F.col("source").isNull().asc(), F.col("source").asc()], {})
     w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.pmod(F.col("_pos") - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = keep(ranked.select("source", "source_size", F.col("_pos").alias("at"), w.cast("long").alias("w")))
