@@ -11,8 +11,9 @@ Texts are nodes: all documents with the same words in the same order are one.
    follow the band; a range of the sort goes to each task, so one key may span
    tasks.  A task reads a key's texts ``CHUNK`` at a time (chunks overlap),
    compares them by sketch, and emits not the pairs but a spanning forest of
-   the surely similar ones, and for each pair of its parts the few closest
-   doubtful pairs: edges in proportion to texts, however large the group.
+   the closest ones, and between the parts that sure pairs join the few closest
+   doubtful pairs of each text: edges in proportion to texts, however large
+   the group.
 3. Exact check: each distinct edge is kept if the shingle sets (or weights)
    have a similarity of at least ``threshold``.
 4. Components of the kept edges, by smallest neighbour and pointer jumping,
@@ -46,11 +47,11 @@ K = 256
 BANDS, ROWS = 24, 5
 THRESHOLD = 0.8
 MARGIN = 0.07  # about three standard errors of a 256-coordinate estimate
-DOUBTFUL = 3  # pairs tried between two parts that are not surely one
+DOUBTFUL = 3  # pairs that a text tries with texts that are not surely in its part
 CHUNK = 2048
 OVERLAP = 256
 MEMBERS_PER_RANGE = 20_000
-SHINGLES_PER_BATCH = 200_000
+WORK_PER_BATCH = 400_000  # shingles and darts
 
 
 def _words(text: str) -> list[bytes]:
@@ -90,8 +91,8 @@ def _sign(weights: str):
                 rows.append(k)
                 nodes.append(_node(words))
                 sets.append(_weighted(words, hashes, weights))
-                size += len(sets[-1][0])
-                if size > SHINGLES_PER_BATCH:
+                size += len(sets[-1][0]) + 8 * K
+                if size > WORK_PER_BATCH:
                     yield done(batch, rows, nodes, sets)
                     rows, nodes, sets, size = [], [], [], 0
             if rows:
@@ -101,35 +102,41 @@ def _sign(weights: str):
 
 
 def _forest(sketch: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Edges among the rows of ``sketch``: a spanning forest of the surely
-    similar, and the closest doubtful pairs between its trees."""
-    n = len(sketch)
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sure, doubt = [], []
-    for i in range(n - 1):
-        same = np.count_nonzero(sketch[i + 1:] == sketch[i], axis=1) / sketch.shape[1]
-        est = (same - 1 / 256) / (1 - 1 / 256)
-        for j in np.flatnonzero(est >= threshold - MARGIN):
-            (sure if est[j] >= threshold + MARGIN else doubt).append((float(est[j]), i, i + 1 + int(j)))
-    edges = []
-    for _, i, j in sorted(sure, reverse=True):
-        a, b = root(i), root(j)
-        if a != b:
-            parent[a] = b
-            edges.append((i, j))
-    tried: dict[tuple[int, int], int] = {}
-    for _, i, j in sorted(doubt, reverse=True):
-        a, b = sorted((root(i), root(j)))
-        if a != b and tried.get((a, b), 0) < DOUBTFUL:
-            tried[a, b] = tried.get((a, b), 0) + 1
-            edges.append((i, j))
+    """Edges among the rows of ``sketch``, at most ``1 + DOUBTFUL`` a row.
+
+    Prim's algorithm gives a spanning forest of largest estimates, one row of
+    estimates in memory at a time.  Its parts are what the surely similar pairs
+    join.  Between parts, each row also tries its closest doubtful pairs.
+    """
+    n, low, high = len(sketch), threshold - MARGIN, threshold + MARGIN
+
+    def estimates(i: int) -> np.ndarray:
+        same = np.count_nonzero(sketch == sketch[i], axis=1) / sketch.shape[1]
+        return (same - 1 / 256) / (1 - 1 / 256)
+
+    best, link = np.full(n, -1.0), np.zeros(n, np.int64)
+    part, todo, parts = np.zeros(n, np.int64), np.ones(n, bool), 1
+    edges, i = [], 0
+    for _ in range(n - 1):
+        todo[i], best[i] = False, -2.0
+        now = estimates(i)
+        better = todo & (now > best)
+        best[better], link[better] = now[better], i
+        i = int(best.argmax())
+        if best[i] >= low:
+            edges.append((int(link[i]), i))
+        if best[i] >= high:
+            part[i] = part[link[i]]
+        else:
+            part[i] = parts
+            parts += 1
+    if parts > 1:
+        for i in range(n):
+            now = np.where(part == part[i], -1.0, estimates(i))
+            for j in np.argsort(-now, kind="stable")[:DOUBTFUL]:
+                if now[j] < low:
+                    break
+                edges.append((i, int(j)))
     return edges
 
 
