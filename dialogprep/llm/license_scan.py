@@ -22,6 +22,7 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -83,6 +84,26 @@ def compile_template(template: str, lead: str = "") -> str:
     return "".join(out)
 
 
+def mandatory_runs(template: str) -> list[str]:
+    """The wording outside all marked regions, run by run, longest first."""
+    runs, at, depth = [], 0, 0
+    for m in [*_MARK.finditer(template), None]:
+        if not depth:
+            runs.append(" ".join(tokens_of(template[at:m.start() if m else len(template)])))
+        if m:
+            at, depth = m.end(), depth + {"[[": 1, "]]": -1}.get(m[0], 0)
+    return sorted((r for r in runs if r), key=len, reverse=True)
+
+
+def accepts(norm: Column, template: str) -> Column:
+    """Whether the automaton accepts a passage; it is only run on texts that
+    hold all mandatory wording, as any such text must."""
+    holds = F.lit(True)
+    for run in mandatory_runs(template):
+        holds = holds & F.contains(norm, F.lit(f" {run} "))
+    return F.when(holds, norm.rlike(f"(?<= )(?:{compile_template(template)})")).otherwise(F.lit(False))
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -118,7 +139,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for label, n, _, _ in found], F.lit(None).cast("string"))).alias("base"),
     )
     automata = {label: "|".join(f"(?<= )(?:{compile_template(t)})" for t in ts) for label, ts in templates.items()}
-    hit = F.array_compact(F.array(*[F.when(F.col("norm").rlike(a), F.lit(label)) for label, a in automata.items()], F.lit(None).cast("string")))
+    norm = F.col("norm")
+    hit = F.array_compact(F.array(*[F.when(functools.reduce(Column.__or__, [accepts(norm, t) for t in ts]), F.lit(label))
+                                    for label, ts in templates.items()], F.lit(None).cast("string")))
     # Words that stay when the accepted passages are taken out.
     rest = F.regexp_replace("norm", "|".join(automata.values()) or "(?!)", "")
     d = d.withColumn("hit", hit).withColumn("left", F.when(F.size("hit") > 0, _spaces(rest) - 1).otherwise(F.col("n_words")))
