@@ -93,3 +93,19 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str], per_part:
     for o in sums:
         out = out.withColumn(o, F.col(o) + F.col(f"_o_{o}"))
     return out.drop("_rp", "_n0", *[f"_o_{o}" for o in sums])
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """Rows of ``docs`` whose (id, hash of the text) is in ``kept`` (``id, h``, unique).
+
+    Of rows that repeat both, the least by all values stays.  Join and window
+    use the same three columns, none of them nullable, so the texts move once.
+    """
+    def pair(i: Column, h: Column) -> list[Column]:
+        return [F.coalesce(i.cast("string"), F.lit("")).alias("k0"), i.isNull().alias("k1"), h.alias("k2")]
+
+    k = kept.select(*pair(kept["id"], kept["h"]))
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *pair(docs[id_col], text_hash))
+    d = d.join(k, ["k0", "k1", "k2"], "left_semi")
+    same = Window.partitionBy("k0", "k1", "k2").orderBy("row")
+    return d.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")

@@ -21,46 +21,42 @@ other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogprep.llm.common import ascii_lower, salt, salt_count, text_of
+from dialogprep.llm.common import ascii_lower, rows_of, salt, salt_count, text_of
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
-    """One row per document: ``id, keep_id, group_size, kept, digest``."""
+    """One row per document: ``id, keep_id, group_size, kept, digest, h``
+    (``digest``: SHA-256 of the normalised text, ``h``: its 64-bit hash).
+
+    The groups' digest is the short hash: their key holds the full text anyway.
+    """
     n_salts = salts or salt_count(docs.count())
     rows = docs.select(docs[id_col].alias("id"), ascii_lower(text_of(docs[text_col])).alias("norm"))
-    rows = rows.withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("salt", salt(F.col("id"), n_salts))
-    salted = rows.groupBy("digest", "norm", "salt").agg(F.collect_list(F.struct("id")).alias("ids"))
-    salted = salted.select("digest", "norm", "salt", "ids", F.array_max("ids")["id"].alias("rep"))
-    winners = salted.select("digest", "norm", F.struct(F.col("rep").alias("rep"), F.col("salt").alias("salt"), F.size("ids").cast("long").alias("n")).alias("w"))
-    combined = winners.groupBy("digest", "norm").agg(F.collect_list("w").alias("ws"))
+    rows = rows.select("id", "norm", F.xxhash64("norm").alias("h"), salt(F.col("id"), n_salts).alias("salt"))
+    salted = rows.groupBy("h", "norm", "salt").agg(F.collect_list(F.struct("id")).alias("ids"))
+    salted = salted.select("h", "norm", "salt", "ids", F.array_max("ids")["id"].alias("rep"))
+    winners = salted.select("h", "norm", F.struct(F.col("rep").alias("rep"), F.col("salt").alias("salt"), F.size("ids").cast("long").alias("n")).alias("w"))
+    combined = winners.groupBy("h", "norm").agg(F.collect_list("w").alias("ws"))
     combined = combined.select(
-        F.col("digest").alias("d"), F.array_max("ws")["rep"].alias("keep_id"),
+        F.col("h").alias("d"), F.array_max("ws")["rep"].alias("keep_id"),
         F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w["n"]).alias("group_size"), F.explode("ws").alias("w"),
     ).select("d", "keep_id", "group_size", F.col("w.rep").alias("r"), F.col("w.salt").alias("s"))
-    left = salted.select("digest", "salt", "rep", "ids")
+    left = salted.select("h", "salt", "rep", "ids", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"))
     # Null-safe on all keys: a plain equality would add not-null filters to one
     # branch, and the two branches would no longer share one exchange.
-    same = [left[a].eqNullSafe(combined[b]) for a, b in (("digest", "d"), ("salt", "s"), ("rep", "r"))]
+    same = [left[a].eqNullSafe(combined[b]) for a, b in (("h", "d"), ("salt", "s"), ("rep", "r"))]
     both = left.join(combined, same[0] & same[1] & same[2])
-    each = both.select("digest", "keep_id", "group_size", F.posexplode(F.sort_array("ids", asc=False)).alias("i", "e"))
+    each = both.select("h", "digest", "keep_id", "group_size", F.posexplode(F.sort_array("ids", asc=False)).alias("i", "e"))
     return each.select(
         F.col("e.id").alias("id"), "keep_id", "group_size",
-        (F.col("e.id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 0)).alias("kept"), "digest",
+        (F.col("e.id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 0)).alias("kept"), "digest", "h",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all its columns.
-
-    The kept ids join the documents by (id, digest).  Rows that repeat both
-    are numbered by their values, and one stays.
-    """
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("kid"), F.col("digest").alias("kd"))
-    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
-                    F.sha2(ascii_lower(text_of(docs[text_col])).cast("binary"), 256).alias("digest"))
-    d = d.join(kept, d["id"].eqNullSafe(kept["kid"]) & d["digest"].eqNullSafe(kept["kd"]), "left_semi")
-    same = Window.partitionBy("id", "digest").orderBy("row")
-    return d.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
+    """``docs`` with one row of each group of equal texts, all its columns."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select("id", "h")
+    return rows_of(docs, kept, id_col, F.xxhash64(ascii_lower(text_of(docs[text_col]))))

@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogprep.llm.common import keep, text_of
+from dialogprep.llm.common import keep, rows_of, text_of
 from dialogprep.llm.dartminhash import WordHash, mix, shingles, signatures
 
 K = 256
@@ -267,8 +267,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, all its columns."""
     found = near_classes(docs, id_col, text_col, threshold).filter(F.col("id").eqNullSafe(F.col("class_id")))
-    kept = found.groupBy("root").agg(F.min(F.struct("id", "h")).alias("k")).select(F.col("k.id").alias("kid"), F.col("k.h").alias("kh"))
-    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(text_of(docs[text_col])).alias("h"))
-    d = d.join(kept, d["id"].eqNullSafe(kept["kid"]) & d["h"].eqNullSafe(kept["kh"]), "left_semi")
-    same = Window.partitionBy("id", "h").orderBy("row")
-    return d.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "h")).alias("k")).select("k.id", "k.h")
+    return rows_of(docs, kept, id_col, F.xxhash64(text_of(docs[text_col])))
