@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogprep.llm.common import keep, rows_of, text_of
+from dialogprep.llm.common import join_small, keep, rows_of, text_of
 from dialogprep.llm.dartminhash import WordHash, mix, shingles, signatures
 
 K = 256
@@ -257,11 +257,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = links.join(a, "a").join(b, "b").select("a", "b", "ea", "ca", "eb", "cb")
     roots = components(pairs.mapInArrow(_similar(threshold), "a binary, b binary"))
 
-    placed = nodes.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = keep(placed)
-    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    where = placed.select("node", "root").join(classes, "root")
-    return signed.select("id", "h", "node").join(where, "node").select("id", "h", "root", "class_id", "class_size")
+    narrow = nodes.select("node", "least", "n")
+    linked = keep(narrow.join(roots, "node"))
+    classes = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    # Only linked texts need their class looked up, by a salted key: one class may hold most of them.
+    where = join_small(linked.select("node", "root"), classes, "root", F.col("node")).select("node", "root", "class_id", "class_size")
+    alone = narrow.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"), F.col("least").alias("class_id"), F.col("n").alias("class_size"))
+    return signed.select("id", "h", "node").join(where.unionByName(alone), "node").select("id", "h", "root", "class_id", "class_size")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

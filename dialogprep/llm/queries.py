@@ -25,7 +25,7 @@ URL_RULES = (
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS rules(host, path, verdict)")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
