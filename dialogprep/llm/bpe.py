@@ -2,17 +2,20 @@
 
 A text is cut by the split pattern, and each piece is encoded by itself.  The
 encoding of a piece is a monoid reduction: halves are encoded recursively, down
-to leaves of a few bytes that merge pair by pair, and neighbours ``a``, ``b``
-are joined by encoding again a window of ``k`` tokens on either side of the
-border.  A token sequence is the encoding of its bytes exactly when each two
-neighbours encode to themselves, so the window may stop growing (1, 2, 4, ...
+to leaves of a few bytes, and neighbours ``a``, ``b`` are joined by encoding
+again a window of ``k`` tokens on either side of the border.  A token sequence
+is the encoding of its bytes exactly when each two neighbours, merged by rank,
+give themselves ("stable" pairs), so the window may stop growing (1, 2, 4, ...
 tokens) as soon as the pairs across its two edges do; every other pair is
-inside one encoding already.  Decoding concatenates the tokens' bytes up the
-same tree.
+inside one encoding already.  A leaf is encoded by the same fact, as the one
+sequence of tokens whose neighbours are stable.  Decoding concatenates the
+tokens' bytes up the same tree.
 
 The vocabulary (a file of base64 token and rank per line) is read by the driver
-and broadcast; it is bounded by its file.  Pieces seen before come from a cache
-of bounded size.
+and broadcast; it is bounded by its file.  A text is first cut before each
+blank that touches no other white space: the pattern cuts there in any case, so
+the chunks between are independent, and those seen before come from a cache of
+bounded size.
 
 Defined results: null text is empty and has no tokens; special tokens are
 ordinary text; repeated rows give repeated rows; an empty table gives no rows;
@@ -23,8 +26,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 
 from dialogprep.llm.common import text_of
 
-LEAF_BYTES = 48
-CACHE_PIECES = 1 << 18
+LEAF_BYTES = 24
+CACHE_CHARS = 48
+CACHE_CHUNKS = 480_000
+CACHE_PAIRS = 1 << 18
 ROWS_PER_BATCH = 256
 
 
@@ -42,17 +49,58 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def decode_ids(bytes_of: list[bytes], ids: list[int]) -> bytes:
+    """Bytes of the ids, concatenated up the tree."""
+    return b"".join(map(bytes_of.__getitem__, ids))
+
+
+class _Chunks(dict):
+    """Encodings of chunks as packed ids, made when first asked for.
+
+    When the cache is full it becomes the old one, and chunks still in use
+    come back from there.
+    """
+
+    def __init__(self, make):
+        self.make = make
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.old.get(chunk)
+        if packed is None:
+            packed = self.make(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = packed
+        return packed
+
+
 class BytePairCodec:
-    """Encoder and decoder of one vocabulary."""
+    """Encoder and decoder of one vocabulary; packed ids are little-endian int32."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = token_bytes(ranks)
         self.split = regex.compile(pattern)
-        self.cache: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.borders = regex.compile(r"(?V1)(?<=\S)(?= \S)")
+        self.white = [chr(c) for c in range(0x10000) if regex.match(r"\s", chr(c))]
+        self.chunks = _Chunks(self._encode_chunk)
+        self.after_blank = _Chunks(lambda word: self._encode_chunk(" " + word))
+        # Tokens that merging their own bytes makes; others only stand for a whole piece.
+        self.tokens = {t: r for t, r in ranks.items() if self.merge(t) == [r]}
+        self.reach: dict[bytes, int] = {}  # longest token of each three bytes
+        for t in self.tokens:
+            self.reach[t[:3]] = max(self.reach.get(t[:3], 2), len(t))
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the neighbours of least rank, leftmost first, until none merge."""
@@ -75,13 +123,47 @@ class BytePairCodec:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens, side by side, encode to themselves."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= CACHE_PIECES:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
+    def leaf(self, piece: bytes) -> list[int]:
+        """The one sequence of tokens whose neighbours are all stable.
+
+        The longest token first, shorter ones if what follows finds none; a
+        prefix has one encoding, so a place left once is never tried again.
+        """
+        get, pairs, reach, n = self.tokens.get, self.pairs, self.reach, len(piece)
+        out, starts, dead = [], [], set()
+        at, last = 0, -1
+        size = min(n, reach.get(piece[:3], 2))
+        while at < n:
+            while size:
+                token = get(piece[at:at + size])
+                if token is not None and at + size not in dead:
+                    if last < 0:
+                        break
+                    fits = pairs.get(last << 32 | token)
+                    if fits if fits is not None else self.stable(last, token):
+                        break
+                size -= 1
+            if size:
+                out.append(token)
+                starts.append(at)
+                at += size
+                last = token
+                size = min(n - at, reach.get(piece[at:at + 3], 2))
+            else:
+                dead.add(at)
+                size = at - starts[-1] - 1
+                at = starts.pop()
+                out.pop()
+                last = out[-1] if out else -1
+        return out
+
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the bytes of ``a`` followed by those of ``b``."""
         if not a or not b or self.stable(a[-1], b[0]):
@@ -96,7 +178,7 @@ class BytePairCodec:
 
     def reduce(self, piece: bytes, halve: bool = True) -> list[int]:
         if len(piece) <= LEAF_BYTES or not halve:
-            return self.merge(piece)
+            return self.leaf(piece)
         mid = len(piece) // 2
         return self.join(self.reduce(piece[:mid]), self.reduce(piece[mid:]))
 
@@ -105,23 +187,28 @@ class BytePairCodec:
         whole = self.ranks.get(raw)
         return [whole] if whole is not None else self.reduce(raw)
 
+    def _encode_chunk(self, chunk: str) -> bytes:
+        pieces = self.split.findall(chunk)
+        if len(pieces) == 1:
+            return array("i", self.encode_piece(chunk)).tobytes()
+        # A piece is a chunk of its own.
+        return b"".join(self.after_blank[p[1:]] if p[0] == " " and len(p) > 1 else self.chunks[p] for p in pieces)
+
+    def blanks_touch(self, text: str) -> bool:
+        """Whether a blank stands beside other white space."""
+        return any(" " + c in text or c + " " in text for c in self.white if c in text)
+
+    def encode_packed(self, text: str) -> bytes:
+        if self.blanks_touch(text):
+            return b"".join(map(self.chunks.__getitem__, self.borders.split(text)))
+        first, *rest = text.split(" ")
+        return self.chunks[first] + b"".join(map(self.after_blank.__getitem__, rest))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
-        for piece in self.split.findall(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= LEAF_BYTES:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    cache[piece] = ids
-            out += ids
-        return out
+        return array("i", self.encode_packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the ids, concatenated up the tree (``join`` of leaves)."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return decode_ids(self.bytes_of, ids)
 
 
 _codecs: dict[str, BytePairCodec] = {}
@@ -152,7 +239,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(at, ROWS_PER_BATCH)
-                ids = pa.array([codec.encode(t.as_py()) for t in part.column(1)], pa.list_(pa.int32()))
+                packed = [codec.encode_packed(t.as_py()) for t in part.column(1)]
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -160,15 +249,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """``id, ids, bytes``: the bytes that the ids stand for."""
-    shared, key = _share(encoded, vocabulary, pattern)
+    shared, _ = _share(encoded, vocabulary, pattern)
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, shared, pattern)
+        bytes_of = token_bytes(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(at, ROWS_PER_BATCH)
-                raw = pa.array([codec.decode(x.as_py() or []) for x in part.column(1)], pa.binary())
+                ids, ends = part.column(1).flatten().tolist(), np.cumsum([0, *part.column(1).value_lengths().fill_null(0).to_pylist()])
+                raw = pa.array([decode_ids(bytes_of, ids[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), raw], names=["id", "ids", "bytes"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary")
