@@ -18,6 +18,10 @@ Texts are nodes: all documents with the same words in the same order are one.
    have a similarity of at least ``threshold``.
 4. Components of the kept edges, by smallest neighbour and pointer jumping,
    until nothing changes; written to the shared folder each round.
+5. The rest: steps 2 and 3 only save work.  For band keys whose texts are not
+   all in one component, the texts of groups over ``SMALL`` are joined on their
+   rarest shingles, which no pair at ``threshold`` escapes and on which a
+   template's wording does not fall.  No estimate, cap or chunk decides; then step 4 again.
 
 No pair list of a group, set of candidates or component map passes through the
 driver.  Hot texts fold into one node before any shuffle of signatures.
@@ -51,6 +55,9 @@ DOUBTFUL = 3  # pairs that a text tries with texts that are not surely in its pa
 CHUNK = 2048
 OVERLAP = 256
 MEMBERS_PER_RANGE = 20_000
+SMALL = 16  # larger groups that are not one component join on rare shingles
+BUCKETS = 1 << 17  # of shingle counts; collisions only make the order of rarity less sharp
+WIDTH = 1.08  # of a class of set sizes
 WORK_PER_BATCH = 400_000  # shingles and darts
 
 
@@ -217,6 +224,98 @@ def _similar(threshold: float):
     return run
 
 
+def _elements(element: bytes, count: bytes | None) -> np.ndarray:
+    """The set's elements; of a multiset, each element once for each time it counts."""
+    e = np.frombuffer(element, np.uint64)
+    if count is None:
+        return e
+    c = np.frombuffer(count, np.int32)
+    nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    return mix(np.repeat(e, c) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _bucket(elements: np.ndarray) -> np.ndarray:
+    return (elements % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(elements, counts) -> texts per bucket of shingles."""
+    n = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for e, c in zip(*(c.to_pylist() for c in batch.columns)):
+            np.add.at(n, _bucket(_elements(e, c)), 1)
+    hit = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[hit])], names=["bucket", "n"])
+
+
+def _size_classes() -> np.ndarray:
+    """Least size of each class."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * WIDTH)))
+    return np.array(out)
+
+
+def _rare(threshold: float, common: np.ndarray):
+    """(node, root, elements, counts) -> (key, node, root, size, rest): keys that similar texts of unlike roots share.
+
+    Of two sets of ``n`` and ``m`` elements with similarity ``t`` or more, at
+    least ``need = t / (1 + t) * (n + m)`` are in both, so in any one order of
+    all elements the first ``n - need + 1`` of one meet the first
+    ``m - need + 1`` of the other.  The order is by rarity.  A text gives its
+    first elements for each class of sizes that its partner may have: with a
+    partner of like size and a similarity under ``t``, wording that both have
+    from a template is not among them.  ``rest`` counts
+    the elements from this one on, for the exact bound on a pair.
+    """
+    least = _size_classes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                keys, nodes, roots, sizes, rests = [], [], [], [], []
+                for node, root, e, c in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns)):
+                    x = _elements(e, c)
+                    n = len(x)
+                    x = x[np.lexsort((x, common[_bucket(x)]))]
+                    low, high = math.ceil(threshold * n - 1e-6), math.floor(n / threshold + 1e-6)
+                    own, first, last = (int(np.searchsorted(least, v, "right")) - 1 for v in (n, max(low, 1), high))
+                    for q in range(first, last + 1):
+                        need = math.ceil(threshold / (1 + threshold) * (n + max(low, int(least[q]))) - 1e-6)
+                        some = x[:max(n - need + 1, 0)]
+                        keys.append(mix(some + mix(np.array([min(own, q) * 4096 + max(own, q) + 1], np.uint64))).view(np.int64))
+                        nodes += [node] * len(some)
+                        roots += [root] * len(some)
+                        sizes += [n] * len(some)
+                        rests += range(n, n - len(some), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.zeros(0, np.int64)])), pa.array(nodes, pa.binary()), pa.array(roots, pa.binary()), pa.array(sizes, pa.int32()), pa.array(rests, pa.int32())],
+                                                 names=["key", "node", "root", "size", "rest"])
+
+    return run
+
+
+def _across(rows: DataFrame, also: str = "true") -> DataFrame:
+    """(key, node, root, ...) -> pairs ``a < b`` of unlike roots that share a key."""
+    a, b = (rows.withColumnsRenamed({c: c + x for c in rows.columns if c != "key"}) for x in "ab")
+    pairs = a.join(b, "key").filter(f"nodea < nodeb and roota <> rootb and ({also})")
+    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, root) whose key has several roots, with the number ``n`` of the key's rows."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return rows.join(keys.filter("lo <> hi").select("key", "n"), "key")
+
+
+def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of ``sets`` (node, root, elements, counts) with unlike roots that can reach the threshold."""
+    common = np.zeros(BUCKETS, np.int64)
+    for r in sets.select("elements", "counts").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        common[r["bucket"]] = r["n"]
+    rows = keep(sets.select("node", "root", "elements", "counts").mapInArrow(_rare(threshold, common), "key long, node binary, root binary, size int, rest int"))
+    return _across(keep(_mixed(rows).drop("n")), f"least(resta, restb) + 1e-6 >= {threshold / (1 + threshold)!r}D * (sizea + sizeb)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): the least node of its component."""
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y"))
@@ -249,13 +348,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = members.repartitionByRange(n, "key", "next", "node").sortWithinPartitions("key", "next", "node")
     links = keep(ordered.select("key", "node", "sketch").mapInArrow(_link(threshold), "a binary, b binary").distinct())
 
-    wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "h"), "node")
-    texts = rows.select("h", "text").join(wanted, "h").groupBy("node").agg(F.first("text").alias("text"))
-    sets = keep(texts.mapInArrow(_sets(weights), "node binary, elements binary, counts binary"))
-    a = sets.toDF("a", "ea", "ca")
-    b = sets.toDF("b", "eb", "cb")
-    pairs = links.join(a, "a").join(b, "b").select("a", "b", "ea", "ca", "eb", "cb")
-    roots = components(pairs.mapInArrow(_similar(threshold), "a binary, b binary"))
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = rows.select("h", "text").join(wanted.distinct().join(nodes.select("node", "h"), "node"), "h").groupBy("node").agg(F.first("text").alias("text"))
+        return keep(texts.mapInArrow(_sets(weights), "node binary, elements binary, counts binary"))
+
+    def similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
+        pairs = edges.join(sets.toDF("a", "ea", "ca"), "a").join(sets.toDF("b", "eb", "cb"), "b").select("a", "b", "ea", "ca", "eb", "cb")
+        return pairs.mapInArrow(_similar(threshold), "a binary, b binary")
+
+    def ends(edges: DataFrame) -> DataFrame:
+        return edges.select(F.col("a").alias("node")).union(edges.select("b"))
+
+    good = keep(similar(links, sets_of(ends(links))))
+    roots = components(good)
+
+    at = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    at = keep(_mixed(at))
+    many = keep(at.filter(F.col("n") > SMALL).select("node", "root").distinct())
+    left = sets_of(many.select("node"))
+    rare = rare_pairs(many.join(left, "node"), threshold).join(links, ["a", "b"], "left_anti")
+    more = keep(similar(rare, left))
+    if more.limit(1).count():
+        roots = components(good.union(more))
 
     narrow = nodes.select("node", "least", "n")
     linked = keep(narrow.join(roots, "node"))

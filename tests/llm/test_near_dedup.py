@@ -134,3 +134,38 @@ def test_drop_keeps_one_whole_row_of_each_class(spark, corpus):
 def test_empty(spark):
     assert near_classes(docs(spark, [])).collect() == []
     assert drop_near_copies(docs(spark, [])).collect() == []
+
+
+def crowded(n=400, pairs=40, seed=3):
+    """A template family at mutual 0.778; the first ``pairs`` pairs share more and are at 0.80 to 0.85."""
+    rnd = random.Random(seed)
+    head = " ".join(f"t{i}" for i in range(200))
+    tail = [[f"d{rnd.getrandbits(60)}" for _ in range(28)] for _ in range(n)]
+    for p in range(pairs):
+        shared = 4 + p % 6
+        tail[2 * p + 1][:shared] = tail[2 * p][:shared]
+    rows = [(i, head + " " + " ".join(t), "en", "hot", 0) for i, t in enumerate(tail)]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_crowded_family_just_under_the_threshold(spark):
+    rows = crowded()
+    want = brute(rows)
+    assert Counter(size for _, _, size in want) == {1: 320, 2: 80}
+    assert got(docs(spark, rows)) == want
+
+
+def test_rare_pairs_are_all_pairs(spark, corpus):
+    """The join on rare shingles alone, against all pairs, for sets and multisets."""
+    texts = sorted({(r[1] or "").lower() for r in corpus + crowded(100, 10)} - {"", " \t\n "})
+    hashes = near_dedup.WordHash()
+    for weights in ("set", "count"):
+        sets = [near_dedup._weighted(near_dedup._words(t), hashes, weights) for t in texts]
+        flat = [near_dedup._elements(e.tobytes(), c.astype(np.int32).tobytes() if weights == "count" else None) for e, c in sets]
+        flat = [frozenset(x.tolist()) for x in flat]
+        want = {(i, j) for i, j in combinations(range(len(texts)), 2) if len(flat[i] & flat[j]) >= 0.8 * len(flat[i] | flat[j])}
+        rows = [(b"%06d" % i, b"%06d" % i, e.tobytes(), c.astype(np.int32).tobytes() if weights == "count" else None) for i, (e, c) in enumerate(sets)]
+        df = spark.createDataFrame(rows, "node binary, root binary, elements binary, counts binary")
+        found = {(int(bytes(r["a"])), int(bytes(r["b"]))) for r in near_dedup.rare_pairs(df, 0.8).collect()}
+        assert want <= found and len(want) > 100
