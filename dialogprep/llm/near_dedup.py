@@ -19,9 +19,10 @@ Texts are nodes: all documents with the same words in the same order are one.
 4. Components of the kept edges, by smallest neighbour and pointer jumping,
    until nothing changes; written to the shared folder each round.
 5. The rest: steps 2 and 3 only save work.  For band keys whose texts are not
-   all in one component, the texts of groups over ``SMALL`` are joined on their
-   rarest shingles, which no pair at ``threshold`` escapes and on which a
-   template's wording does not fall.  No estimate, cap or chunk decides; then step 4 again.
+   all in one component, groups of up to ``SMALL`` texts check every pair of
+   unlike components, and the texts of larger ones are joined on their rarest
+   shingles, which no pair at ``threshold`` escapes and on which a template's
+   wording does not fall.  No estimate, cap or chunk decides; then step 4 again.
 
 No pair list of a group, set of candidates or component map passes through the
 driver.  Hot texts fold into one node before any shuffle of signatures.
@@ -55,7 +56,7 @@ DOUBTFUL = 3  # pairs that a text tries with texts that are not surely in its pa
 CHUNK = 2048
 OVERLAP = 256
 MEMBERS_PER_RANGE = 20_000
-SMALL = 16  # larger groups that are not one component join on rare shingles
+SMALL = 16  # groups up to this size compare all pairs of unlike roots, larger ones join on rare shingles
 BUCKETS = 1 << 17  # of shingle counts; collisions only make the order of rarity less sharp
 WIDTH = 1.08  # of a class of set sizes
 WORK_PER_BATCH = 400_000  # shingles and darts
@@ -364,10 +365,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     at = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     at = keep(_mixed(at))
+    few = keep(_across(at.filter(F.col("n") <= SMALL).select("key", "node", "root")).join(links, ["a", "b"], "left_anti"))
     many = keep(at.filter(F.col("n") > SMALL).select("node", "root").distinct())
-    left = sets_of(many.select("node"))
+    left = sets_of(ends(few).union(many.select("node")))
     rare = rare_pairs(many.join(left, "node"), threshold).join(links, ["a", "b"], "left_anti")
-    more = keep(similar(rare, left))
+    more = keep(similar(few.union(rare).distinct(), left))
     if more.limit(1).count():
         roots = components(good.union(more))
 

@@ -156,6 +156,25 @@ def test_crowded_family_just_under_the_threshold(spark):
     assert got(docs(spark, rows)) == want
 
 
+def test_windows_lose_no_pair(spark, corpus, monkeypatch):
+    """Groups over many chunks and ranges, without a tolerated loss."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    monkeypatch.setattr(near_dedup, "OVERLAP", 10)
+    monkeypatch.setattr(near_dedup, "MEMBERS_PER_RANGE", 200)
+    rows = corpus + [(10_000 + r[0], *r[1:]) for r in crowded(200, 20)]
+    assert got(docs(spark, rows)) == brute(rows)
+
+
+def test_pairs_across_range_borders(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEMBERS_PER_RANGE", 1)
+    rnd = random.Random(8)
+    rows = []
+    for g in range(6):
+        w = [f"w{rnd.getrandbits(40)}" for _ in range(100)]
+        rows += [(2 * g, " ".join(w), "en", "s", 0), (2 * g + 1, " ".join(w[:95]), "en", "s", 0)]
+    assert got(docs(spark, rows)) == brute(rows)
+
+
 def test_rare_pairs_are_all_pairs(spark, corpus):
     """The join on rare shingles alone, against all pairs, for sets and multisets."""
     texts = sorted({(r[1] or "").lower() for r in corpus + crowded(100, 10)} - {"", " \t\n "})
