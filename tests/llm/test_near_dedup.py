@@ -175,6 +175,23 @@ def test_pairs_across_range_borders(spark, monkeypatch):
     assert got(docs(spark, rows)) == brute(rows)
 
 
+def test_isolated_pairs_whose_sketch_misses(spark):
+    """Pairs at 0.8 that share a band, in groups of two, whose estimate is below the margin."""
+    rnd = random.Random(21)
+    rows, hashes = [], near_dedup.WordHash()
+    while len(rows) < 4:
+        w = [f"w{rnd.getrandbits(40)}" for _ in range(104)]
+        v = w[:84]
+        sets = [near_dedup._weighted(near_dedup._words(" ".join(x)), hashes, "set") for x in (w, v)]
+        a, b = signatures(sets, near_dedup.K)
+        same = (a == b)[:near_dedup.BANDS * near_dedup.ROWS].reshape(near_dedup.BANDS, near_dedup.ROWS).all(axis=1)
+        if np.mean(a == b) < 0.725 and same.any():
+            rows += [(len(rows) + i, " ".join(x), "en", "s", 0) for i, x in enumerate((w, v))]
+    want = brute(rows)
+    assert all(size == 2 for _, _, size in want)
+    assert got(docs(spark, rows)) == want
+
+
 def test_rare_pairs_are_all_pairs(spark, corpus):
     """The join on rare shingles alone, against all pairs, for sets and multisets."""
     texts = sorted({(r[1] or "").lower() for r in corpus + crowded(100, 10)} - {"", " \t\n "})
