@@ -6,9 +6,10 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
+from dialogprep.llm import near_dedup
 from dialogprep.llm.bpe import load_ranks
 from tests.llm.helpers import AZ, clashing, docs
-from tests.llm.test_near_dedup import shingle_set
+from tests.llm.test_near_dedup import crowded, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,13 @@ def test_empty(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_stage_on_a_crowded_family(spark, monkeypatch):
+    """Template texts just under 0.8 over many chunks: each planted pair at 0.80 to 0.85 keeps one text, the others all stay."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    monkeypatch.setattr(near_dedup, "OVERLAP", 10)
+    rows = crowded(400, 40)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    left = sorted(r["doc_id"] for r in stage(spark, docs(spark, rows), "").select("doc_id").collect())
+    assert left == sorted(set(range(400)) - {2 * p + 1 for p in range(40)})
