@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import bpe, classifier, exact_dedup, license_scan, lm_score, mixing, near_dedup, quality_rules, secret_scan, url_filter
+from dialogprep.llm import bpe, classifier, exact_dedup, hard_negatives, license_scan, lm_score, mixing, near_dedup, quality_rules, secret_scan, topk, url_filter
 from dialogprep.llm.common import table
 
 # The vocabulary files of the tokenizers package, read by the driver.
@@ -84,6 +84,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    # Anchors by id, and the shifted labels.
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, shifted)
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_near_dedup, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_lm_score, op8_byte_bpe,
-    op9_quality_rules, op10_secret_scan)}
+    op9_quality_rules, op10_secret_scan, op11_hard_negatives, op13_top_k)}
