@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +94,7 @@ def pack(rows: DataFrame, order: list[str], shape: Shape, size: int, n_rows: int
         def flush() -> pa.RecordBatch:
             nonlocal held, n_held, made
             t = pa.Table.from_batches(held).combine_chunks()
+            t = t.take(pa.compute.sort_indices(t, [("id", "ascending")], null_placement="at_end"))  # see cells()
             col = {c: t.column(c).combine_chunks() if t.num_rows else t.column(c) for c in t.column_names}
             v = matrix(col["v"], dim, dtype)
             keys = col["key"].to_numpy(zero_copy_only=False)
@@ -201,6 +203,21 @@ def scores(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
+def cells(s: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of fitting cells, those that cannot be among a row's ``k`` best left out.
+
+    Columns are sorted by id, so of equal scores the first ``k`` are enough: a
+    block of copies does not give a cell for each of them.
+    """
+    if s.shape[1] > k and np.count_nonzero(fits) > 2 * k * len(s):
+        low = np.iinfo(np.int64).min if s.dtype == np.int64 else -np.inf
+        held = np.where(fits, s, low)
+        least = np.partition(held, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+        tied = fits & (s == least)
+        fits = (fits & (s > least)) | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k))
+    return np.nonzero(fits)
+
+
 class Best:
     """The ``k`` best hits of each of ``n`` owners: higher score, then smaller id (null last)."""
 

@@ -133,7 +133,7 @@ def positives(anchors: DataFrame, pairs: DataFrame, blocks: DataFrame, shape: B.
         for row in its:
             ids, null = B.ids_of(row)
             for mine, live, s, fits in an.near(row, lambda m: (_number(best.least[m]), np.full(len(m), np.inf)), np.equal):
-                i, j = np.nonzero(fits & (s >= best.least[mine].astype(s.dtype)[:, None]))
+                i, j = B.cells(s, fits & (s >= best.least[mine].astype(s.dtype)[:, None]), n_pos)
                 best.add(mine[i], s[i, j], ids[live[j]], null[live[j]])
         yield pa.record_batch({"q": np.full(len(best.owner), head["q"].as_py(), np.int64), "at": best.owner.astype(np.int32), "score": best.score, "id": pa.array(best.id, mask=best.null)})
 
@@ -194,7 +194,7 @@ def mine(df: DataFrame, anchor: Column, label: Column, n_pos: int = 5, n_neg: in
                     if not len(r):
                         continue
                     sr = s[r]
-                    i, c = np.nonzero(fits[r] & (sr >= least(m)[r, j][:, None]) & (sr <= top[m[r], j][:, None]))
+                    i, c = B.cells(sr, fits[r] & (sr >= least(m)[r, j][:, None]) & (sr <= top[m[r], j][:, None]), n_neg)
                     best.add(m[r[i]] * n_pos + j, sr[i, c], ids[live[c]], null[live[c]])
         own = best.owner // n_pos
         yield pa.record_batch({"q": np.full(len(own), head["q"].as_py(), np.int64), "at": own.astype(np.int32), "nth": (best.owner % n_pos + 1).astype(np.int32),

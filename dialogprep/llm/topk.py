@@ -125,10 +125,7 @@ class _Queries:
             own = np.flatnonzero(self.homes[mine] == block)
             floor = np.iinfo(np.int64).min if s.dtype == np.int64 else -np.inf
             s[own, self.places[mine[own]]] = floor
-            least = self.best.least[mine].astype(s.dtype)
-            if len(ids) > k:
-                least = np.maximum(least, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
-            q, c = np.nonzero((s >= least[:, None]) & (s > floor))
+            q, c = B.cells(s, (s >= self.best.least[mine].astype(s.dtype)[:, None]) & (s > floor), k)
             self.best.add(mine[q], s[q, c], ids[c], null[c])
 
     def state(self) -> bytes:
