@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import bpe, classifier, exact_dedup, hard_negatives, license_scan, lm_score, mixing, near_dedup, quality_rules, secret_scan, topk, url_filter
+from dialogprep.llm import bpe, classifier, conversation_repair, exact_dedup, hard_negatives, license_scan, lm_score, mixing, near_dedup, quality_rules, secret_scan, topk, url_filter
 from dialogprep.llm.common import table
 
 # The vocabulary files of the tokenizers package, read by the driver.
@@ -91,6 +91,27 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, shifted)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """What happens to a row of ``conversations``, by the remainder of its key's crc32."""
+    said = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    hit = F.crc32(F.concat(said["conv_id"], F.lit(":"), said["turn"]).cast("binary")) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.translate(said["text"], ".!?", "")).otherwise(said["text"])
+    copies = F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(hit == 4, "user").otherwise(said["role"]).alias("role"), text.alias("text"),
+                       F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    fixed = conversation_repair.repair(damaged(rows))
+    ids = rows.select("conv_id").distinct().withColumn("ck", conversation_repair.conversation_key(F.col("conv_id")))
+    found = fixed.summary.join(conversation_repair.digest(fixed.lines), "ck")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(found, "ck", "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")
@@ -98,4 +119,4 @@ def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_near_dedup, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_lm_score, op8_byte_bpe,
-    op9_quality_rules, op10_secret_scan, op11_hard_negatives, op13_top_k)}
+    op9_quality_rules, op10_secret_scan, op11_hard_negatives, op12_conversation_repair, op13_top_k)}
