@@ -7,6 +7,7 @@ of partitioning, and computes the same in DuckDB.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -59,23 +60,70 @@ def split_hash(df: DataFrame, key: str, test_size: float, seed: int = 42,
 
 def split_exact(df: DataFrame, key: str | list[str], test_size: float, seed: int = 42,
                 split_col: str = "split") -> DataFrame:
-    """H3 (exact): the first ``ceil(test_size * n)`` rows in hash order are test.
-
-    Rank the keys by (hash, key) with hash-prefix buckets (no single-task
-    sort) and attach the split by key; the row count comes from the same
-    bucket totals (no second pass, no driver round trip).  A test size >= 1 is a row count, as in the reference's
-    splitter.
+    """H3 (exact): the first ``ceil(test_size * n)`` rows in (hash, key) order are test.
+
+    The last test row is found by :func:`nth_key`, so the split itself is a
+    predicate on the row: no window, no join, no shuffle of rows.  The keys are
+    read two or three times while the function is called; write an expensive
+    ``df`` first.  A test size >= 1 is a row count, as in the reference's
+    splitter.  A null key fails the job; repeated keys go to the same side, and
+    fail the call if the border falls between them.
     """
     keys = key_list(key)
-    narrow = df.select(*keys).withColumn("_h", hash_key(keys, seed, "split"))
-    ranked = ordered_index(narrow, ["_h", *keys], hash_prefix_bucket(F.col("_h")),
-                           rank_col="_rank", total_col="_n")
-    if test_size >= 1:
-        n_test = F.lit(int(test_size))
+    hashed = df.select(*keys, hash_key(keys, seed, "split").alias("_h"))
+    border = nth_key(hashed, "_h", keys, lambda n: int(test_size) if test_size >= 1 else math.ceil(n * float(test_size)))
+    null = functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    test = F.lit(border == "all")
+    if isinstance(border, tuple):
+        h = hash_key(keys, seed, "split")
+        types = [df.schema[k].dataType for k in keys]
+        at = F.struct(F.lit(border[0]).alias("_h"), *[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, border[1:], types, strict=True)])
+        # Few rows share the border's hash, so the key is compared for these only.
+        test = (h < border[0]) | ((h == border[0]) & (F.struct(h.alias("_h"), *keys) <= at))
+    lost = F.raise_error(F.lit(f"null in the row key {keys}"))
+    return df.withColumn(split_col, F.when(null, lost).when(test, "test").otherwise("train"))
+
+
+RADIX_DIGITS = 4  # hex digits of a histogram: 65,536 counts
+FEW = 10_000  # rows that are looked at one by one
+
+
+def nth_key(hashed: DataFrame, hash_col: str, keys: list[str], wanted) -> tuple | str | None:
+    """(hash, key...) of the row at ``wanted(number of rows)`` (from 1) in that order, by radix selection.
+
+    A histogram of the hash's next digits, counted where the rows are and at
+    most 65,536 rows in all, tells which digits the row has; rows of these digits
+    are counted by the digits that follow, until few are left.  ``None`` for a
+    place before the first row, ``"all"`` for the last one or beyond.
+    """
+    prefix, before, k = "", 0, None
+    while True:
+        digit = F.substring(hash_col, len(prefix) + 1, RADIX_DIGITS)
+        rest = hashed.filter(F.col(hash_col).startswith(prefix)) if prefix else hashed.filter(F.col(hash_col).isNotNull())
+        counts = sorted((r[0], r[1]) for r in rest.groupBy(digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if k is None:
+            n = sum(c for _, c in counts)
+            k = wanted(n)
+            if k <= 0 or k >= n:
+                return "all" if n and k >= n else None
+        for d, c in counts:
+            if before + c >= k:
+                break
+            before += c
+        prefix += d
+        if c <= FEW or len(prefix) >= 32:
+            break
+    rows = hashed.filter(F.col(hash_col).startswith(prefix)).select(hash_col, *keys)
+    if c > FEW:  # one hash many times: only repeats of one key do that
+        rows = rows.groupBy(hash_col, *keys).agg(F.count(F.lit(1)).alias("_c")).orderBy(hash_col, *keys)
+        few = [(tuple(r)[:-1], r["_c"]) for r in rows.take(2)]
     else:
-        n_test = F.ceil(F.col("_n").cast("double") * F.lit(float(test_size)))
-    split = ranked.select(*keys, F.when(F.col("_rank") < n_test, "test").otherwise("train").alias(split_col))
-    return attach(df, split, keys)
+        few = [(tuple(r), 1) for r in rows.orderBy(hash_col, *keys).collect()]
+    spread = [r for r, m in few for _ in range(min(m, k - before + 1))]
+    at = k - before - 1
+    if at + 1 < len(spread) and spread[at + 1] == spread[at]:
+        raise ValueError(f"the split falls between rows of one key {keys}: {spread[at][1:]}")
+    return spread[at]
 
 
 def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, rank_col: str = "shuffle_rank") -> DataFrame:

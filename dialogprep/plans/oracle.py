@@ -369,6 +369,11 @@ def build() -> dict[str, str]:
     q["predictions_jsonl"] = ex + f"SELECT conv_id, md5(output) AS output_md5, {_generated_predict(inf_src)} AS predict FROM ex"
     q["submission_records"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_rank,
         md5({_generated_predict(inf_src)}) AS output_md5 FROM ex"""
+    q["submission_document"] = q["submission_records"]
+    q["read_examples_array"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_pos, n_turns::BIGINT AS n_turns,
+        md5({transcript('lines')}) AS transcript_md5, {kw_text('kws')} AS keywords, md5(output) AS output_md5, 'conversations' AS source FROM ex"""
+    q["cached_computations"] = ex + """SELECT 'even' AS part, conv_id, md5(output) AS output_md5, true AS reused FROM ex WHERE conv_id % 2 = 0
+        UNION ALL SELECT 'third', conv_id, md5(output), true FROM ex WHERE conv_id % 3 = 0"""
     q["stream_prompts"] = sft + f"SELECT conv_id, len(s)::BIGINT AS n_source, {checksum('list_concat(s, g)')} AS ids_checksum FROM sft_ids"
     return q
 

@@ -50,7 +50,7 @@ from dialogprep.sources.readers import (
     read_preferences,
     split_corrupt,
 )
-from dialogprep.sources.writers import materialize, write_predictions, write_preferences, write_submission
+from dialogprep.sources.writers import materialize, write_document, write_predictions, write_preferences, write_submission
 from dialogprep.streaming.prompts import stream_training_rows
 
 # Query parameters (FIXTURES.md section 2).
@@ -483,6 +483,16 @@ def q_read_examples_json(spark, d):
                        P.keywords_text(_kw()).alias("keywords"), F.md5("output").alias("output_md5"), "source")
 
 
+def q_read_examples_array(spark, d):
+    """A1: the records as one indented JSON array in one file, read by its splits; records are keyed by position."""
+    path = scratch_path(spark, "examples_array") + ".json"
+    ex = examples(spark, d).select("example_id", "input", "output", F.lit("conversations").alias("source"))
+    write_document(ex.withColumnRenamed("example_id", "conv_id"), path, order_col="conv_id")
+    back = read_examples(spark, path, multi_line=True)
+    return back.select("conv_id", _big(F.substring_index("example_id", "-", -1), "file_pos"), _big(F.size(_conv()), "n_turns"),
+                       F.md5(P.transcript(_conv())).alias("transcript_md5"), P.keywords_text(_kw()).alias("keywords"), F.md5("output").alias("output_md5"), "source")
+
+
 BAD_EVERY = 7
 
 
@@ -528,6 +538,20 @@ def q_cached_result(spark, d):
     return changed.select(_cid(), F.md5("output").alias("output_md5"), F.lit(same).alias("reused"))
 
 
+def q_cached_computations(spark, d):
+    """One name, file and config, but two filters: each result is its own, and each is found again."""
+    path = scratch_path(spark, "cache_source")
+    examples(spark, d).select("example_id", "output").write.parquet(path)
+    table = spark.read.parquet(path)
+    out = None
+    for part, cond in (("even", "example_id % 2 = 0"), ("third", "example_id % 3 = 0")):
+        first = materialize(table.filter(cond), "filtered", spark, config="v1", reuse=True)
+        again = materialize(spark.read.parquet(path).filter(cond), "filtered", spark, config="v1", reuse=True)
+        rows = again.select(F.lit(part).alias("part"), _cid(), F.md5("output").alias("output_md5"), F.lit(first.inputFiles() == again.inputFiles()).alias("reused"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def q_read_few_shot_csv(spark, d):
     path = scratch_path(spark, "pool_csv")
     pool(spark, d).orderBy("pos").select("text").write.mode("overwrite").option("header", True) \
@@ -566,6 +590,15 @@ def q_submission_records(spark, d):
     return ranked.select(_cid(), _big(F.col("file_rank"), "file_rank"), F.md5("output").alias("output_md5"))
 
 
+def q_submission_document(spark, d):
+    """The submission as one indented file, read back by position."""
+    path = scratch_path(spark, "submission_document") + ".json"
+    sub = _generated(spark, d).select("example_id", F.col("predict").alias("output"))
+    write_document(sub, path, order_col="example_id")
+    back = read_examples(spark, path, multi_line=True, id_col="place")
+    return back.select(_cid(), _big(F.substring_index("place", "-", -1), "file_rank"), F.md5("output").alias("output_md5"))
+
+
 def q_stream_prompts(spark, d):
     src = scratch_path(spark, "stream_src")
     examples(spark, d).write.mode("overwrite").parquet(src)
@@ -626,4 +659,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predictions_jsonl": q_predictions_jsonl,
     "submission_records": q_submission_records,
     "stream_prompts": q_stream_prompts,
+    "read_examples_array": q_read_examples_array,
+    "cached_computations": q_cached_computations,
+    "submission_document": q_submission_document,
 }

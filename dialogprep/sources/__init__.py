@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from dialogprep.sources.json_array import read_json_array  # noqa: F401
 from dialogprep.sources.readers import (  # noqa: F401
     load_examples,
     read_examples,
@@ -11,6 +12,7 @@ from dialogprep.sources.readers import (  # noqa: F401
 from dialogprep.sources.writers import (  # noqa: F401
     materialize,
     record_json,
+    write_document,
     write_predictions,
     write_preferences,
     write_submission,

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialogprep.operators.ordinal import add_position, file_order_index, position_columns
+from dialogprep.sources.json_array import CORRUPT, read_json_array
 from dialogprep.sources.writers import materialize
 
-CORRUPT = "_corrupt_record"
-
 
 def read_examples(spark: SparkSession, path: str, fmt: str = "json", multi_line: bool = False,
                   schema: T.StructType | None = None, id_col: str = "example_id") -> DataFrame:
@@ -20,8 +19,9 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json", multi_line:
     unknown extra fields survive to the output.  Malformed JSON rows are kept
     in ``_corrupt_record`` (PERMISSIVE) - route them with
     :func:`split_corrupt`.  A file holding one JSON array yields one row per
-    element (``multi_line=True``, the file read by one task; convert large ones
-    to JSON Lines or Parquet once); JSON Lines and Parquet stay splittable.
+    element (``multi_line=True``; many tasks read it, see
+    :mod:`dialogprep.sources.json_array`); JSON Lines and Parquet are splittable
+    as they are.
 
     Records without ``id_col`` are identified by their place, as in the
     reference: ``<file ordinal>-<position in file>``, zero-padded, so keys sort
@@ -30,13 +30,19 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json", multi_line:
     """
     df = _read_records(spark, path, fmt, multi_line, schema)
     if id_col in df.columns:
-        return df
-    placed = materialize(df.select("*", *position_columns()), "records", spark)
+        return df.drop("_file", "_pos")
+    placed = materialize(_placed(df), "records", spark)
     return _with_position_key(placed, id_col)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Records with what tells their place; those of arrays have it already."""
+    return df if "_pos" in df.columns else df.select("*", *position_columns())
+
+
 def _with_position_key(placed: DataFrame, id_col: str) -> DataFrame:
-    return add_position(placed, "_file", "_pos").withColumn(id_col, position_key("_file", "_pos")).drop("_file", "_pos")
+    placed = placed if "_pos" in placed.columns else add_position(placed, "_file", "_pos")
+    return placed.withColumn(id_col, position_key("_file", "_pos")).drop("_file", "_pos")
 
 
 def _read_records(spark: SparkSession, path: str, fmt: str, multi_line: bool, schema: T.StructType | None) -> DataFrame:
@@ -44,12 +50,12 @@ def _read_records(spark: SparkSession, path: str, fmt: str, multi_line: bool, sc
         return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     if fmt != "json":
         raise ValueError(f"unknown format {fmt!r}")
-    r = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
         if CORRUPT not in schema.fieldNames():
             schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
         r = r.schema(schema)
-    return r.json(path)
+    return read_json_array(spark, path, schema) if multi_line else r.json(path)
 
 
 def position_key(file_col: str, pos_col: str) -> Column:
@@ -67,7 +73,7 @@ def load_examples(spark: SparkSession, path: str, fmt: str = "json", multi_line:
     """
     raw = _read_records(spark, path, fmt, multi_line, schema)
     own = id_col in raw.columns
-    rows = materialize(raw if own else raw.select("*", *position_columns()), "examples", spark)
+    rows = materialize(raw.drop("_file", "_pos") if own else _placed(raw), "examples", spark)
     rows = rows if own else _with_position_key(rows, id_col)
     if CORRUPT not in rows.columns:
         return rows, own
