@@ -49,6 +49,7 @@ def collate(
     rank_col: str | None = None,
     order: str = "shuffle",
     seed: int = 42,
+    length: str | None = None,
 ) -> DataFrame:
     """K1 (+ F3, G3): fixed-size batches with right padding to the batch max.
 
@@ -63,10 +64,13 @@ def collate(
     pad equals EOS); ``mask="by_length"`` marks the original positions.
 
     Ranks and batch maxima are computed on (key, length) only and attached
-    by key, so no window ever holds token arrays.
+    by key, so no window ever holds token arrays.  ``length`` names a column that
+    holds the size of ``ids``, so that the narrow pass reads no arrays at all.
+    Over a table bucketed by ``key`` (:mod:`dialogprep.sources.bucketed`) the
+    arrays do not move.
     """
     keys = key_list(key)
-    n_ids = F.size(ids).alias("_n")
+    n_ids = (F.col(length) if length else F.size(ids)).alias("_n")
     if rank_col:
         narrow = df.select(*keys, rank_col, n_ids).withColumnRenamed(rank_col, "_rank")
     elif order == "shuffle":
@@ -102,42 +106,56 @@ def pack(
     key: str | list[str] = "example_id",
     group_rows: int = 1000,
     cols: tuple[str, ...] = ("input_ids", "labels", "attention_mask"),
+    length: str | None = None,
 ) -> DataFrame:
     """L1 (+ F4, G4): concatenate each group's arrays and cut ``block_size`` chunks.
 
     A group is ``group_rows`` consecutive rows in ``key`` order (one or more
     columns of any orderable type, unique together) (the reference's
-    map batch).  The remainder past the last full chunk of a group
-    is dropped; a group with fewer than ``block_size`` tokens yields one short
-    chunk; an all-empty group yields nothing.  Offsets come from the first
-    column; all columns must have equal per-row sizes (true for training rows).
-    Ranks and offsets are computed on (key, length) only - windows span one
+    map batch).  Every column is concatenated on its own and cut at the same
+    offsets, which come from the first column: its remainder past the last full
+    chunk is dropped; a group with fewer than ``block_size`` tokens yields one short
+    chunk; one without any yields nothing.  A column that runs out early has short
+    or empty chunks, what it has beyond the first column's chunks is dropped.
+
+    Ranks and offsets are computed on (key, lengths) only - windows span one
     group of narrow rows - and attached by key; chunks hold at most
     ``block_size`` tokens, so the regrouping never builds an unbounded group.
+    ``length`` names a column with the size that all columns have, so that the
+    narrow pass reads no arrays.  Over a table bucketed by ``key`` only the
+    pieces of the chunks move.
     """
     B = block_size
-    first = cols[0]
     keys = key_list(key)
-    differ = F.raise_error(F.lit(f"columns {list(cols)} differ in length"))
-    equal = functools.reduce(lambda x, y: x & y, [F.size(c) == F.size(first) for c in cols], F.lit(True))
-    narrow = df.select(*keys, F.when(equal, F.size(first)).otherwise(differ).alias("_len"))
+    own = {c: "_n0" if length else f"_n{i}" for i, c in enumerate(cols)}  # a column's length
+    sizes = [F.col(length).alias("_n0")] if length else [F.size(c).alias(n) for c, n in own.items()]
+    narrow = df.select(*keys, *sizes)
     narrow = ordered_index(by_range(narrow, keys), keys, F.col("_range"), rank_col="_rank")
     narrow = narrow.withColumn("group", F.floor(F.col("_rank") / F.lit(group_rows)).cast("long"))
-    w = Window.partitionBy("group").orderBy("_rank")
-    narrow = narrow.withColumn("_start", F.coalesce(
-        F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    narrow = narrow.withColumn("_total", F.sum("_len").over(Window.partitionBy("group")).cast("long"))
-    limit = F.when(F.col("_total") >= B, F.floor(F.col("_total") / B).cast("long") * B).otherwise(F.col("_total"))
-    narrow = narrow.withColumn("_end", F.least(F.col("_start") + F.col("_len"), limit))
-    d = attach(df.select(*keys, *cols), narrow.select(*keys, "group", "_start", "_end"), keys)
-    d = d.filter(F.col("_start") < F.col("_end"))
-    d = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_start") / B).cast("long"),
-                                                   F.floor((F.col("_end") - 1) / B).cast("long"))))
-    lo = F.greatest(F.col("_start"), F.col("chunk") * B)
-    hi = F.least(F.col("_end"), (F.col("chunk") + 1) * B)
-    pieces = [F.slice(F.col(c), (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias(c)
-              for c in cols]
-    parts = d.select("group", "chunk", F.struct(F.col("_start").alias("start"), *pieces).alias("p"))
+    prior = Window.partitionBy("group").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum(F.greatest(own[cols[0]], F.lit(0))).over(Window.partitionBy("group"))
+    names = sorted(set(own.values()))
+    narrow = narrow.withColumns({f"{n}s": F.coalesce(F.sum(F.greatest(n, F.lit(0))).over(prior), F.lit(0)).cast("long") for n in names} | {"_total": total.cast("long")})
+    # Chunks of a group: full ones, or one short one.
+    limit = F.when(F.col("_total") >= B, F.floor(F.col("_total") / B).cast("long") * B).when(F.col("_total") > 0, F.lit(B)).otherwise(F.lit(0))
+    narrow = narrow.withColumn("_limit", limit.cast("long"))
+    narrow = narrow.withColumns({f"{n}e": F.least(F.col(f"{n}s") + F.greatest(n, F.lit(0)), "_limit") for n in names})
+    marks = [f"{n}{x}" for n in names for x in "se"]
+    d = attach(df.select(*keys, *cols), narrow.select(*keys, "group", "_rank", *marks), keys)
+    some = functools.reduce(lambda x, y: x | y, [F.col(f"{n}s") < F.col(f"{n}e") for n in names])
+    d = d.filter(some)
+    begun = [F.when(F.col(f"{n}s") < F.col(f"{n}e"), F.col(f"{n}s")) for n in names]
+    ended = [F.when(F.col(f"{n}s") < F.col(f"{n}e"), F.col(f"{n}e")) for n in names]
+    low, high = (F.least(*begun), F.greatest(*ended)) if len(names) > 1 else (begun[0], ended[0])
+    d = d.withColumn("chunk", F.explode(F.sequence(F.floor(low / B).cast("long"), F.floor((high - 1) / B).cast("long"))))
+
+    def piece(c: str) -> Column:
+        start, end = F.col(f"{own[c]}s"), F.col(f"{own[c]}e")
+        lo, hi = F.greatest(start, F.col("chunk") * B), F.least(end, (F.col("chunk") + 1) * B)
+        cut = F.slice(F.col(c), (lo - start + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+        return F.coalesce(cut, F.array().cast(df.schema[c].dataType)).alias(c)
+
+    parts = d.select("group", "chunk", F.struct("_rank", *[piece(c) for c in cols]).alias("p"))
     grouped = parts.groupBy("group", "chunk").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return grouped.select(
         "group", "chunk",

@@ -117,8 +117,14 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     group in memory before it spills, counted in rows, not bytes).  When ``df``
     is already partitioned by the key - as assembled records are - the wide
     side of this join does not move; a table read from files moves once.
-    A null or repeated key fails the job.
+    So does nothing of a table bucketed by the keys (:mod:`dialogprep.sources.bucketed`):
+    the narrow side goes to its buckets.  A null or repeated key fails the job.
     """
+    from dialogprep.sources.bucketed import buckets_by
+
+    n = buckets_by(df, keys)
+    if n:
+        per_key = per_key.repartition(n, *keys)
     # A null key would vanish in the join and a repeated one would multiply its
     # rows, so both fail the job.  The left join keeps the wide side's
     # partitioning; the check rides on the attached columns.

@@ -369,6 +369,16 @@ def build() -> dict[str, str]:
     q["predictions_jsonl"] = ex + f"SELECT conv_id, md5(output) AS output_md5, {_generated_predict(inf_src)} AS predict FROM ex"
     q["submission_records"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_rank,
         md5({_generated_predict(inf_src)}) AS output_md5 FROM ex"""
+    q["collate_bucketed"], q["pack_bucketed"] = q["collate_pad"], q["pack_tokens"]
+    block = R.PACK_BLOCK
+    cut = {c: f"{c}[chunk * {block} + 1 : least((chunk + 1) * {block}, n)]" for c in ("a", "t", "m")}
+    q["pack_unequal"] = with_(EXAMPLES, SFT) + f""", r AS (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // {R.PACK_GROUP_ROWS} AS grp,
+            list_concat(s, g) AS a, g AS t, list_concat(list_concat(s, g), g) AS m FROM sft_ids),
+        g AS (SELECT grp, flatten(list(a ORDER BY conv_id)) AS a, flatten(list(t ORDER BY conv_id)) AS t, flatten(list(m ORDER BY conv_id)) AS m FROM r GROUP BY grp),
+        n AS (SELECT *, CASE WHEN len(a) >= {block} THEN len(a) // {block} * {block} WHEN len(a) > 0 THEN {block} ELSE 0 END AS n FROM g),
+        k AS (SELECT *, unnest(range(0, n // {block})) AS chunk FROM n)
+        SELECT grp::BIGINT AS "group", chunk::BIGINT AS chunk, len({cut['a']})::BIGINT AS n_ids, len({cut['t']})::BIGINT AS n_target,
+            len({cut['m']})::BIGINT AS n_more, {checksum(cut['t'])} AS target_checksum, {checksum(cut['m'])} AS more_checksum FROM k"""
     q["submission_document"] = q["submission_records"]
     q["read_examples_array"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_pos, n_turns::BIGINT AS n_turns,
         md5({transcript('lines')}) AS transcript_md5, {kw_text('kws')} AS keywords, md5(output) AS output_md5, 'conversations' AS source FROM ex"""

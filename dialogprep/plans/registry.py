@@ -50,6 +50,7 @@ from dialogprep.sources.readers import (
     read_preferences,
     split_corrupt,
 )
+from dialogprep.sources.bucketed import open_bucketed, write_bucketed
 from dialogprep.sources.writers import materialize, write_document, write_predictions, write_preferences, write_submission
 from dialogprep.streaming.prompts import stream_training_rows
 
@@ -66,6 +67,7 @@ PREF_OBJECT_ROWS = 16
 BATCH_SIZE = 2
 EVAL_BATCH_SIZE = 4
 PACK_BLOCK = 2048
+BUCKETS = 8
 ROW_TOKEN_LIMIT = 4096
 ONE_SHOT_INDEXES = (0, 3, -1)
 MAX_NEW_TOKENS = 1024
@@ -308,8 +310,11 @@ def _written(spark, d) -> DataFrame:
 
 
 def q_collate_pad(spark, d):
-    e = _written(spark, d)
-    c = collate(e, BATCH_SIZE, TOK.pad_token_id, key="example_id", n_shards=N_SHARDS)
+    return _collated(_written(spark, d))
+
+
+def _collated(e: DataFrame, length: str | None = None) -> DataFrame:
+    c = collate(e, BATCH_SIZE, TOK.pad_token_id, key="example_id", n_shards=N_SHARDS, length=length)
     return c.select(
         _big(F.col("shard"), "shard"), _big(F.col("batch_id"), "batch_id"), _cid(),
         _big(F.col("pad_to"), "pad_to"), _big(F.col("pad_to") - F.size(F.col("source_ids")) - F.size(F.col("target_ids")), "n_pad"),
@@ -360,8 +365,33 @@ def q_pack_string_key(spark, d):
     return _packed(e.withColumn("example_id", F.lpad(F.col("example_id").cast("string"), 12, "0")))
 
 
-def _packed(e: DataFrame) -> DataFrame:
-    pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS)
+def _bucketed(spark, d, *cols: str) -> DataFrame:
+    """Encoded rows bucketed and sorted by key, entered in the catalog again as a later job would."""
+    path = scratch_path(spark, "bucketed_rows")
+    write_bucketed(_encoded(spark, d).select("example_id", *cols, F.size("input_ids").alias("n_tokens")), path, "example_id", BUCKETS)
+    return open_bucketed(spark, path)
+
+
+def q_collate_bucketed(spark, d):
+    """The training loader over a bucketed table: token arrays stay where they are."""
+    return _collated(_bucketed(spark, d, "source_ids", "target_ids", "input_ids", "labels"), length="n_tokens")
+
+
+def q_pack_bucketed(spark, d):
+    """Packing over a bucketed table: only the chunks' pieces move."""
+    return _packed(_bucketed(spark, d, "input_ids", "labels", "attention_mask"), length="n_tokens")
+
+
+def q_pack_unequal(spark, d):
+    """Columns of unlike sizes: ids (the first), targets (shorter) and ids with the targets again (longer)."""
+    e = _written(spark, d).select("example_id", "input_ids", "target_ids", F.concat("input_ids", "target_ids").alias("more_ids"))
+    pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS, cols=("input_ids", "target_ids", "more_ids"))
+    return pk.select(_big(F.col("group"), "group"), _big(F.col("chunk"), "chunk"), _big(F.size("input_ids"), "n_ids"), _big(F.size("target_ids"), "n_target"),
+                     _big(F.size("more_ids"), "n_more"), I.checksum(F.col("target_ids")).alias("target_checksum"), I.checksum(F.col("more_ids")).alias("more_checksum"))
+
+
+def _packed(e: DataFrame, length: str | None = None) -> DataFrame:
+    pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS, length=length)
     return pk.select(_big(F.col("group"), "group"), _big(F.col("chunk"), "chunk"),
                      _big(F.size("input_ids"), "n_tokens"),
                      I.checksum(F.col("input_ids")).alias("ids_checksum"),
@@ -659,6 +689,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predictions_jsonl": q_predictions_jsonl,
     "submission_records": q_submission_records,
     "stream_prompts": q_stream_prompts,
+    "collate_bucketed": q_collate_bucketed,
+    "pack_bucketed": q_pack_bucketed,
+    "pack_unequal": q_pack_unequal,
     "read_examples_array": q_read_examples_array,
     "cached_computations": q_cached_computations,
     "submission_document": q_submission_document,

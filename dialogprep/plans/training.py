@@ -16,6 +16,7 @@ from dialogprep.operators.batches import collate, pack
 from dialogprep.operators.examples import concat_splits, encode_examples, to_training_table
 from dialogprep.operators.prompting import build_prompts
 from dialogprep.schema import PromptConfig
+from dialogprep.sources.bucketed import write_bucketed
 from dialogprep.sources.readers import load_examples, read_few_shot_pool
 
 
@@ -82,16 +83,35 @@ def build_training_set(
     return spark.read.parquet(out_path)
 
 
+ROW_KEY = ("origin", "{key}", "task_order")  # a key is unique within its file, and with the topic task a record has two rows
+
+
+def _row_key(key: str) -> list[str]:
+    return [k.format(key=key) for k in ROW_KEY]
+
+
+def bucket_split(table: DataFrame, path: str, split: str = "train", key: str = "example_id", buckets: int | None = None) -> DataFrame:
+    """One split of a written training table, bucketed and sorted by its row key, with the rows' lengths.
+
+    Written once; :func:`training_batches` and :func:`packed_blocks` then never move its token arrays.
+    """
+    rows = table.filter(F.col("split") == split).withColumn("n_tokens", F.size("input_ids"))
+    return write_bucketed(rows, path, _row_key(key), buckets)
+
+
 def training_batches(table: DataFrame, batch_size: int, pad_id: int, split: str = "train",
                      n_shards: int = 1, key: str = "example_id", seed: int = 42) -> DataFrame:
-    """Padded batches of one split of a written training table (train: shuffled)."""
+    """Padded batches of one split of a written training table, plain or bucketed (train: shuffled)."""
     rows = table.filter(F.col("split") == split)
     order = "shuffle" if split == "train" else "key"
-    # A key is unique within its file, and with the topic task a record has two rows.
-    return collate(rows, batch_size, pad_id, key=["origin", key, "task_order"], n_shards=n_shards, order=order, seed=seed)
+    return collate(rows, batch_size, pad_id, key=_row_key(key), n_shards=n_shards, order=order, seed=seed, length=_length(table))
 
 
 def packed_blocks(table: DataFrame, block_size: int, split: str = "train", group_rows: int = 1000,
                   key: str = "example_id") -> DataFrame:
-    """Fixed-length blocks of one split of a written training table."""
-    return pack(table.filter(F.col("split") == split), block_size, key=["origin", key, "task_order"], group_rows=group_rows)
+    """Fixed-length blocks of one split of a written training table, plain or bucketed."""
+    return pack(table.filter(F.col("split") == split), block_size, key=_row_key(key), group_rows=group_rows, length=_length(table))
+
+
+def _length(table: DataFrame) -> str | None:
+    return "n_tokens" if "n_tokens" in table.columns else None

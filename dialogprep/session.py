@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # Training rows hold long token arrays: a vectorized Parquet batch holds
     # this many rows at once per task, so keep it well below the 4096 default.
     "spark.sql.parquet.columnarReaderBatchSize": "512",
+    # Bucketed training tables have one file a bucket (sources.bucketed): their order holds.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",

@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from dialogprep.sources.bucketed import open_bucketed, write_bucketed  # noqa: F401
 from dialogprep.sources.json_array import read_json_array  # noqa: F401
 from dialogprep.sources.readers import (  # noqa: F401
     load_examples,
