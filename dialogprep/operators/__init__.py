@@ -8,6 +8,7 @@ from dialogprep.operators.assemble import (  # noqa: F401
     top_keywords,
 )
 from dialogprep.operators.batches import collate, pack, shard_of  # noqa: F401
+from dialogprep.operators.epochs import epoch_order, epoch_rows  # noqa: F401
 from dialogprep.operators.examples import (  # noqa: F401
     concat_splits,
     dataset_stats,
@@ -19,6 +20,7 @@ from dialogprep.operators.examples import (  # noqa: F401
 from dialogprep.operators.generate import (  # noqa: F401
     decode_prediction,
     generate_column,
+    generate_resumable,
     join_predictions,
     map_batches,
     with_prediction,

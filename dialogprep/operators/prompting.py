@@ -8,7 +8,7 @@ no example is ever paired with pool rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogprep.functions import prompts as P
@@ -48,12 +48,17 @@ def few_shot_budget(pool: DataFrame, tokenizer, specials_per_encode: int = 1) ->
 
 def few_shot_prefix(pool: DataFrame, tokenizer, block_size: int, specials_per_encode: int = 1,
                     text: PromptText = PromptText()) -> Column:
-    """E1 build side: the affordable pool prefix as one sorted array (scalar subquery).
+    """E1 build side: the affordable pool prefix as a direct-address table (scalar subquery).
+
+    ``fits[r]`` is the number of examples that fit into a remaining budget of
+    ``r`` tokens (0 .. ``block_size``), ``ends[k]`` the length of the first ``k``
+    examples' text, and ``text`` all of it, each entry wrapped as
+    ``[Example i]\\n{text}{separator}``; the example number is ``pos + 1`` because the
+    kept rows are always a prefix.  So a row's examples are two array accesses
+    and one substring, whatever the pool.
 
     Only entries with ``cum_tokens <= block_size`` can ever be chosen, so the
-    array holds at most ``block_size`` tokens of text whatever the pool size.
-    Each entry carries its wrapped text ``[Example i]\\n{text}{separator}``; the
-    example number is ``pos + 1`` because the kept rows are always a prefix.
+    text holds at most ``block_size`` tokens (and its wrappers) whatever the pool size.
     """
     if specials_per_encode < 1:
         raise ValueError("specials_per_encode must be at least 1: entries without cost would not bound the prefix")
@@ -63,13 +68,18 @@ def few_shot_prefix(pool: DataFrame, tokenizer, block_size: int, specials_per_en
     budget = few_shot_budget(reachable, tokenizer, specials_per_encode).filter(F.col("cum_tokens") <= block_size)
     piece = F.concat(F.lit(head), (F.col("pos") + 1).cast("string"), F.lit(tail),
                      F.coalesce(F.col("text"), F.lit("")), F.lit(text.example_separator))
-    arr = budget.select(
-        F.coalesce(
-            F.array_sort(F.collect_list(F.struct("pos", "cum_tokens", piece.alias("piece")))),
-            F.array().cast("array<struct<pos:int,cum_tokens:bigint,piece:string>>"),
-        ).alias("pool")
-    )
-    return arr.scalar()
+    pieces = budget.select("pos", "cum_tokens", piece.alias("piece"))
+    # At most block_size rows, so this window is small whatever the pool.
+    pieces = pieces.withColumn("end", F.sum(F.length("piece")).over(Window.orderBy("pos")))
+    entries = pieces.agg(F.array_sort(F.collect_list(F.struct("pos", F.col("cum_tokens").alias("cum"), "end", "piece"))).alias("e"))
+    # A budget from one entry's total up to the next one's fits the same number of examples.
+    upto = F.concat(F.transform("e", lambda x: x["cum"]), F.array(F.lit(block_size + 1).cast("long")))
+    entries = entries.withColumn("upto", upto)
+    runs = F.transform("upto", lambda t, k: F.array_repeat(k, (t - F.when(k == 0, F.lit(0)).otherwise(F.get("upto", k - 1))).cast("int")))
+    return entries.select(F.struct(
+        F.flatten(runs).alias("fits"),
+        F.concat(F.array(F.lit(0).cast("long")), F.transform("e", lambda x: x["end"])).alias("ends"),
+        F.array_join(F.transform("e", lambda x: x["piece"]), "").alias("text")).alias("pool")).scalar()
 
 
 def dynamic_few_shot(df: DataFrame, pool: DataFrame, tokenizer, cfg: PromptConfig) -> DataFrame:
@@ -81,18 +91,15 @@ def dynamic_few_shot(df: DataFrame, pool: DataFrame, tokenizer, cfg: PromptConfi
     because costs are non-negative).  Wrapper text is not counted.
     """
     t = cfg.text
-    arr = few_shot_prefix(pool, tokenizer, cfg.fewshot_block_size, cfg.specials_per_encode, t)
+    table = few_shot_prefix(pool, tokenizer, cfg.fewshot_block_size, cfg.specials_per_encode, t)
     rendered = P.render_chat(P.messages(P.system_prompt(t), P.summary_prompt(_conv(), _kw(), t)),
                              cfg.template, generation_prompt=True)
     base = tokenizer.n_tokens(rendered) + F.lit(cfg.specials_per_encode)
-    # The subquery is projected into a column first: Spark does not accept a
-    # subquery as a higher-order function argument.
-    out = df.withColumn("base_tokens", base.cast("long")).withColumn("_fs_pool", arr)
-    allowed = F.lit(cfg.fewshot_block_size) - F.col("base_tokens")
-    out = out.withColumn("n_examples",
-                         F.size(F.filter("_fs_pool", lambda e: e["cum_tokens"] <= allowed)).cast("int"))
-    prefix = F.array_join(F.transform(F.slice("_fs_pool", 1, F.col("n_examples")), lambda e: e["piece"]), "")
-    return out.withColumn("fewshot_prefix", prefix).drop("_fs_pool")
+    out = df.withColumn("base_tokens", base.cast("long")).withColumn("_fs", table)
+    left = (F.lit(cfg.fewshot_block_size) - F.col("base_tokens")).cast("int")
+    out = out.withColumn("n_examples", F.when(left < 0, F.lit(0)).otherwise(F.get(F.col("_fs.fits"), left)).cast("int"))
+    prefix = F.substr(F.col("_fs.text"), F.lit(1), F.get(F.col("_fs.ends"), F.col("n_examples")).cast("int"))
+    return out.withColumn("fewshot_prefix", prefix).drop("_fs")
 
 
 # -- one-shot ------------------------------------------------------------------

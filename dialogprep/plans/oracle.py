@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 from dialogprep.functions.ids import CHECKSUM_BASE, CHECKSUM_MOD
+from dialogprep.functions import permutation as PM
 from dialogprep.plans import registry as R
 from dialogprep.schema import ChatTemplate, PromptText
 
@@ -235,6 +236,28 @@ kept_tokens AS (SELECT grp, gpos // {B} AS chunk, gpos, id, lb FROM tokens
 """
 
 
+def _epochs(head: str) -> str:
+    """The epochs' orders: the rounds over all of 0 .. a*b-1, then the walk back below n."""
+    head = head.strip().removeprefix("WITH").strip()
+    parts = [f"""WITH RECURSIVE {head},
+        rows_ AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS pos FROM ex),
+        n_ AS (SELECT count(*)::BIGINT AS n, CASE WHEN count(*) > 1 THEN floor(sqrt(count(*) - 1))::BIGINT + 1 ELSE 1 END AS root FROM rows_),
+        ab AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, unnest(range(root, root + least(root, {PM.CANDIDATES}))) AS a FROM n_)
+               ORDER BY a * ((n + a - 1) // a) - n, a LIMIT 1)"""]
+    for e in R.EPOCHS:
+        keys = PM.Permutation(1, R.SEED, e).keys
+        parts.append(f"f{e}_0 AS (SELECT x, x // b AS l, x % b AS r, n, a, b FROM (SELECT *, unnest(range(a * b)) AS x FROM ab))")
+        for i, k in enumerate(keys):
+            d, other, width = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+            v = f"(({other} + {k}) % {PM.PRIME})"
+            new = f"({d} + ({v} * {v} % {PM.PRIME} * {PM.FACTOR} + {v}) % {PM.PRIME}) % {width}"
+            parts.append(f"f{e}_{i + 1} AS (SELECT x, {new if d == 'l' else 'l'} AS l, {new if d == 'r' else 'r'} AS r, n, a, b FROM f{e}_{i})")
+        parts.append(f"f{e} AS (SELECT x, l * b + r AS y, n FROM f{e}_{len(keys)})")
+        parts.append(f"w{e} AS (SELECT x, y, n FROM f{e} WHERE x < n UNION ALL SELECT w{e}.x, f{e}.y, f{e}.n FROM w{e} JOIN f{e} ON f{e}.x = w{e}.y WHERE w{e}.y >= w{e}.n)")
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(
+        f"SELECT conv_id, {e}::BIGINT AS epoch, y::BIGINT AS rank, pos::BIGINT AS back FROM rows_ JOIN w{e} ON x = pos WHERE y < n" for e in R.EPOCHS)
+
+
 def build() -> dict[str, str]:
     ex = with_(EXAMPLES)
     q: dict[str, str] = {}
@@ -379,6 +402,8 @@ def build() -> dict[str, str]:
         k AS (SELECT *, unnest(range(0, n // {block})) AS chunk FROM n)
         SELECT grp::BIGINT AS "group", chunk::BIGINT AS chunk, len({cut['a']})::BIGINT AS n_ids, len({cut['t']})::BIGINT AS n_target,
             len({cut['m']})::BIGINT AS n_more, {checksum(cut['t'])} AS target_checksum, {checksum(cut['m'])} AS more_checksum FROM k"""
+    q["generate_resumable"] = q["generate_join"]
+    q["shuffle_epochs"] = _epochs(with_(EXAMPLES))
     q["submission_document"] = q["submission_records"]
     q["read_examples_array"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_pos, n_turns::BIGINT AS n_turns,
         md5({transcript('lines')}) AS transcript_md5, {kw_text('kws')} AS keywords, md5(output) AS output_md5, 'conversations' AS source FROM ex"""

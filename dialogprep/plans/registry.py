@@ -18,6 +18,8 @@ from dialogprep.functions import prompts as P
 from dialogprep.functions.tokens import CodepointTokenizer, PieceTokenizer, byte_level_tokenizer_json
 from dialogprep.operators.assemble import examples_from_turns, pool_from_table, preferences_from_turns
 from dialogprep.operators.batches import collate, pack
+from dialogprep.functions.permutation import Permutation
+from dialogprep.operators.epochs import epoch_order
 from dialogprep.operators.examples import (
     dataset_stats,
     encode_examples,
@@ -28,6 +30,7 @@ from dialogprep.operators.examples import (
 from dialogprep.operators.generate import (
     decode_prediction,
     generate_column,
+    generate_resumable,
     join_predictions,
     map_batches,
 )
@@ -68,6 +71,10 @@ BATCH_SIZE = 2
 EVAL_BATCH_SIZE = 4
 PACK_BLOCK = 2048
 BUCKETS = 8
+EPOCHS = (0, 1)
+MAP_BATCH = 1000
+STEP_FILES = 64
+GENERATE_BUDGET = 16384
 ROW_TOKEN_LIMIT = 4096
 ONE_SHOT_INDEXES = (0, 3, -1)
 MAX_NEW_TOKENS = 1024
@@ -432,6 +439,17 @@ def q_shuffle_order(spark, d):
     return s.select(_cid(), _big(F.col("shuffle_rank"), "rank"))
 
 
+def q_shuffle_epochs(spark, d):
+    """H1 as a formula: two epochs' orders over numbered rows, and the way back."""
+    rows = order_rank(examples(spark, d).select("example_id"), "example_id", "pos")
+    n, out = rows.count(), None
+    for epoch in EPOCHS if n else ():
+        r = epoch_order(rows, n, "pos", SEED, epoch, "rank")
+        r = r.select(_cid(), _big(F.lit(epoch), "epoch"), "rank", _big(Permutation(n, SEED, epoch).position(F.col("rank")), "back"))
+        out = r if out is None else out.unionByName(r)
+    return out if n else rows.select(_cid(), _big(F.lit(0), "epoch"), _big(F.col("pos"), "rank"), _big(F.col("pos"), "back"))
+
+
 # -- generation and sinks -----------------------------------------------------------
 def q_continuation(spark, d):
     e = _encoded(spark, d)
@@ -486,6 +504,15 @@ def _generated(spark, d) -> DataFrame:
     return decode_prediction(g, TOK)
 
 
+def q_generate_resumable(spark, d):
+    """The generator as a job with a log: steps of a few files, each prompt generated in one of them."""
+    marker = [ord(c) + TOK.offset for c in CFG.text.conversation_header + "\n"]
+    factory = echo_line_generator(marker, ord("\n") + TOK.offset, TOK.eos_token_id, MAX_NEW_TOKENS)
+    prompts = _inference_prompts(spark, d).select("example_id", "output", "source_ids")
+    g = generate_resumable(prompts, factory, scratch_path(spark, "generation"), files_per_step=STEP_FILES, token_budget=GENERATE_BUDGET)
+    return decode_prediction(g, TOK).select(_cid(), "output", "predict")
+
+
 def q_generate_join(spark, d):
     return _generated(spark, d).select(_cid(), "output", "predict")
 
@@ -502,7 +529,7 @@ def q_batched_map(spark, d):
         return pd.DataFrame({"conv_id": rows["example_id"].astype("int64"),
                              "turn": rows["turn"].astype("int64"), "n": rows["n"]})
 
-    return map_batches(turns, per_batch, "conv_id bigint, turn bigint, n bigint")
+    return map_batches(turns, per_batch, "conv_id bigint, turn bigint, n bigint", batch_rows=MAP_BATCH)
 
 
 def q_read_examples_json(spark, d):
@@ -692,6 +719,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collate_bucketed": q_collate_bucketed,
     "pack_bucketed": q_pack_bucketed,
     "pack_unequal": q_pack_unequal,
+    "shuffle_epochs": q_shuffle_epochs,
+    "generate_resumable": q_generate_resumable,
     "read_examples_array": q_read_examples_array,
     "cached_computations": q_cached_computations,
     "submission_document": q_submission_document,
