@@ -1,7 +1,10 @@
 """DataFrame -> DataFrame operators (usable with ``df.transform``)."""
 
 from dialogprep.operators.assemble import (  # noqa: F401
+    assemble_chunks,
     assemble_conversations,
+    chunk_rows,
+    chunk_text,
     examples_from_turns,
     pool_from_table,
     preferences_from_turns,

@@ -404,6 +404,12 @@ def build() -> dict[str, str]:
             len({cut['m']})::BIGINT AS n_more, {checksum(cut['t'])} AS target_checksum, {checksum(cut['m'])} AS more_checksum FROM k"""
     q["generate_resumable"] = q["generate_join"]
     q["shuffle_epochs"] = _epochs(with_(EXAMPLES))
+    q["assemble_chunks"] = f"""WITH b AS (SELECT *, coalesce(sum(strlen(role) + strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {R.TURN_CHUNK_BYTES} AS chunk FROM conversations),
+        c AS (SELECT conv_id, chunk, count(*) AS n, string_agg({NL} || role || ': ' || text, '' ORDER BY turn) AS lines FROM b GROUP BY conv_id, chunk),
+        t AS (SELECT conv_id, chunk, n, CASE WHEN chunk = 0 THEN {lit(TX.conversation_header)} ELSE '' END || lines AS x FROM c),
+        i AS (SELECT *, CASE WHEN chunk = 0 THEN list_prepend(1, {enc('x')}) ELSE {enc('x')} END AS ids FROM t)
+        SELECT conv_id, chunk::BIGINT AS chunk, n::BIGINT AS n_turns, md5(x) AS text_md5, len(ids)::BIGINT AS n_tokens, {checksum('ids')} AS ids_checksum FROM i"""
     q["submission_document"] = q["submission_records"]
     q["read_examples_array"] = ex + f"""SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS file_pos, n_turns::BIGINT AS n_turns,
         md5({transcript('lines')}) AS transcript_md5, {kw_text('kws')} AS keywords, md5(output) AS output_md5, 'conversations' AS source FROM ex"""

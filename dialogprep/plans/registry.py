@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dialogprep.functions import ids as I
 from dialogprep.functions import prompts as P
 from dialogprep.functions.tokens import CodepointTokenizer, PieceTokenizer, byte_level_tokenizer_json
-from dialogprep.operators.assemble import examples_from_turns, pool_from_table, preferences_from_turns
+from dialogprep.operators.assemble import assemble_chunks, chunk_rows, chunk_text, examples_from_turns, pool_from_table, preferences_from_turns
 from dialogprep.operators.batches import collate, pack
 from dialogprep.functions.permutation import Permutation
 from dialogprep.operators.epochs import epoch_order
@@ -71,6 +71,7 @@ BATCH_SIZE = 2
 EVAL_BATCH_SIZE = 4
 PACK_BLOCK = 2048
 BUCKETS = 8
+TURN_CHUNK_BYTES = 200
 EPOCHS = (0, 1)
 MAP_BATCH = 1000
 STEP_FILES = 64
@@ -124,6 +125,14 @@ def q_assemble_conversations(spark, d):
                      _big(F.length("output"), "output_chars"))
 
 
+def q_assemble_chunks(spark, d):
+    """F1 for conversations of any length: turns in chunks of bounded bytes, and their part of the transcript and its ids."""
+    c = assemble_chunks(_t(spark, d, "conversations"), max_bytes=TURN_CHUNK_BYTES)
+    text = chunk_text(F.col("turns"), F.col("chunk"))
+    ids = chunk_rows(c, TOK).select("conv_id", "chunk", _big(F.size("input_ids"), "n_tokens"), I.checksum(F.col("input_ids")).alias("ids_checksum"))
+    return c.select("conv_id", "chunk", _big(F.size("turns"), "n_turns"), F.md5(text).alias("text_md5")).join(ids, ["conv_id", "chunk"])
+
+
 def q_format_turns(spark, d):
     ex = examples(spark, d)
     return ex.select(_cid(), F.posexplode(F.transform(_conv(), lambda t: P.format_turn(t))).alias("turn", "line")
@@ -721,6 +730,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pack_unequal": q_pack_unequal,
     "shuffle_epochs": q_shuffle_epochs,
     "generate_resumable": q_generate_resumable,
+    "assemble_chunks": q_assemble_chunks,
     "read_examples_array": q_read_examples_array,
     "cached_computations": q_cached_computations,
     "submission_document": q_submission_document,
