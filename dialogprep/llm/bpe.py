@@ -1,24 +1,27 @@
 """Byte-level BPE encoding and decoding by tree reduction.
 
 A text is cut by the split pattern, and each piece is encoded by itself.  The
-encoding of a piece is a monoid reduction: halves are encoded recursively, down
-to leaves of a few bytes, and neighbours ``a``, ``b`` are joined by encoding
-again a window of ``k`` tokens on either side of the border.  A token sequence
-is the encoding of its bytes exactly when each two neighbours, merged by rank,
-give themselves ("stable" pairs), so the window may stop growing (1, 2, 4, ...
-tokens) as soon as the pairs across its two edges do; every other pair is
-inside one encoding already.  A leaf is encoded by the same fact, as the one
-sequence of tokens whose neighbours are stable.  Decoding concatenates the
-tokens' bytes up the same tree.
-
-The vocabulary (a file of base64 token and rank per line) is read by the driver
-and broadcast; it is bounded by its file.  A text is first cut before each
+encoding of a piece is a monoid reduction: the leaves are single bytes and parts
+that are one token, any other part is cut in two, both are encoded, and the
+neighbours ``a``, ``b`` are joined.  A token sequence is the encoding of its bytes
+exactly when each two neighbours, merged by rank, give themselves ("stable"
+pairs).  So if the pair at the border is stable the two are just put together;
+else a window of ``k`` tokens on either side is encoded again, and the window
+grows (1, 2, 4, ... tokens) until the pairs across its two edges are stable:
+every other pair is inside one encoding already.  Whether a pair is stable is
+read from the tokens' own last merges, without merging.  Decoding is the same
+reduction with concatenation: the places of all tokens' bytes are the running
+sums of their lengths, so a batch is put together at once.
+
+The vocabulary (a file of base64 token and rank per line) is read and its tables
+are made by the driver and broadcast; they are bounded by the file.  A text is first cut before each
 blank that touches no other white space: the pattern cuts there in any case, so
 the chunks between are independent, and those seen before come from a cache of
 bounded size.
 
 Defined results: null text is empty and has no tokens; special tokens are
-ordinary text; repeated rows give repeated rows; an empty table gives no rows;
+ordinary text; very long texts are encoded whole, in one task, and a piece of n
+bytes takes about n joins; repeated rows give repeated rows; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 
 from dialogprep.llm.common import text_of
 
-LEAF_BYTES = 24
+KEPT_BYTES = 24
+CACHE_PARTS = 200_000
 CACHE_CHARS = 48
 CACHE_CHUNKS = 480_000
 CACHE_PAIRS = 1 << 18
@@ -56,9 +60,30 @@ def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def decode_ids(bytes_of: list[bytes], ids: list[int]) -> bytes:
-    """Bytes of the ids, concatenated up the tree."""
-    return b"".join(map(bytes_of.__getitem__, ids))
+DECODE_TOKENS = 1 << 18
+
+
+class Decoder:
+    """Bytes of ids: a whole batch is put together by the running sums of the tokens' lengths."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = token_bytes(ranks)
+        self.size = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def bytes(self, ids: np.ndarray) -> bytes:
+        parts = []
+        for at in range(0, len(ids), DECODE_TOKENS):
+            size = self.size[ids[at:at + DECODE_TOKENS]]
+            begin = np.cumsum(size) - size
+            parts.append(self.flat[np.repeat(self.start[ids[at:at + DECODE_TOKENS]] - begin, size) + np.arange(int(size.sum()))].tobytes())
+        return b"".join(parts)
+
+    def batch(self, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+        """A binary column: row ``i`` has the ids from ``rows[i]`` to ``rows[i + 1]``."""
+        ends = np.r_[0, np.cumsum(self.size[ids])][rows]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.bytes(ids))])
 
 
 class _Chunks(dict):
@@ -84,42 +109,60 @@ class _Chunks(dict):
         return packed
 
 
+def merge(ranks: dict[bytes, int], piece: bytes, down_to: int = 1) -> list[bytes]:
+    """Merge the neighbours of least rank, leftmost first, until none merge or ``down_to`` parts are left."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    none = 1 << 60
+    near = [ranks.get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+    while len(near) >= down_to:
+        least = min(near)
+        if least == none:
+            break
+        i = near.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del near[i]
+        if i < len(near):
+            near[i] = ranks.get(parts[i] + parts[i + 1], none)
+        if i:
+            near[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+    return parts
+
+
+class Vocabulary:
+    """Ranks and, made once from them, what joins need."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        #: Tokens that merging their own bytes makes; others only stand for a whole piece.
+        self.tokens: dict[bytes, int] = {}
+        #: The two tokens whose merge made a token, and the other way round.
+        self.halves: dict[int, tuple[int, int]] = {}
+        for t, r in ranks.items():
+            two = merge(ranks, t, down_to=2)
+            if len(two) == 1:
+                self.tokens[t] = r
+            elif len(two) == 2 and ranks.get(two[0] + two[1]) == r:
+                self.tokens[t] = r
+                self.halves[r] = (ranks[two[0]], ranks[two[1]])
+        self.made = {two: r for r, two in self.halves.items()}
+
+
 class BytePairCodec:
     """Encoder and decoder of one vocabulary; packed ids are little-endian int32."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
-        self.bytes_of = token_bytes(ranks)
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary = vocabulary
+        self.ranks, self.tokens, self.halves, self.made = vocabulary.ranks, vocabulary.tokens, vocabulary.halves, vocabulary.made
+        self.bytes_of = token_bytes(self.ranks)
+        self.decoder = Decoder(self.ranks)
         self.split = regex.compile(pattern)
         self.borders = regex.compile(r"(?V1)(?<=\S)(?= \S)")
-        self.white = [chr(c) for c in range(0x10000) if regex.match(r"\s", chr(c))]
+        self.white = regex.findall(r"\s", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))
         self.chunks = _Chunks(self._encode_chunk)
         self.after_blank = _Chunks(lambda word: self._encode_chunk(" " + word))
-        # Tokens that merging their own bytes makes; others only stand for a whole piece.
-        self.tokens = {t: r for t, r in ranks.items() if self.merge(t) == [r]}
-        self.reach: dict[bytes, int] = {}  # longest token of each three bytes
-        for t in self.tokens:
-            self.reach[t[:3]] = max(self.reach.get(t[:3], 2), len(t))
+        self.parts: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Merge the neighbours of least rank, leftmost first, until none merge."""
-        ranks = self.ranks
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        none = 1 << 60
-        near = [ranks.get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
-        while near:
-            least = min(near)
-            if least == none:
-                break
-            i = near.index(least)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del near[i]
-            if i < len(near):
-                near[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                near[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
+        self.joins = 0
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens, side by side, encode to themselves."""
@@ -127,65 +170,72 @@ class BytePairCodec:
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a << 32 | b] = self._stable(a, b)
         return known
 
-    def leaf(self, piece: bytes) -> list[int]:
-        """The one sequence of tokens whose neighbours are all stable.
+    def _stable(self, a: int, b: int) -> bool:
+        """Undo the two tokens' merges, the latest first: no merge across the border may have come earlier.
 
-        The longest token first, shorter ones if what follows finds none; a
-        prefix has one encoding, so a place left once is never tried again.
+        ``limit`` is the rank below which a merge across the border would have
+        been made instead of the one just undone; of equal ranks the left one goes
+        first, so that on the right a merge across of the same rank comes before it.
         """
-        get, pairs, reach, n = self.tokens.get, self.pairs, self.reach, len(piece)
-        out, starts, dead = [], [], set()
-        at, last = 0, -1
-        size = min(n, reach.get(piece[:3], 2))
-        while at < n:
-            while size:
-                token = get(piece[at:at + size])
-                if token is not None and at + size not in dead:
-                    if last < 0:
-                        break
-                    fits = pairs.get(last << 32 | token)
-                    if fits if fits is not None else self.stable(last, token):
-                        break
-                size -= 1
-            if size:
-                out.append(token)
-                starts.append(at)
-                at += size
-                last = token
-                size = min(n - at, reach.get(piece[at:at + 3], 2))
+        halves, made, limit = self.halves, self.made, 1 << 60
+        while True:
+            across = made.get((a, b))
+            if across is not None and across < limit:
+                return False
+            last_a, last_b = a if a in halves else -1, b if b in halves else -1
+            if last_a < 0 and last_b < 0:
+                return True
+            if last_a > last_b:
+                limit, a = a, halves[a][1]
             else:
-                dead.add(at)
-                size = at - starts[-1] - 1
-                at = starts.pop()
-                out.pop()
-                last = out[-1] if out else -1
-        return out
-
-    def join(self, a: list[int], b: list[int]) -> list[int]:
+                limit, b = b + 1, halves[b][0]
+
+    def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of ``a`` followed by those of ``b``."""
-        if not a or not b or self.stable(a[-1], b[0]):
+        self.joins += 1
+        if not a or not b:
+            return a + b
+        known = self.pairs.get(a[-1] << 32 | b[0])
+        if known if known is not None else self.stable(a[-1], b[0]):
             return a + b
         k = 1
         while True:
             left, right = a[:-k], b[k:]
-            window = self.reduce(b"".join(map(self.bytes_of.__getitem__, a[-k:] + b[:k])), halve=k < len(a) or k < len(b))
+            window = self._window(b"".join([self.bytes_of[t] for t in a[-k:] + b[:k]]))
             if (not left or self.stable(left[-1], window[0])) and (not right or self.stable(window[-1], right[0])):
                 return left + window + right
             k *= 2
 
-    def reduce(self, piece: bytes, halve: bool = True) -> list[int]:
-        if len(piece) <= LEAF_BYTES or not halve:
-            return self.leaf(piece)
-        mid = len(piece) // 2
-        return self.join(self.reduce(piece[:mid]), self.reduce(piece[mid:]))
+    def _window(self, piece: bytes) -> tuple[int, ...]:
+        """The bytes around a border, merged anew."""
+        token = self.tokens.get(piece)
+        return (token,) if token is not None else tuple([self.ranks[p] for p in merge(self.ranks, piece)])
+
+    def reduce(self, piece: bytes) -> tuple[int, ...]:
+        """The encoding of a piece from those of its parts; small parts are kept, since words share them."""
+        n, parts = len(piece), self.parts
+        if n > KEPT_BYTES:
+            cut = n // 2
+            return self.join(self.reduce(piece[:cut]), self.reduce(piece[cut:]))
+        token = self.tokens.get(piece)
+        if token is not None:
+            known = (token,)
+        else:
+            cut = (n - 1) // 4 * 4 or n // 2  # parts begin at like places, so that they are met again
+            left, right = piece[:cut], piece[cut:]
+            known = self.join(parts.get(left) or self.reduce(left), parts.get(right) or self.reduce(right))
+        if len(parts) >= CACHE_PARTS:
+            parts.clear()
+        parts[piece] = known
+        return known
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(raw)
-        return [whole] if whole is not None else self.reduce(raw)
+        return (whole,) if whole is not None else self.reduce(raw)
 
     def _encode_chunk(self, chunk: str) -> bytes:
         pieces = self.split.findall(chunk)
@@ -208,10 +258,11 @@ class BytePairCodec:
         return array("i", self.encode_packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return decode_ids(self.bytes_of, ids)
+        return self.decoder.bytes(np.asarray(ids, dtype=np.int64))
 
 
 _codecs: dict[str, BytePairCodec] = {}
+_vocabularies: dict[str, Vocabulary] = {}  # of the driver, the last one
 
 
 def _codec(key: str, shared, pattern: str) -> BytePairCodec:
@@ -226,7 +277,10 @@ def _share(df: DataFrame, path: str, pattern: str):
     """The broadcast vocabulary, and a key that stands for its contents."""
     ranks = load_ranks(path)
     key = hashlib.md5(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    return df.sparkSession.sparkContext.broadcast(ranks), key
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary(ranks)
+    return df.sparkSession.sparkContext.broadcast(_vocabularies[key]), key
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,13 +307,13 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "id"
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = token_bytes(shared.value)
+        decoder = Decoder(shared.value.ranks)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(at, ROWS_PER_BATCH)
-                ids, ends = part.column(1).flatten().tolist(), np.cumsum([0, *part.column(1).value_lengths().fill_null(0).to_pylist()])
-                raw = pa.array([decode_ids(bytes_of, ids[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), raw], names=["id", "ids", "bytes"])
+                ids = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.r_[0, np.cumsum(part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoder.batch(ids, ends).cast(pa.binary())], names=["id", "ids", "bytes"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary")
 

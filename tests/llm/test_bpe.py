@@ -7,13 +7,14 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dialogprep.llm.bpe import LEAF_BYTES, BytePairCodec, decode, encode, ids_text, load_ranks
+from dialogprep.llm.bpe import KEPT_BYTES, BytePairCodec, Vocabulary, decode, encode, ids_text, load_ranks, merge
 from dialogprep.llm.queries import op8_byte_bpe
 from tests.llm.helpers import HARD, clashing, docs
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 RANKS = load_ranks(PATH)
-OURS = BytePairCodec(RANKS, P.PATTERN)
+VOCABULARY = Vocabulary(RANKS)
+OURS = BytePairCodec(VOCABULARY, P.PATTERN)
 THEIRS = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
@@ -26,7 +27,7 @@ def test_any_text(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abtheinr", min_size=LEAF_BYTES, max_size=1500))
+@given(st.text(alphabet="abtheinr", min_size=KEPT_BYTES, max_size=1500))
 def test_long_pieces_need_joins(text):
     assert OURS.encode(text) == THEIRS.encode_ordinary(text)
 
@@ -39,11 +40,34 @@ def test_repetitive_pieces(alphabet, n):
     assert OURS.encode(text) == THEIRS.encode_ordinary(text)
 
 
+def ranks_of(raw):
+    return tuple(RANKS[p] for p in merge(RANKS, raw))
+
+
 def test_join_is_associative_on_any_cut():
     raw = ("theinterationalization" * 12).encode()
-    whole = OURS.merge(raw)
+    whole = ranks_of(raw)
     for cut in range(0, len(raw), 5):
-        assert OURS.join(OURS.merge(raw[:cut]), OURS.merge(raw[cut:])) == whole
+        assert OURS.join(ranks_of(raw[:cut]), ranks_of(raw[cut:])) == whole
+
+
+def test_stable_pairs_are_what_merging_gives():
+    rnd = random.Random(1)
+    tokens = list(VOCABULARY.tokens.items())
+    short = [t for t in tokens if len(t[0]) <= 4]
+    same = [(t, t) for t in rnd.sample(tokens, 3000)]
+    runs = [((b"a" * i, RANKS[b"a" * i]), (b"a" * j, RANKS[b"a" * j])) for i in range(1, 9) for j in range(1, 9)
+            if b"a" * i in VOCABULARY.tokens and b"a" * j in VOCABULARY.tokens]
+    for (a, i), (b, j) in [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(10_000)] + [(rnd.choice(short), rnd.choice(short)) for _ in range(20_000)] + same + runs:
+        assert OURS._stable(i, j) == (ranks_of(a + b) == (i, j)), (a, b)
+
+
+def test_every_piece_that_is_no_token_goes_through_joins():
+    codec = BytePairCodec(VOCABULARY, P.PATTERN)
+    for piece in ("qzxv", "zq", "Donaudampfschiff", "xkcdqwertz" * 20):
+        before = codec.joins
+        assert list(codec.encode_piece(piece)) == THEIRS.encode_ordinary(piece)
+        assert codec.joins > before
 
 
 def test_operator_round_trip(spark):
