@@ -56,8 +56,8 @@ def salt_count(n_rows: int) -> int:
     return max(1, math.isqrt(max(n_rows, 0)))
 
 
-def join_small(left: DataFrame, small: DataFrame, key: str, spread_by: Column, salts: int = 16) -> DataFrame:
-    """Left join with a table of one row per ``key`` (null is a key of its own).
+def join_small(left: DataFrame, small: DataFrame, key: str, spread_by: Column, salts: int = 16, left_key: str | None = None) -> DataFrame:
+    """Left join with a table of one row per ``key`` (null is a key of its own; ``left_key`` if its name differs).
 
     Spark broadcasts ``small`` when its size, as measured, is under
     ``spark.sql.autoBroadcastJoinThreshold``.  Beyond it, the salted key keeps
@@ -66,7 +66,7 @@ def join_small(left: DataFrame, small: DataFrame, key: str, spread_by: Column, s
     """
     right = small.withColumnRenamed(key, "_jk").withColumn("_js", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = left.withColumn("_ls", salt(spread_by, salts))
-    cond = left[key].eqNullSafe(right["_jk"]) & (left["_ls"] == right["_js"])
+    cond = left[left_key or key].eqNullSafe(right["_jk"]) & (left["_ls"] == right["_js"])
     return left.join(right, cond, "left").drop("_jk", "_js", "_ls")
 
 

@@ -36,10 +36,14 @@ b AS (SELECT *, coalesce(sum(source_size) OVER o, 0) AS s0, coalesce(sum(w) OVER
 l AS (SELECT max(CAST((SELECT sum(source_size) FROM w) - 3 * s0 AS DOUBLE) / CAST((SELECT sum(w) FROM w) - w0 AS DOUBLE)) AS level FROM b),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * w) AS target FROM w, l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
-c AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
-             CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
+c AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.rate,
+             CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u,
+             CAST(('0x' || substr(md5('mix-1|source|' || coalesce(d.source, '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS border
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+k AS (SELECT source, max(u) AS cut FROM o WHERE CAST(before AS DOUBLE) + size * border < target - floor(rate) * source_size GROUP BY source)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * (floor(c.rate) + CASE WHEN c.u <= k.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c LEFT JOIN k ON c.source IS NOT DISTINCT FROM k.source""",
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -47,11 +48,39 @@ def test_many_sources_and_limits(spark):
     rows = [(i, "w " * (1 + i % 50 if i % 9 else 400), "en", f"s{i % 23:02d}" if i % 3 else "s00", 0) for i in range(3000)]
     plan = mix_plan(docs(spark, rows)).collect()
     check(rows, plan)
-    taken, target = defaultdict(int), {}
+    near_targets(plan)
+
+
+def near_targets(plan):
+    """Every source is within one document of its target."""
+    taken, target, longest = defaultdict(int), {}, defaultdict(int)
     for r in plan:
         taken[r["source"]] += r["size"] * r["copies"]
-        target[r["source"]] = r["target"]
-    assert sum(taken.values()) == pytest.approx(sum(target.values()), rel=0.1)
+        target[r["source"]], longest[r["source"]] = r["target"], max(longest[r["source"]], r["size"])
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= longest[s]
+
+
+def test_few_long_documents(spark):
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.choice([1, 5, 40, 3000]), "en", f"s{i % 40}" if i % 4 else None, 0) for i in range(400)]
+    near_targets(mix_plan(docs(spark, rows)).collect())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sources_of_the_given_tables(spark, sf):
+    near_targets(mix_plan(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect())
+
+
+def test_a_copy_is_as_likely_as_the_fraction(spark):
+    """Over many sources of one kind: documents of any place get their copy about equally often."""
+    rows = [(i, "w " * (10 + 30 * (i % 3)), "en", f"s{i // 6:04d}", 0) for i in range(2400)]
+    got = mix_plan(docs(spark, rows), weights=(1,)).collect()
+    assert {r["copies"] for r in got} == {1}
+    got = mix_plan(docs(spark, rows), weights=(3, 1)).collect()  # rates of 1.5 and 0.5
+    for size in (10, 40, 70):
+        extra = [r["copies"] - int(r["rate"]) for r in got if r["size"] == size]
+        assert 0.42 < sum(extra) / len(extra) < 0.58
 
 
 def test_mix_repeats_whole_rows(spark):
