@@ -107,6 +107,7 @@ def pack(
     group_rows: int = 1000,
     cols: tuple[str, ...] = ("input_ids", "labels", "attention_mask"),
     length: str | None = None,
+    unequal: str = "fail",
 ) -> DataFrame:
     """L1 (+ F4, G4): concatenate each group's arrays and cut ``block_size`` chunks.
 
@@ -117,6 +118,8 @@ def pack(
     chunk is dropped; a group with fewer than ``block_size`` tokens yields one short
     chunk; one without any yields nothing.  A column that runs out early has short
     or empty chunks, what it has beyond the first column's chunks is dropped.
+    That is what ``unequal="cut"`` does, as the reference; by default a row whose
+    columns differ in size fails the job, since training rows never do.
 
     Ranks and offsets are computed on (key, lengths) only - windows span one
     group of narrow rows - and attached by key; chunks hold at most
@@ -127,8 +130,18 @@ def pack(
     """
     B = block_size
     keys = key_list(key)
-    own = {c: "_n0" if length else f"_n{i}" for i, c in enumerate(cols)}  # a column's length
-    sizes = [F.col(length).alias("_n0")] if length else [F.size(c).alias(n) for c, n in own.items()]
+    if unequal not in ("fail", "cut"):
+        raise ValueError(f"unknown rule for unequal columns {unequal!r}")
+    alike = bool(length) or unequal == "fail"
+    own = {c: "_n0" if alike else f"_n{i}" for i, c in enumerate(cols)}  # a column's length
+    if length:
+        sizes = [F.col(length).alias("_n0")]
+    elif alike:
+        differ = F.raise_error(F.lit(f"columns {list(cols)} differ in length"))
+        equal = functools.reduce(lambda x, y: x & y, [F.size(c) == F.size(cols[0]) for c in cols], F.lit(True))
+        sizes = [F.when(equal, F.size(cols[0])).otherwise(differ).alias("_n0")]
+    else:
+        sizes = [F.size(c).alias(n) for c, n in own.items()]
     narrow = df.select(*keys, *sizes)
     narrow = ordered_index(by_range(narrow, keys), keys, F.col("_range"), rank_col="_rank")
     narrow = narrow.withColumn("group", F.floor(F.col("_rank") / F.lit(group_rows)).cast("long"))

@@ -59,18 +59,22 @@ def split_hash(df: DataFrame, key: str, test_size: float, seed: int = 42,
 
 
 def split_exact(df: DataFrame, key: str | list[str], test_size: float, seed: int = 42,
-                split_col: str = "split") -> DataFrame:
+                split_col: str = "split", check_keys: bool = True) -> DataFrame:
     """H3 (exact): the first ``ceil(test_size * n)`` rows in (hash, key) order are test.
 
     The last test row is found by :func:`nth_key`, so the split itself is a
     predicate on the row: no window, no join, no shuffle of rows.  The keys are
     read two or three times while the function is called; write an expensive
     ``df`` first.  A test size >= 1 is a row count, as in the reference's
-    splitter.  A null key fails the job; repeated keys go to the same side, and
-    fail the call if the border falls between them.
+    splitter.  A null key fails the job and a repeated one the call; that check
+    counts the keys' hashes, and ``check_keys=False`` leaves it out where keys are
+    unique as made (positions, say).  Repeated keys then go to the same side, and
+    still fail if the border falls between them.
     """
     keys = key_list(key)
     hashed = df.select(*keys, hash_key(keys, seed, "split").alias("_h"))
+    if check_keys and not hashed.filter("_h IS NOT NULL").groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").isEmpty():
+        raise ValueError(f"repeated row key {keys}")
     border = nth_key(hashed, "_h", keys, lambda n: int(test_size) if test_size >= 1 else math.ceil(n * float(test_size)))
     null = functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
     test = F.lit(border == "all")

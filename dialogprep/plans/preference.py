@@ -12,13 +12,13 @@ from dialogprep.sources.writers import materialize
 
 def preference_rows(prefs: DataFrame, tokenizer, key: str = "pair_id", cutoff: int = 4096,
                     test_size: float = 0.01, seed: int = 42, max_length: int = 4096,
-                    max_prompt_length: int = 3450) -> DataFrame:
+                    max_prompt_length: int = 3450, check_keys: bool = True) -> DataFrame:
     """Split (exact, keyed), filter by characters, truncate by tokens, shuffle the training split.
 
     The filter runs after the split, on both splits, as in the reference;
     ``shuffle_rank`` is null on the test split, which is not shuffled.
     """
-    s = split_exact(prefs, key, test_size, seed)
+    s = split_exact(prefs, key, test_size, seed, check_keys=check_keys)
     f = filter_by_length(s, cutoff)
     t = truncate_preferences(f, tokenizer, max_length, max_prompt_length)
     train = shuffle(t.filter(F.col("split") == "train"), key, seed)
@@ -35,6 +35,6 @@ def build_preference_set(spark: SparkSession, path: str, out_path: str, tokenize
     """
     raw = read_preferences(spark, path, multi_line=multi_line)
     rows = materialize(raw.withColumn("pair_id", position_key("obj", "pos")), "preference_rows", spark)
-    out = preference_rows(rows, tokenizer, key="pair_id", **kw)
+    out = preference_rows(rows, tokenizer, key="pair_id", **{"check_keys": False} | kw)  # positions are unique
     out.write.mode("overwrite").partitionBy("split").parquet(out_path)
     return spark.read.parquet(out_path)

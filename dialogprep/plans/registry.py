@@ -401,7 +401,7 @@ def q_pack_bucketed(spark, d):
 def q_pack_unequal(spark, d):
     """Columns of unlike sizes: ids (the first), targets (shorter) and ids with the targets again (longer)."""
     e = _written(spark, d).select("example_id", "input_ids", "target_ids", F.concat("input_ids", "target_ids").alias("more_ids"))
-    pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS, cols=("input_ids", "target_ids", "more_ids"))
+    pk = pack(e, PACK_BLOCK, key="example_id", group_rows=PACK_GROUP_ROWS, cols=("input_ids", "target_ids", "more_ids"), unequal="cut")
     return pk.select(_big(F.col("group"), "group"), _big(F.col("chunk"), "chunk"), _big(F.size("input_ids"), "n_ids"), _big(F.size("target_ids"), "n_target"),
                      _big(F.size("more_ids"), "n_more"), I.checksum(F.col("target_ids")).alias("target_checksum"), I.checksum(F.col("more_ids")).alias("more_checksum"))
 

@@ -115,7 +115,7 @@ def test_unequal_columns(spark, seed):
     if seed == 2:
         data = [(i, a[:1] if i == 5 else [], b, c) for i, a, b, c in data]  # one token in the first column
     df = spark.createDataFrame(data, "example_id long, a array<int>, b array<int>, c array<int>")
-    got = {(r.group, r.chunk): {c: r[c] for c in "abc"} for r in pack(df, 6, group_rows=8, cols=("a", "b", "c")).collect()}
+    got = {(r.group, r.chunk): {c: r[c] for c in "abc"} for r in pack(df, 6, group_rows=8, cols=("a", "b", "c"), unequal="cut").collect()}
     want = {}
     for g in range(0, 23, 8):
         part = data[g:g + 8]
@@ -126,4 +126,4 @@ def test_unequal_columns(spark, seed):
 
 def test_null_and_empty_arrays(spark):
     df = spark.createDataFrame([(1, [1, 2], None), (2, None, [5]), (3, [], [6, 7, 8])], "example_id long, a array<int>, b array<int>")
-    assert [tuple(r) for r in pack(df, 2, cols=("a", "b")).collect()] == [(0, 0, [1, 2], [5, 6])]
+    assert [tuple(r) for r in pack(df, 2, cols=("a", "b"), unequal="cut").collect()] == [(0, 0, [1, 2], [5, 6])]
