@@ -1,9 +1,13 @@
 import random
 import re
+import string
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from dialogprep.llm.secret_scan import ASSIGN, scan, span_list, train_markov
+from dialogprep.llm.secret_scan import ALPHABET, ASSIGN, MIN_RATIO, OTHER, scan, span_list, train_markov
 from tests.llm.helpers import HARD, clashing, docs
 
 
@@ -38,21 +42,85 @@ def test_base_spans_equal_brute_force(spark):
         assert [tuple(s) for s in r["spans"]] == sorted(tuple(s) for s in r["spans"])
 
 
-def test_method_adds_random_tokens_only(spark):
+def made_of(rnd, alphabet, n):
+    return "".join(rnd.choice(alphabet) for _ in range(n))
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice(["the", "an", "tion", "er", "ing", "re", "on", "st", "co", "ma", "li"]) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+
+
+ORDINARY = ["MAX_CONNECTION_RETRY_COUNT_V2", "src/main/content/lang3/restoring", "getStatingAndMarineration", "user_session_relisting_2",
+            "=" * 40, "-" * 60, "2024-01-05_2024-02-06_2024", "12345678901234567890123", "chapter_the_tion_er_2_ing", "coming-on-the-restering-line"]
+
+
+@pytest.mark.parametrize("alphabet, n", [(string.ascii_letters, 40), (string.ascii_lowercase, 40), (string.ascii_letters + string.digits, 24), ("0123456789abcdef", 24)])
+def test_method_finds_random_strings_and_leaves_identifiers(spark, alphabet, n):
     rnd = random.Random(5)
-    word = lambda: "".join(rnd.choice(["the", "an", "tion", "er", "ing", "re", "on"]) for _ in range(rnd.randint(1, 4)))
-    rand = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    keys = {i: "a1" + rand(38) for i in range(0, 200, 10)}
-    rows = [(i, " ".join(word() for _ in range(40)) + (f" {keys[i]} " if i in keys else " ") + "chapter_the_tion_er_2_ing " + word(), "en", "s", 0) for i in range(200)]
+    keys = {i: made_of(rnd, alphabet, n) for i in range(0, 200, 10)}
+    rows = [(i, f"{prose(rnd, 60)} {keys.get(i, '')} {ORDINARY[i % len(ORDINARY)]} {prose(rnd, 3)}", "en", "s", 0) for i in range(200)]
     got = {r["id"]: r for r in scan(docs(spark, rows)).collect()}
     found = {i: [r["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "markov"] for i, r in got.items()}
     assert sum(found[i] == [k] for i, k in keys.items()) >= 19
     assert not any(found[i] for i in found if i not in keys)
 
 
+def brute_markov(text, models):
+    """Tokens that overlap no base span, scored character by character."""
+    text, out = text or "", []
+    at = {c: k for k, c in enumerate(ALPHABET)}
+    base = brute(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if any(s < m.end() and m.start() < e for s, _, e, _ in base):
+            continue
+        steps = [(at[a], at[b]) for a, b in zip(OTHER + m[0], m[0] + OTHER)]
+        best = [max(sum(t[s] for s in steps) for t in side) for side in models]
+        if (best[0] - best[1]) / len(steps) > MIN_RATIO:
+            out.append((m.start(), 3, m.end(), "markov"))
+    return out
+
+
+def test_all_spans_equal_brute_force(spark):
+    rnd = random.Random(9)
+    pieces = [lambda: made_of(rnd, string.ascii_letters + string.digits, 30), lambda: "token=" + made_of(rnd, string.ascii_letters, 12), lambda: made_of(rnd, "0123456789abcdef", 36),
+              lambda: "AKIA" + made_of(rnd, string.ascii_uppercase, 16), lambda: prose(rnd, 3), lambda: "my_secret_token = 'abc'", lambda: "a_long_name_before_password: \"hunter2hunter2\"",
+              lambda: "\x01" + made_of(rnd, string.ascii_letters, 25) + "\x01", lambda: "é中\U0001F600", lambda: rnd.choice(ORDINARY), lambda: made_of(rnd, string.ascii_letters, 24) + "/AKIA" + made_of(rnd, string.digits, 14)]
+    rows = [(i, rnd.choice(["", " ", "\n"]).join(rnd.choice(pieces)() for _ in range(rnd.randint(1, 25))), "en", "s", 0) for i in range(150)]
+    rows += HARD + [(1000 + i, t, "en", "s", 0) for i, t in enumerate(TEXTS)]
+    models = train_markov(docs(spark, rows))
+    some = 0
+    for r in scan(docs(spark, rows)).collect():
+        more = brute_markov(r["text"], models)
+        some += len(more)
+        assert [tuple(s) for s in r["spans"]] == sorted(brute(r["text"]) + more), r["text"]
+    assert some > 100
+
+
+def test_models_count_all_documents(spark):
+    """A pair that only one of 5,000 documents has is counted, and tables are distributions."""
+    rows = [(i, "common words here", "en", "s", 0) for i in range(5000)] + [(5000, "Qj " * 1000, "en", "s", 0)]
+    likely, ordinary = train_markov(docs(spark, rows))
+    for t in (*likely, *ordinary):
+        assert np.exp(t).sum(1) == pytest.approx(np.ones(len(ALPHABET)))
+    assert ordinary[0][ALPHABET.index("Q"), ALPHABET.index("j")] > -0.1
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows about as the text does: no list is copied, or compared with another, for each match."""
+    rnd = random.Random(1)
+    took = {}
+    for n in (2000, 8000, 32000):
+        text = " ".join(f"token=abcdefgh{i} {made_of(rnd, string.ascii_letters, 24)}" for i in range(n))
+        t0 = time.perf_counter()
+        r = scan(docs(spark, [(1, text, "en", "s", 0), (2, prose(rnd, 5000), "en", "s", 0)])).filter("id = 1").select(F.size("base").alias("b"), F.size("spans").alias("s")).first()
+        took[n] = time.perf_counter() - t0
+        assert r["b"] == n and r["s"] > 1.9 * n
+    assert took[32000] < 6 * max(took[8000], 1.0)
+
+
 def test_span_list_and_empty(spark):
     df = scan(docs(spark, [(1, "token=abcdefghi", "en", "s", 0), (2, None, None, None, None)])).select("id", span_list(F.col("base")).alias("s"))
     assert sorted(tuple(r) for r in df.collect()) == [(1, "assign:0:15"), (2, "")]
     assert scan(docs(spark, [])).collect() == []
-    assert train_markov(docs(spark, [])) == []
+    assert train_markov(docs(spark, [])) == ([], [])
     assert len(ASSIGN) > 0
