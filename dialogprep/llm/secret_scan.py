@@ -125,11 +125,11 @@ def _hide(text: Column) -> Column:
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
-    """``label, pair, n``: neighbouring characters in column ``s``; ``~`` is a word's begin and end."""
+    """``label, pair, n``: neighbouring characters in column ``s``, met ``n`` times; ``~`` is its begin and end."""
     chars = F.filter(F.split(F.concat(F.lit(OTHER), "s", F.lit(OTHER)), ""), lambda c: c != "")
     both = _let(chars, lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))
-    pairs = strings.select("label", F.explode(both).alias("pair")).filter(F.col("pair").isNotNull() & (F.col("pair") != OTHER * 2))
-    return pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
+    pairs = strings.select("label", "n", F.explode(both).alias("pair")).filter(F.col("pair").isNotNull())
+    return pairs.groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
 def _identifiers(words: np.ndarray) -> np.ndarray:
@@ -172,7 +172,9 @@ def _logs(counts: np.ndarray) -> np.ndarray:
 def train_markov(docs: DataFrame, text_col: str = "text", random_strings: int = RANDOM_STRINGS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Tables of log P(next | char) by places in ``ALPHABET``: random strings, ordinary identifiers."""
     shown = _hide(F.replace(text_of(docs[text_col]), F.lit(HIDDEN), F.lit(" ")))
-    words = docs.select(F.lit("word").alias("label"), F.regexp_replace(shown, r"[A-Za-z0-9]{20,}+|[^A-Za-z0-9]++", OTHER).alias("s"))
+    # Equal words are summed where they are read, before they move and before they are taken apart.
+    words = docs.select(F.explode(F.split(shown, r"(?:[^A-Za-z0-9]++|(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+)++")).alias("s")).filter("s != ''")
+    words = words.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit("word"))
     seed = lambda tag: F.sha2(F.concat(F.lit(tag), F.col("id").cast("string")), 256)
     b64 = lambda tag: F.base64(F.unhex(seed(tag)))
     plain = lambda tag: F.translate(b64(tag), "+/=", "xyz")
@@ -180,7 +182,7 @@ def train_markov(docs: DataFrame, text_col: str = "text", random_strings: int =
     numbers = docs.sparkSession.range(random_strings)
     pairs = _pairs(words)
     for label, text in made.items():
-        pairs = pairs.unionByName(_pairs(numbers.select(F.lit(label).alias("label"), text.alias("s"))))
+        pairs = pairs.unionByName(_pairs(numbers.select(F.lit(label).alias("label"), text.alias("s"), F.lit(1).cast("long").alias("n"))))
     counts = {k: np.zeros((len(ALPHABET), len(ALPHABET))) for k in ("word", *made)}
     for r in pairs.collect():  # at most 5 * 68 * 68 rows
         counts[r["label"]][ALPHABET.index(r["pair"][0]), ALPHABET.index(r["pair"][1])] = r["n"]
