@@ -7,11 +7,14 @@ words at once: at position ``i`` all words walk the trie of pieces together,
 and each piece that ends at ``j`` adds ``alpha[i] + log p`` to ``alpha[j]``.
 
 Characters without a piece of their own fall back to their UTF-8 bytes.
+Long words take the same steps one at a time, over the whole word.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -37,7 +40,7 @@ class Lattice:
                     states += 1
             if piece:
                 ends[state] = index
-        self.children, self.ends = children, ends
+        self.children, self.ends, self.logs = children, ends, log_p.tolist()
         order = sorted(children)
         self.keys = np.array(order or [-1], np.int64)
         self.next = np.array([children[k] for k in order] or [0], np.int64)
@@ -125,19 +128,15 @@ class Lattice:
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece; words over LONG are taken in parts of LONG."""
-        parts, weight = [], []
-        for w, c in zip(words, counts):
-            for at in range(0, len(w), LONG):
-                parts.append(w[at:at + LONG])
-                weight.append(c)
-        weight = np.array(weight, float)
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        """Expected uses of each piece, every word as a whole."""
+        weight = np.asarray(counts, float)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lens, kind="stable")
+        short = order[lens[order] <= LONG]
         total = np.zeros(len(self.log_p))
-        for at in range(0, len(order), BATCH):
-            pick = order[at:at + BATCH]
-            codes, n = self._matrix([parts[k] for k in pick])
+        for at in range(0, len(short), BATCH):
+            pick = short[at:at + BATCH]
+            codes, n = self._matrix([words[k] for k in pick])
             edges: list = []
             alpha = self._forward(codes, n, edges)
             rows = np.arange(len(pick))
@@ -150,8 +149,43 @@ class Lattice:
                 if p is not None:
                     share = np.exp(alpha[r, i] + tail - all_[r]) * weight[pick][r]
                     total += np.bincount(p, share, len(total))
+        for k in order[lens[order] > LONG]:
+            self._expected_one(words[k], float(weight[k]), total)
         return total
 
+    def _walk(self, word: str, i: int) -> Iterator[tuple[int, int | None, float]]:
+        """``(j, piece, log p)`` of the pieces that begin at ``i``; bytes (no piece) if no piece is the one character."""
+        state = 0
+        for j in range(i, min(len(word), i + self.depth)):
+            state = self.children.get(state << SHIFT | ord(word[j]))
+            p = None if state is None else self.ends.get(state)
+            if p is not None:
+                yield j + 1, p, self.logs[p]
+            elif j == i:
+                yield j + 1, None, self.log_byte * len(word[i].encode("utf-8", "surrogatepass"))
+            if state is None:
+                return
+
+    def _expected_one(self, word: str, weight: float, total: np.ndarray) -> None:
+        """Forward over the whole word, then backward: two numbers per character, no list of edges."""
+        n = len(word)
+        alpha, beta = array("d", [-math.inf]) * (n + 1), array("d", [-math.inf]) * (n + 1)
+        alpha[0] = beta[n] = 0.0
+        for i in range(n):
+            for j, _, w in self._walk(word, i):
+                alpha[j] = _log_add(alpha[j], alpha[i] + w)
+        for i in range(n - 1, -1, -1):
+            for j, p, w in self._walk(word, i):
+                tail = beta[j] + w
+                beta[i] = _log_add(beta[i], tail)
+                if p is not None:
+                    total[p] += weight * math.exp(alpha[i] + tail - alpha[n])
+
+
+def _log_add(a: float, b: float) -> float:
+    hi, lo = (a, b) if a > b else (b, a)
+    return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
 
 def prior(scores: list[float]) -> np.ndarray:
     """Probabilities of pieces whose scores are negative ranks: Zipf's law."""

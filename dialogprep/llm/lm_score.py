@@ -18,7 +18,8 @@ cross white space) and its end.
 Defined results: null text is empty, which is the end token alone; a null id
 counts as the empty text in the hash; repeated rows give repeated rows; without
 training documents every count is 0 and the model is the vocabulary's scores;
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; other columns are not read.  Words of any length
+are scored, and counted into the model, as a whole.
 """
 
 from __future__ import annotations

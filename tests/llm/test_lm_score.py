@@ -73,6 +73,67 @@ def test_expected_uses():
     assert e[PIECES.index("a")] == e[PIECES.index("b")] == pytest.approx(3 * parts / (whole + parts))
 
 
+def all_cuts(word):
+    """Every segmentation of ``word`` as pieces and log-probability."""
+    index = {p: i for i, p in enumerate(PIECES)}
+    if not word:
+        yield [], 0.0
+    for j in range(1, len(word) + 1):
+        p = index.get(word[:j])
+        if p is not None or j == 1:
+            lp = SMALL.log_p[p] if p is not None else SMALL.log_byte * len(word[0].encode())
+            for rest, more in all_cuts(word[j:]):
+                yield ([p] if p is not None else []) + rest, lp + more
+
+
+@pytest.mark.parametrize("word", ["a", "abab", BEGIN + "abba", "xéab", "中a", "ab" * 5 + "xaba"])
+def test_expected_uses_equal_all_segmentations(word):
+    cuts = list(all_cuts(word))
+    every = sum(math.exp(lp) for _, lp in cuts)
+    want = np.zeros(len(PIECES))
+    for used, lp in cuts:
+        for p in used:
+            want[p] += 2 * math.exp(lp) / every
+    one = np.zeros(len(PIECES))
+    SMALL._expected_one(word, 2.0, one)
+    assert one == pytest.approx(want)
+    assert SMALL.expected([word], np.array([2.0])) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("at", [0, 41, 46, 47, 48, 60, 95, 300])
+def test_expected_uses_in_long_words_have_no_cuts(at):
+    """A three-letter piece counts the same wherever it stands, and only a begin is a begin."""
+    word = BEGIN + "x" * at + "aba" + "x" * (400 - at)
+    e = SMALL.expected([word, "aba"], np.array([1.0, 0.0]))
+    alone = SMALL.expected(["aba"], np.array([1.0]))
+    assert e[PIECES.index("aba")] == pytest.approx(alone[PIECES.index("aba")], rel=.5 if at == 0 else 1e-6)
+    assert e[PIECES.index(BEGIN)] + e[PIECES.index(BEGIN + "a")] == pytest.approx(1.0)
+    assert SMALL.expected(["ab" * 10_000], np.array([1.0]))[PIECES.index("ab")] > 100
+
+
+def test_document_score_equals_brute_force(spark, rows):
+    """The model made again in plain Python, word by word, and each document's sum."""
+    c, n_docs = Counter(), 0
+    for r in rows:
+        if not held(r[0]):
+            c.update(toks(r[1]))
+            n_docs += 1
+    pieces, scores = load_pieces(LM_VOCABULARY)
+    p = prior([*scores, max(scores), min(scores)])
+    first = Lattice(pieces, np.log(p[:-2]), float(np.log(p[-1])))
+    uses = np.zeros(len(p))
+    for w, n in c.items():
+        first._expected_one(BEGIN + w.decode(), n, uses[:-2])
+    uses[-2] = n_docs
+    q = uses + lm_score.PRIOR * p
+    q = np.log(q / q.sum())
+    model = Lattice(pieces, q[:-2], float(q[-1]))
+    got = lm_score.score_documents(docs(spark, rows), LM_VOCABULARY).collect()
+    want = [(r[0], len(toks(r[1])) + 1, (sum(n * model._one(BEGIN + w.decode()) for w, n in Counter(toks(r[1])).items()) + q[-2]) / math.log(10)) for r in rows]
+    key = lambda x: (repr(x[0]), x[1], x[2])
+    assert [x[2] for x in sorted(((r["id"], r["n_tokens"], r["score"]) for r in got), key=key)] == pytest.approx([w[2] for w in sorted(want, key=key)], rel=1e-9)
+
+
 def test_prior_and_vocabulary():
     pieces, scores = load_pieces(LM_VOCABULARY)
     p = prior(scores)
