@@ -9,7 +9,7 @@ methods that map Columns to Columns, plus ``pad_token_id``, ``bos_token_id`` and
   against SQL.  Ids 0..15 are reserved for special tokens.
 * :class:`PieceTokenizer` - any serialised ``tokenizers`` model, applied with an
   iterator Pandas UDF so the model is built once per Python worker stream and
-  rows travel in Arrow batches.
+  rows travel in Arrow batches.  The library gets a batch in calls of bounded size.
 """
 
 from __future__ import annotations
@@ -23,6 +23,22 @@ from pyspark.sql import types as T
 
 IDS_TYPE = T.ArrayType(T.IntegerType())
 
+#: Characters or ids that go to a library in one call.  It holds some hundred
+#: bytes for each token until the call returns, an Arrow batch has any size.
+CALL_SIZE = 1 << 18
+
+
+def _calls(sizes: list[int]) -> Iterator[slice]:
+    """Consecutive slices of the rows, of ``CALL_SIZE`` in all at most or one row."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > CALL_SIZE:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
 
 def _empty_ids() -> Column:
     return F.array().cast(IDS_TYPE)
@@ -115,12 +131,15 @@ class PieceTokenizer:
             encode_batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
             head = [bos] if add_special else []
             for s in batches:
-                texts = s.fillna("").tolist()
-                encs = encode_batch(texts, add_special_tokens=False)
-                yield pd.Series(
-                    [np.asarray(head + (e.ids if t else []), dtype=np.int32)
-                     for e, t in zip(encs, texts)]
-                )
+                all_texts = s.fillna("").tolist()
+                for part in _calls([len(t) for t in all_texts]):
+                    texts = all_texts[part]
+                    encs = encode_batch(texts, add_special_tokens=False)
+                    yield pd.Series(
+                        [np.asarray(head + (e.ids if t else []), dtype=np.int32)
+                         for e, t in zip(encs, texts)]
+                    )
+                    del encs  # before the next call
 
         return encode_batches
 
@@ -130,7 +149,7 @@ class PieceTokenizer:
     def n_tokens(self, text: Column, add_special: bool = False) -> Column:
         return F.size(self.encode(text, add_special))
 
-    def decode(self, ids: Column, skip_special: bool = True) -> Column:
+    def _decode_udf(self, skip_special: bool):
         spec = self._json
 
         @F.pandas_udf(T.StringType())
@@ -139,12 +158,17 @@ class PieceTokenizer:
 
             tok = Tokenizer.from_str(spec)
             for s in batches:
-                yield pd.Series(
-                    tok.decode_batch([[int(i) for i in x] if x is not None else [] for x in s],
-                                     skip_special_tokens=skip_special)
-                )
+                rows = s.tolist()
+                for part in _calls([len(x) if x is not None else 0 for x in rows]):
+                    yield pd.Series(
+                        tok.decode_batch([[int(i) for i in x] if x is not None else [] for x in rows[part]],
+                                         skip_special_tokens=skip_special)
+                    )
 
-        return decode_batches(ids)
+        return decode_batches
+
+    def decode(self, ids: Column, skip_special: bool = True) -> Column:
+        return self._decode_udf(skip_special)(ids)
 
 
 def byte_level_tokenizer_json(specials: tuple[str, ...] = ("<pad>", "<bos>", "<eos>")) -> str:

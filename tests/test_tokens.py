@@ -71,3 +71,22 @@ def test_byte_level_piece_tokenizer(spark):
     for r in rows:
         assert r["ids"] == [pt.bos_token_id] + [b + 3 for b in r["t"].encode()]
         assert r["back"] == r["t"]
+
+
+def test_piece_tokenizer_takes_a_batch_in_bounded_calls():
+    """Whatever an Arrow batch holds, a call gets ``CALL_SIZE`` characters or ids, or one row."""
+    pd = pytest.importorskip("pandas")
+    from dialogprep.functions import PieceTokenizer, tokens
+
+    pt = PieceTokenizer(tokens.byte_level_tokenizer_json())
+    big = tokens.CALL_SIZE // 4
+    texts = ["", None] + ["ab" * (big // 2)] * 9 + ["c", "d" * (2 * tokens.CALL_SIZE), "e", ""]
+    parts = list(pt._encode_udf(True).func(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["f"])])))
+    assert all(len(p) == 1 or sum(len(x) - 1 for x in p) <= tokens.CALL_SIZE for p in parts)
+    assert max(len(p) for p in parts) > 1
+    ids = [x.tolist() for p in parts for x in p]
+    assert ids == [[pt.bos_token_id] + [b + 3 for b in (t or "").encode()] for t in texts + ["f"]]
+
+    back = list(pt._decode_udf(True).func(iter([pd.Series([None] + ids)])))
+    assert all(len(p) == 1 or sum(map(len, p)) <= tokens.CALL_SIZE for p in back)
+    assert [t for p in back for t in p] == [""] + [t or "" for t in texts + ["f"]]
