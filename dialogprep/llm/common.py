@@ -45,6 +45,21 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep_and_release(df: DataFrame) -> DataFrame:
+    """:func:`keep`, and Spark removes the shuffle files as soon as ``df`` is written.
+
+    Nothing reads them again.  Else they stay on the executors' disks until the
+    driver happens to collect its garbage: many rounds' files at once.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return keep(df.select("*"))  # the setting is read as a query is made
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def salt(col: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 

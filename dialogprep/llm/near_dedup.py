@@ -18,6 +18,7 @@ Texts are nodes: all documents with the same words in the same order are one.
    have a similarity of at least ``threshold``.
 4. Components of the kept edges, by smallest neighbour and pointer jumping,
    until nothing changes; written to the shared folder each round.
+   Each written step lets go of its shuffle files.
 5. The rest: steps 2 and 3 only save work.  For band keys whose texts are not
    all in one component, groups of up to ``SMALL`` texts check every pair of
    unlike components, and the texts of larger ones are joined on their rarest
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogprep.llm.common import join_small, keep, rows_of, text_of
+from dialogprep.llm.common import join_small, keep_and_release, rows_of, text_of
 from dialogprep.llm.dartminhash import WordHash, mix, shingles, signatures
 
 K = 256
@@ -313,20 +314,20 @@ def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     common = np.zeros(BUCKETS, np.int64)
     for r in sets.select("elements", "counts").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         common[r["bucket"]] = r["n"]
-    rows = keep(sets.select("node", "root", "elements", "counts").mapInArrow(_rare(threshold, common), "key long, node binary, root binary, size int, rest int"))
-    return _across(keep(_mixed(rows).drop("n")), f"least(resta, restb) + 1e-6 >= {threshold / (1 + threshold)!r}D * (sizea + sizeb)")
+    rows = keep_and_release(sets.select("node", "root", "elements", "counts").mapInArrow(_rare(threshold, common), "key long, node binary, root binary, size int, rest int"))
+    return _across(keep_and_release(_mixed(rows).drop("n")), f"least(resta, restb) + 1e-6 >= {threshold / (1 + threshold)!r}D * (sizea + sizeb)")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): the least node of its component."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y"))
-    label = keep(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("root")))
+    both = keep_and_release(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y"))
+    label = keep_and_release(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("root")))
     while True:
         seen = both.join(label, both["y"] == label["node"]).groupBy("x").agg(F.min("root").alias("near"))
         step = label.join(seen, label["node"] == seen["x"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         step = step.join(up, step["root"] == up["n2"]).select("node", "old", F.least("root", "r2").alias("root"))
-        step = keep(step)
+        step = keep_and_release(step)
         if not step.filter("root <> old").limit(1).count():
             return step.select("node", "root")
         label = step.select("node", "root")
@@ -336,22 +337,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: ``id, h, root, class_id, class_size`` (``h``: hash of the text)."""
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    signed = keep(rows.mapInArrow(_sign(weights), f"id {kind}, h long, node binary, keys array<long>, sketch binary"))
+    signed = keep_and_release(rows.mapInArrow(_sign(weights), f"id {kind}, h long, node binary, keys array<long>, sketch binary"))
     nodes = signed.groupBy("node").agg(F.min("h").alias("h"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"),
                                        F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = keep(nodes)
+    nodes = keep_and_release(nodes)
 
     banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = banded.join(shared, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
-    members = keep(members.select("key", F.substring("sketch", F.col("band") * ROWS + ROWS + 1, F.lit(16)).alias("next"), "node", "sketch"))
+    members = keep_and_release(banded.join(shared, "key", "left_semi"))  # without the sketches, which move once, sorted
     n = max(2, math.ceil(members.count() / MEMBERS_PER_RANGE))
-    ordered = members.repartitionByRange(n, "key", "next", "node").sortWithinPartitions("key", "next", "node")
-    links = keep(ordered.select("key", "node", "sketch").mapInArrow(_link(threshold), "a binary, b binary").distinct())
+    wide = members.join(nodes.select("node", "sketch"), "node")
+    wide = wide.select("key", F.substring("sketch", F.col("band") * ROWS + ROWS + 1, F.lit(16)).alias("next"), "node", "sketch")
+    ordered = wide.repartitionByRange(n, "key", "next", "node").sortWithinPartitions("key", "next", "node")
+    links = keep_and_release(ordered.select("key", "node", "sketch").mapInArrow(_link(threshold), "a binary, b binary").distinct())
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         texts = rows.select("h", "text").join(wanted.distinct().join(nodes.select("node", "h"), "node"), "h").groupBy("node").agg(F.first("text").alias("text"))
-        return keep(texts.mapInArrow(_sets(weights), "node binary, elements binary, counts binary"))
+        return keep_and_release(texts.mapInArrow(_sets(weights), "node binary, elements binary, counts binary"))
 
     def similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = edges.join(sets.toDF("a", "ea", "ca"), "a").join(sets.toDF("b", "eb", "cb"), "b").select("a", "b", "ea", "ca", "eb", "cb")
@@ -360,21 +362,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def ends(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node")).union(edges.select("b"))
 
-    good = keep(similar(links, sets_of(ends(links))))
+    good = keep_and_release(similar(links, sets_of(ends(links))))
     roots = components(good)
 
     at = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    at = keep(_mixed(at))
-    few = keep(_across(at.filter(F.col("n") <= SMALL).select("key", "node", "root")).join(links, ["a", "b"], "left_anti"))
-    many = keep(at.filter(F.col("n") > SMALL).select("node", "root").distinct())
+    at = keep_and_release(_mixed(at))
+    few = keep_and_release(_across(at.filter(F.col("n") <= SMALL).select("key", "node", "root")).join(links, ["a", "b"], "left_anti"))
+    many = keep_and_release(at.filter(F.col("n") > SMALL).select("node", "root").distinct())
     left = sets_of(ends(few).union(many.select("node")))
     rare = rare_pairs(many.join(left, "node"), threshold).join(links, ["a", "b"], "left_anti")
-    more = keep(similar(few.union(rare).distinct(), left))
+    more = keep_and_release(similar(few.union(rare).distinct(), left))
     if more.limit(1).count():
         roots = components(good.union(more))
 
     narrow = nodes.select("node", "least", "n")
-    linked = keep(narrow.join(roots, "node"))
+    linked = keep_and_release(narrow.join(roots, "node"))
     classes = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     # Only linked texts need their class looked up, by a salted key: one class may hold most of them.
     where = join_small(linked.select("node", "root"), classes, "root", F.col("node")).select("node", "root", "class_id", "class_size")

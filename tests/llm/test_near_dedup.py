@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -205,3 +207,21 @@ def test_rare_pairs_are_all_pairs(spark, corpus):
         df = spark.createDataFrame(rows, "node binary, root binary, elements binary, counts binary")
         found = {(int(bytes(r["a"])), int(bytes(r["b"]))) for r in near_dedup.rare_pairs(df, 0.8).collect()}
         assert want <= found and len(want) > 100
+
+
+def test_written_steps_let_go_of_their_shuffle_files(spark, corpus):
+    """While the operator runs, the disk holds the shuffles of the current step, not those of all before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f.split("_")[1] for d in disk.localDirsString() for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+    setting, before = spark.conf.get(name, None), shuffles()
+    near_classes(docs(spark, corpus))
+    for _ in range(50):  # files go in the background
+        if len(left := shuffles() - before) <= 8:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 8  # of the few counts that are not written
+    assert spark.conf.get(name, None) == setting
