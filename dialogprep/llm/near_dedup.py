@@ -16,14 +16,16 @@ Texts are nodes: all documents with the same words in the same order are one.
    the group.
 3. Exact check: each distinct edge is kept if the shingle sets (or weights)
    have a similarity of at least ``threshold``.
-4. Components of the kept edges, by smallest neighbour and pointer jumping,
-   until nothing changes; written to the shared folder each round.
+4. Components of the kept edges: each round joins texts to their smallest
+   neighbour, by pointer jumping, and goes on with the edges between the parts
+   this makes, until none is left; written to the shared folder each round.
    Each written step lets go of its shuffle files.
 5. The rest: steps 2 and 3 only save work.  For band keys whose texts are not
    all in one component, groups of up to ``SMALL`` texts check every pair of
    unlike components, and the texts of larger ones are joined on their rarest
    shingles, which no pair at ``threshold`` escapes and on which a template's
-   wording does not fall.  No estimate, cap or chunk decides; then step 4 again.
+   wording does not fall.  No estimate, cap or chunk decides; then step 4 goes on
+   with these edges.
 
 No pair list of a group, set of candidates or component map passes through the
 driver.  Hot texts fold into one node before any shuffle of signatures.
@@ -318,19 +320,47 @@ def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return _across(keep_and_release(_mixed(rows).drop("n")), f"least(resta, restb) + 1e-6 >= {threshold / (1 + threshold)!r}D * (sizea + sizeb)")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (a, b): the least node of its component."""
-    both = keep_and_release(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y"))
-    label = keep_and_release(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("root")))
+def _hooked(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (a, b): where the way by least neighbours ends."""
+    both = edges.union(edges.select("b", "a")).toDF("node", "near")
+    steps = keep_and_release(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
     while True:
-        seen = both.join(label, both["y"] == label["node"]).groupBy("x").agg(F.min("root").alias("near"))
-        step = label.join(seen, label["node"] == seen["x"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        step = step.join(up, step["root"] == up["n2"]).select("node", "old", F.least("root", "r2").alias("root"))
-        step = keep_and_release(step)
-        if not step.filter("root <> old").limit(1).count():
-            return step.select("node", "root")
-        label = step.select("node", "root")
+        one, two = steps.toDF("n1", "r1"), steps.toDF("n2", "r2")
+        jumped = steps.join(one, steps["root"] == one["n1"]).join(two, F.col("r1") == two["n2"])
+        jumped = keep_and_release(jumped.select("node", F.col("r1").alias("old"), F.col("r2").alias("root")))
+        steps = jumped.select("node", "root")
+        if not jumped.filter("root <> old").limit(1).count():
+            return steps
+
+
+def _contracted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges between unlike roots, as edges of the roots; a node without a root is its own."""
+    ends = edges.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
+    return keep_and_release(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (a, b): the least node of its component.
+
+    A round joins each node to its least neighbour and goes on with the edges
+    between what is joined, so that no round reads the edges of the one before.
+    ``known``: a former result, to which ``edges`` are added.
+    """
+    edges, roots = edges.select("a", "b"), known
+    if known is not None:
+        edges = _contracted(edges, known)
+        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        roots = known.select("node", "root").union(ends.join(known, "node", "left_anti").select("node", "node"))
+    while True:
+        found = _hooked(edges)
+        if roots is None:
+            roots = found
+        else:
+            roots = keep_and_release(roots.join(found.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        edges = _contracted(edges, found)
+        if not edges.limit(1).count():
+            return roots
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
@@ -373,7 +403,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rare = rare_pairs(many.join(left, "node"), threshold).join(links, ["a", "b"], "left_anti")
     more = keep_and_release(similar(few.union(rare).distinct(), left))
     if more.limit(1).count():
-        roots = components(good.union(more))
+        roots = components(more, roots)
 
     narrow = nodes.select("node", "least", "n")
     linked = keep_and_release(narrow.join(roots, "node"))

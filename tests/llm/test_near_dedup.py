@@ -225,3 +225,39 @@ def test_written_steps_let_go_of_their_shuffle_files(spark, corpus):
         time.sleep(0.2)
     assert len(left) <= 8  # of the few counts that are not written
     assert spark.conf.get(name, None) == setting
+
+
+def test_component_search_reads_a_joined_edge_once(spark, monkeypatch):
+    """Its joins make rows by the number of edges, not by edges times rounds."""
+    rnd = random.Random(4)
+    names = [b"%05d" % i for i in range(200)]
+    edges = {tuple(sorted(rnd.sample(names[:120], 2))) for _ in range(3000)}
+    edges |= {(names[i], names[i + 1]) for i in range(110, 199)}  # a long way out of the dense part
+    df = spark.createDataFrame(sorted(edges), "a binary, b binary").localCheckpoint()
+    kind, made = type(df), []
+    join = kind.join
+
+    def counted(self, *args, **kwargs):
+        out = join(self, *args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", counted)
+    found = components(df)
+    monkeypatch.undo()
+    assert {bytes(r["node"]): bytes(r["root"]) for r in found.collect()} == dict.fromkeys(names, names[0])
+    assert sum(made) <= 3 * len(edges)
+
+
+def test_components_go_on_from_known_ones(spark):
+    """Added edges join known parts and new nodes, to the least of both."""
+    name = lambda i: b"%05d" % i
+    frame = lambda pairs: spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary")
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)], [(3, 21), (0, 11), (40, 41), (11, 41), (1, 3)]
+    both = components(frame(first + more))
+    grown = components(frame(more), components(frame(first)))
+    pairs = [sorted((bytes(r["node"]), bytes(r["root"])) for r in x.collect()) for x in (both, grown)]
+    assert pairs[0] == pairs[1]
+    assert dict(pairs[1]) == {name(k): name(v) for k, v in {1: 1, 2: 1, 3: 1, 20: 1, 21: 1, 0: 0, 10: 0, 11: 0, 40: 0, 41: 0, 30: 30, 31: 30}.items()}
+    same = components(frame([]), components(frame(first)))
+    assert {bytes(r["root"]) for r in same.collect()} == {name(i) for i in (1, 10, 20, 30)}
