@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dialogprep.llm import bpe, classifier, exact_dedup, mixing, near_dedup
 from dialogprep.llm.common import table
-from dialogprep.session import drop_path, scratch_path
+from dialogprep.session import ARROW_BYTES, bound_arrow_batches, drop_path, restore_arrow_batches, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -42,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
+    bound_arrow_batches(spark)  # texts and ids are wide, and each task has two Python workers
     coded = bpe.decode(bpe.encode(docs, VOCABULARY, PATTERN), VOCABULARY, PATTERN)
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
@@ -55,12 +56,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
-    docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            drop_path(spark, before)  # read to the end by the stage just written
-        before = path
+    docs, before, arrow = table(spark, sf_dir, "documents"), None, spark.conf.get(ARROW_BYTES, None)
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                drop_path(spark, before)  # read to the end by the stage just written
+            before = path
+    finally:
+        restore_arrow_batches(spark, arrow)
     return docs

@@ -3,7 +3,8 @@
 A text is cut by the split pattern, and each piece is encoded by itself.  The
 encoding of a piece is a monoid reduction: the leaves are single bytes and parts
 that are one token, any other part is cut in two, both are encoded, and the
-neighbours ``a``, ``b`` are joined.  A token sequence is the encoding of its bytes
+neighbours ``a``, ``b`` are joined; long parts are cut in the middle, short ones
+after the longest leaf they begin with.  A token sequence is the encoding of its bytes
 exactly when each two neighbours, merged by rank, give themselves ("stable"
 pairs).  So if the pair at the border is stable the two are just put together;
 else a window of ``k`` tokens on either side is encoded again, and the window
@@ -14,7 +15,8 @@ reduction with concatenation: the places of all tokens' bytes are the running
 sums of their lengths, so a batch is put together at once.
 
 The vocabulary (a file of base64 token and rank per line) is read and its tables
-are made by the driver and broadcast; they are bounded by the file.  A text is first cut before each
+are made by the driver and broadcast; they are bounded by the file.  Decoding gets
+its own small tables, as each task that does both has two workers.  A text is first cut before each
 blank that touches no other white space: the pattern cuts there in any case, so
 the chunks between are independent, and those seen before come from a cache of
 bounded size.
@@ -41,10 +43,9 @@ from pyspark.sql import functions as F
 from dialogprep.llm.common import text_of
 
 KEPT_BYTES = 24
-CACHE_PARTS = 200_000
 CACHE_CHARS = 48
-CACHE_CHUNKS = 480_000
-CACHE_PAIRS = 1 << 18
+CACHE_CHUNKS = 60_000
+CACHE_PAIRS = 1 << 17
 ROWS_PER_BATCH = 256
 
 
@@ -135,16 +136,20 @@ class Vocabulary:
         self.ranks = ranks
         #: Tokens that merging their own bytes makes; others only stand for a whole piece.
         self.tokens: dict[bytes, int] = {}
-        #: The two tokens whose merge made a token, and the other way round.
-        self.halves: dict[int, tuple[int, int]] = {}
+        #: The two tokens whose merge made a token (-1: none), and the other way round, in one number.
+        self.left = array("i", [-1]) * (max(ranks.values(), default=-1) + 1)
+        self.right = array("i", self.left)
+        self.made: dict[int, int] = {}
         for t, r in ranks.items():
             two = merge(ranks, t, down_to=2)
             if len(two) == 1:
                 self.tokens[t] = r
             elif len(two) == 2 and ranks.get(two[0] + two[1]) == r:
                 self.tokens[t] = r
-                self.halves[r] = (ranks[two[0]], ranks[two[1]])
-        self.made = {two: r for r, two in self.halves.items()}
+                self.left[r], self.right[r] = a, b = ranks[two[0]], ranks[two[1]]
+                self.made[a << 32 | b] = r
+        if len(self.tokens) == len(ranks):
+            self.tokens = ranks
 
 
 class BytePairCodec:
@@ -152,7 +157,8 @@ class BytePairCodec:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
-        self.ranks, self.tokens, self.halves, self.made = vocabulary.ranks, vocabulary.tokens, vocabulary.halves, vocabulary.made
+        self.ranks, self.tokens, self.made = vocabulary.ranks, vocabulary.tokens, vocabulary.made
+        self.left, self.right = vocabulary.left, vocabulary.right
         self.bytes_of = token_bytes(self.ranks)
         self.decoder = Decoder(self.ranks)
         self.split = regex.compile(pattern)
@@ -160,19 +166,21 @@ class BytePairCodec:
         self.white = regex.findall(r"\s", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))
         self.chunks = _Chunks(self._encode_chunk)
         self.after_blank = _Chunks(lambda word: self._encode_chunk(" " + word))
-        self.parts: dict[bytes, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool | tuple[int, ...]] = {}
         self.joins = 0
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the two tokens, side by side, encode to themselves."""
+    def border(self, a: int, b: int) -> bool | tuple[int, ...]:
+        """True if the two tokens, side by side, encode to themselves; else the encoding of their bytes."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a << 32 | b] = self._stable(a, b)
+            known = self.pairs[a << 32 | b] = self._stable(a, b) or self._window(self.bytes_of[a] + self.bytes_of[b])
         return known
 
+    def stable(self, a: int, b: int) -> bool:
+        return self.border(a, b) is True
+
     def _stable(self, a: int, b: int) -> bool:
         """Undo the two tokens' merges, the latest first: no merge across the border may have come earlier.
 
@@ -180,34 +188,34 @@ class BytePairCodec:
         been made instead of the one just undone; of equal ranks the left one goes
         first, so that on the right a merge across of the same rank comes before it.
         """
-        halves, made, limit = self.halves, self.made, 1 << 60
+        left, right, made, limit = self.left, self.right, self.made, 1 << 60
         while True:
-            across = made.get((a, b))
+            across = made.get(a << 32 | b)
             if across is not None and across < limit:
                 return False
-            last_a, last_b = a if a in halves else -1, b if b in halves else -1
+            last_a, last_b = a if left[a] >= 0 else -1, b if left[b] >= 0 else -1
             if last_a < 0 and last_b < 0:
                 return True
             if last_a > last_b:
-                limit, a = a, halves[a][1]
+                limit, a = a, right[a]
             else:
-                limit, b = b + 1, halves[b][0]
+                limit, b = b + 1, left[b]
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of ``a`` followed by those of ``b``."""
         self.joins += 1
         if not a or not b:
             return a + b
-        known = self.pairs.get(a[-1] << 32 | b[0])
-        if known if known is not None else self.stable(a[-1], b[0]):
+        window = self.border(a[-1], b[0])
+        if window is True:
             return a + b
         k = 1
         while True:
             left, right = a[:-k], b[k:]
-            window = self._window(b"".join([self.bytes_of[t] for t in a[-k:] + b[:k]]))
             if (not left or self.stable(left[-1], window[0])) and (not right or self.stable(window[-1], right[0])):
                 return left + window + right
             k *= 2
+            window = self._window(b"".join([self.bytes_of[t] for t in a[-k:] + b[:k]]))
 
     def _window(self, piece: bytes) -> tuple[int, ...]:
         """The bytes around a border, merged anew."""
@@ -215,21 +223,23 @@ class BytePairCodec:
         return (token,) if token is not None else tuple([self.ranks[p] for p in merge(self.ranks, piece)])
 
     def reduce(self, piece: bytes) -> tuple[int, ...]:
-        """The encoding of a piece from those of its parts; small parts are kept, since words share them."""
-        n, parts = len(piece), self.parts
+        """The encoding of a piece from those of its parts; a small one is cut after the longest leaf it begins with, as that border is mostly stable."""
+        n, tokens, pairs = len(piece), self.tokens, self.pairs
         if n > KEPT_BYTES:
             cut = n // 2
             return self.join(self.reduce(piece[:cut]), self.reduce(piece[cut:]))
-        token = self.tokens.get(piece)
-        if token is not None:
-            known = (token,)
-        else:
-            cut = (n - 1) // 4 * 4 or n // 2  # parts begin at like places, so that they are met again
-            left, right = piece[:cut], piece[cut:]
-            known = self.join(parts.get(left) or self.reduce(left), parts.get(right) or self.reduce(right))
-        if len(parts) >= CACHE_PARTS:
-            parts.clear()
-        parts[piece] = known
+        known, at = (), 0
+        while at < n:
+            end = n
+            while end > at + 1 and piece[at:end] not in tokens:
+                end -= 1
+            leaf = self.ranks[piece[at:end]]
+            if known and pairs.get(known[-1] << 32 | leaf) is True:
+                self.joins += 1
+                known += (leaf,)
+            else:
+                known = self.join(known, (leaf,))
+            at = end
         return known
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
@@ -303,11 +313,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """``id, ids, bytes``: the bytes that the ids stand for."""
-    shared, _ = _share(encoded, vocabulary, pattern)
+    shared = encoded.sparkSession.sparkContext.broadcast(Decoder(load_ranks(vocabulary)))  # tables only: a task of both has two workers
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value.ranks)
+        decoder = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(at, ROWS_PER_BATCH)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dialogprep.llm import bpe, classifier, conversation_repair, exact_dedup, hard_negatives, license_scan, lm_score, mixing, near_dedup, quality_rules, secret_scan, topk, url_filter
 from dialogprep.llm.common import table
+from dialogprep.session import bound_arrow_batches
 
 # The vocabulary files of the tokenizers package, read by the driver.
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,6 +63,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_arrow_batches(spark)  # texts and ids are wide, and each task has two Python workers
     docs = table(spark, sf_dir, "documents")
     coded = bpe.decode(bpe.encode(docs, BPE_VOCABULARY, BPE_PATTERN), BPE_VOCABULARY, BPE_PATTERN)
     return coded.select(

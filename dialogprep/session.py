@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Settings we prefer for sessions we create; ``extra`` overrides them.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +30,9 @@ DEFAULT_CONF = {
     # Bucketed training tables have one file a bucket (sources.bucketed): their order holds.
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Likewise for Arrow batches (64 MB by default): a task with two Python steps
+    # holds one for each, in the JVM and in the worker.
+    ARROW_BYTES: "4m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -49,6 +54,21 @@ def get_spark(master: str | None = None, app: str = "dialogprep",
     return spark
 
 
+def bound_arrow_batches(spark: SparkSession) -> str | None:
+    """Set our Arrow batch size in a session that names none; returns the setting before, for ``restore_arrow_batches``.
+
+    Spark reads it when a query runs, so it can't be bound to one DataFrame.
+    """
+    before = spark.conf.get(ARROW_BYTES, None)
+    if before is None:
+        spark.conf.set(ARROW_BYTES, DEFAULT_CONF[ARROW_BYTES])
+    return before
+
+
+def restore_arrow_batches(spark: SparkSession, before: str | None) -> None:
+    spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set one only if the session has none."""
     try:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
@@ -7,6 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from dialogprep.llm import bpe
 from dialogprep.llm.bpe import KEPT_BYTES, BytePairCodec, Vocabulary, decode, encode, ids_text, load_ranks, merge
 from dialogprep.llm.queries import op8_byte_bpe
 from tests.llm.helpers import HARD, clashing, docs
@@ -90,5 +92,26 @@ def test_query_digests(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_a_worker_stays_small_over_ever_new_words():
+    rnd = random.Random(4)
+    codec = BytePairCodec(VOCABULARY, P.PATTERN)
+    tracemalloc.start()
+    try:
+        for _ in range(60):
+            text = " ".join("".join(rnd.choices("aeinrstlou", k=9)) for _ in range(5000))
+            assert codec.decode(codec.encode(text)) == text.encode()
+        del text
+        assert tracemalloc.get_traced_memory()[0] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_decoding_needs_no_merge_tables(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, THEIRS.encode_ordinary(t)) for i, t in enumerate(["", "the theory", "é中"])], "id long, ids array<int>")
+    monkeypatch.setattr(bpe, "_vocabularies", {})
+    monkeypatch.setattr(bpe, "Vocabulary", None)
+    assert sorted((r["id"], bytes(r["bytes"]).decode()) for r in decode(rows, PATH, P.PATTERN).collect()) == [(0, ""), (1, "the theory"), (2, "é中")]
+
+
 def test_empty(spark):
     assert encode(docs(spark, []), PATH, P.PATTERN).collect() == []

@@ -8,6 +8,7 @@ import tiktoken
 import corpus_pipeline
 from dialogprep.llm import near_dedup
 from dialogprep.llm.bpe import load_ranks
+from dialogprep.session import ARROW_BYTES
 from tests.llm.helpers import AZ, clashing, docs
 from tests.llm.test_near_dedup import crowded, shingle_set
 
@@ -72,6 +73,32 @@ def test_run_and_registration(spark, sf):
     assert corpus_pipeline.run(spark, path).count() > 100
 
 
+def test_python_steps_of_encode_get_batches_of_bounded_bytes(spark, sf):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('wide ', 1000) AS text")
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.unset(ARROW_BYTES)
+    try:
+        dict(corpus_pipeline.STAGES)["encode"](spark, rows.limit(0), "")
+        got = rows.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 5 << 20  # 15 MB in one batch else
+
+        spark.conf.set(ARROW_BYTES, "9m")  # the session's own choice stays
+        dict(corpus_pipeline.STAGES)["encode"](spark, rows.limit(0), "")
+        assert spark.conf.get(ARROW_BYTES) == "9m"
+
+        spark.conf.unset(ARROW_BYTES)
+        corpus_pipeline.run(spark, sf[0])
+        assert spark.conf.get(ARROW_BYTES, None) is None  # as it was
+    finally:
+        spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
+
+
 def test_empty(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
