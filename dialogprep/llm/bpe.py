@@ -44,7 +44,8 @@ from dialogprep.llm.common import text_of
 
 KEPT_BYTES = 24
 CACHE_CHARS = 48
-CACHE_CHUNKS = 60_000
+CACHE_CHUNKS = 120_000
+CACHE_MARKS = 1 << 20
 CACHE_PAIRS = 1 << 17
 ROWS_PER_BATCH = 256
 
@@ -90,18 +91,27 @@ class Decoder:
 class _Chunks(dict):
     """Encodings of chunks as packed ids, made when first asked for.
 
-    When the cache is full it becomes the old one, and chunks still in use
-    come back from there.
+    A chunk is kept when it is asked for again, since most are met only once;
+    ``met`` has a mark for each that was made, by hash.  When the cache is full
+    it becomes the old one, and chunks still in use come back from there.
     """
 
     def __init__(self, make):
         self.make = make
         self.old: dict[str, bytes] = {}
+        self.met, self.marks = bytearray(CACHE_MARKS), 0
 
     def __missing__(self, chunk: str) -> bytes:
         packed = self.old.get(chunk)
         if packed is None:
             packed = self.make(chunk)
+            mark = hash(chunk) % CACHE_MARKS
+            if not self.met[mark]:
+                if self.marks >= CACHE_MARKS // 2:
+                    self.met, self.marks = bytearray(CACHE_MARKS), 0
+                self.met[mark] = 1
+                self.marks += 1
+                return packed
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_CHUNKS:
                 self.old = dict(self)
@@ -161,7 +171,7 @@ class BytePairCodec:
         self.left, self.right = vocabulary.left, vocabulary.right
         self.bytes_of = token_bytes(self.ranks)
         self.decoder = Decoder(self.ranks)
-        self.split = regex.compile(pattern)
+        self.findall = regex.compile(pattern).findall
         self.borders = regex.compile(r"(?V1)(?<=\S)(?= \S)")
         self.white = regex.findall(r"\s", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))
         self.chunks = _Chunks(self._encode_chunk)
@@ -248,7 +258,7 @@ class BytePairCodec:
         return (whole,) if whole is not None else self.reduce(raw)
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        pieces = self.split.findall(chunk)
+        pieces = self.findall(chunk)
         if len(pieces) == 1:
             return array("i", self.encode_piece(chunk)).tobytes()
         # A piece is a chunk of its own.
